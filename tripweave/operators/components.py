@@ -25,51 +25,66 @@ def connected_components(
         .filter(F.col("u") != F.col("v"))
         .distinct()
     )
-    while not _is_star_forest(links):
-        links = cut_lineage(_small_star(_large_star(links, hot_rows), hot_rows))
+    while True:
+        unsettled, widest = _star_check(links)
+        if not unsettled:
+            break
+        # A large star makes at most one link of each link of a node, so the width found
+        # here bounds both joins; within the bound a plain join is balanced.
+        skewed = widest > hot_rows
+        links = cut_lineage(
+            _small_star(_large_star(links, skewed, hot_rows), skewed, hot_rows)
+        )
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("_root"))
     return nodes.join(roots, "node", "left").select(
         "node", F.coalesce("_root", "node").alias("component")
     )
 
 
-def _large_star(links: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(links: DataFrame, skewed: bool, hot_rows: int) -> DataFrame:
     """Hang every larger neighbour of a node on the node's smallest neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _lowest(both).withColumn("low", F.least("u", "low"))
     return (
-        spread_join(both, low.drop("_rows"), ["u"], ["v"], hot_keys(low, ["u"], hot_rows=hot_rows))
+        _with_lowest(both, skewed, hot_rows)
         .filter(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("u"), F.col("low").alias("v"))
+        .select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
         .distinct()
     )
 
 
-def _small_star(links: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(links: DataFrame, skewed: bool, hot_rows: int) -> DataFrame:
     """Hang a node and all its smaller neighbours on the smallest of them."""
-    low = _lowest(links)
-    joined = spread_join(
-        links, low.drop("_rows"), ["u"], ["v"], hot_keys(low, ["u"], hot_rows=hot_rows)
-    )
-    moved = joined.filter(F.col("v") != F.col("low")).select(
-        F.col("v").alias("u"), F.col("low").alias("v")
+    # The lowest neighbour's own row turns into the node's row: both hang on it.
+    return (
+        _with_lowest(links, skewed, hot_rows)
+        .select(
+            F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"),
+            F.col("low").alias("v"),
+        )
+        .distinct()
     )
-    own = low.select("u", F.col("low").alias("v"))
-    return moved.unionByName(own).distinct()
 
 
-def _lowest(links: DataFrame) -> DataFrame:
-    return links.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("_rows"))
+def _with_lowest(links: DataFrame, skewed: bool, hot_rows: int) -> DataFrame:
+    low = links.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("_rows"))
+    hot = hot_keys(low, ["u"], hot_rows=hot_rows) if skewed else None
+    return spread_join(links, low.drop("_rows"), ["u"], ["v"], hot)
 
 
-def _is_star_forest(links: DataFrame) -> bool:
-    """Every node hangs on one root, and no root hangs on anything."""
+def _star_check(links: DataFrame) -> tuple[int, int]:
+    """Nodes that break the star shape (0: every node hangs on one root, and roots on
+    nothing), and the largest number of links at one node."""
     ends = links.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
     heads = links.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
-    return (
+    broken = (F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("holds") > 0))
+    row = (
         ends.unionByName(heads)
         .groupBy("node")
-        .agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
-        .filter((F.col("hangs") > 1) | ((F.col("hangs") == 1) & (F.col("holds") == 1)))
-        .isEmpty()
+        .agg(F.sum("hangs").alias("hangs"), F.sum("holds").alias("holds"))
+        .agg(
+            F.count_if(broken).alias("broken"),
+            F.max(F.col("hangs") + F.col("holds")).alias("widest"),
+        )
+        .first()
     )
+    return row["broken"], row["widest"] or 0

@@ -17,7 +17,7 @@ from __future__ import annotations
 import itertools
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.functions.geo import (
@@ -33,7 +33,12 @@ from tripweave.functions.geo import (
 from tripweave.operators.components import connected_components
 from tripweave.plans.lineage import cut_lineage
 from tripweave.plans.ranking import dense_ranks
-from tripweave.plans.skew import HOT_ROWS, hot_keys, sized_join, spread_join
+from tripweave.plans.skew import (
+    HOT_ROWS,
+    hot_keys_if_any,
+    sized_join,
+    spread_join,
+)
 
 # Pairs of boxes with at most this many position pairs are compared position by position.
 PAIR_BUDGET = 4096
@@ -56,19 +61,18 @@ def dbscan(
     pair_budget: int = PAIR_BUDGET,
 ) -> DataFrame:
     """Add ``out``: the site number (int, from 1) of each row, null for noise."""
-    sites = position_sites(checkins, lat, lon, eps_m, min_pts, hot_rows, pair_budget)
+    sites = cut_lineage(
+        position_sites(checkins, lat, lon, eps_m, min_pts, hot_rows, pair_budget).toDF(
+            lat, lon, "_m", out
+        )
+    )
     spread_by = spread_by or [name for name in checkins.columns if name not in (lat, lon)]
     return spread_join(
         checkins,
-        sites.select(F.col("_lat").alias(lat), F.col("_lon").alias(lon), F.col("site").alias(out)),
+        sites.drop("_m"),
         [lat, lon],
         spread_by or [lat],
-        hot_keys(
-            sites.select(F.col("_lat").alias(lat), F.col("_lon").alias(lon), "m"),
-            [lat, lon],
-            "m",
-            hot_rows,
-        ),
+        hot_keys_if_any(sites, [lat, lon], "_m", hot_rows),
         "left",
     ).select(*checkins.columns, out)
 
@@ -179,7 +183,7 @@ def _into_cells(
             cells.select(*cube, "cell", "n", "weight"),
             cube,
             ["pid"],
-            hot_keys(cells, cube, "n", hot_rows),
+            hot_keys_if_any(cells, cube, "n", hot_rows),
         ).drop(*cube)
     )
     return points, cells
@@ -198,9 +202,8 @@ def _boxes(points: DataFrame, keys: list[str], name: str) -> DataFrame:
 def _adjacent(cells: DataFrame, side: float) -> DataFrame:
     """Each pair of occupied cubes close enough to hold neighbours, once."""
     steps = [s for s in itertools.product(range(-2, 3), repeat=3) if s > (0, 0, 0)]
-    step = F.explode(
-        F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("xyz", s, strict=True)]) for s in steps])
-    )
+    listed = ", ".join(f"named_struct('x', {x}, 'y', {y}, 'z', {z})" for x, y, z in steps)
+    step = F.expr(f"explode(array({listed}))")
     wanted = cells.select(
         *[F.col(c).alias("a_" + c) for c in _carried()], "cx", "cy", "cz", step.alias("s")
     ).select(
@@ -269,24 +272,25 @@ def _touching(
             .select(*roots)
             .distinct()
         )
-        settled = cut_lineage(sure.unionByName(compared).distinct())
+        settled = sure.unionByName(compared)
+        large = judged.filter(~F.col("_sure") & (product > pair_budget))
+        if not large.isEmpty():
+            settled = cut_lineage(settled.distinct())
+            large = cut_lineage(
+                large.select(*roots, "a_cell", "b_cell").join(settled, roots, "left_anti")
+            )
         found = settled if found is None else found.unionByName(settled)
-        rest = cut_lineage(
-            undecided.filter(product > pair_budget)
-            .select(*roots, "a_cell", "b_cell")
-            .join(settled, roots, "left_anti")
-        )
-        if rest.isEmpty():
-            return found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+        if large.isEmpty():
+            return found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         side = side / _FINER
-        points, parts = _refined(points, rest, side, hot_rows)
+        points, parts = _refined(points, large, side, hot_rows)
         carried = ["cell", "n", *_BOX, *_REP]
         half = [
             parts.select(F.col("parent").alias(p + "cell"), *[F.col(c).alias(p + "_" + c) for c in carried])
             for p in ("a_", "b_")
         ]
         work = cut_lineage(
-            rest.join(half[0], "a_cell")
+            large.join(half[0], "a_cell")
             .join(half[1], "b_cell")
             .select(*roots, *[F.col(p + "_" + c).alias(p + c) for p in ("a_", "b_") for c in carried])
             .filter(squared_gap("a_", "b_") <= limit)
@@ -294,11 +298,11 @@ def _touching(
 
 
 def _refined(
-    points: DataFrame, rest: DataFrame, side: float, hot_rows: int
+    points: DataFrame, large: DataFrame, side: float, hot_rows: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Cut the boxes named in ``rest``: their positions under finer boxes, and those boxes."""
-    named = rest.select(F.col("a_cell").alias("cell")).unionByName(
-        rest.select(F.col("b_cell").alias("cell"))
+    """Cut the boxes named in ``large``: their positions under finer boxes, and those boxes."""
+    named = large.select(F.col("a_cell").alias("cell")).unionByName(
+        large.select(F.col("b_cell").alias("cell"))
     ).distinct()
     sizes = points.groupBy("cell").agg(F.max("n").alias("n"))
     kept = sized_join(points, sizes.join(named, "cell"), ["cell"], ["pid"], "n", hot_rows)
@@ -314,7 +318,7 @@ def _refined(
                 parts.select(*fine, "cell", "n"),
                 fine,
                 ["pid"],
-                hot_keys(parts, fine, "n", hot_rows),
+                hot_keys_if_any(parts, fine, "n", hot_rows),
             ).drop(*fine)
         ),
         parts,
@@ -391,11 +395,10 @@ def _sparse_cores(sparse: DataFrame, reach: DataFrame, min_pts: int) -> DataFram
 
     A cube counts fewer than ``min_pts`` positions here, so grouping by cube is bounded.
     """
-    counted = sparse.join(reach.groupBy("pid").agg(F.sum("w").alias("w")), "pid", "left").select(
-        "pid",
-        "cell",
-        (F.col("weight") + F.coalesce("w", F.lit(0)) >= min_pts).alias("core"),
+    core = F.col("weight") + F.coalesce("w", F.lit(0)) >= min_pts
+    first = F.min(F.when(F.col("core"), F.col("pid"))).over(Window.partitionBy("cell"))
+    return cut_lineage(
+        sparse.join(reach.groupBy("pid").agg(F.sum("w").alias("w")), "pid", "left")
+        .select("pid", "cell", core.alias("core"))
+        .select("pid", "core", first.alias("node"))
     )
-    counted = cut_lineage(counted)
-    first = counted.filter("core").groupBy("cell").agg(F.min("pid").alias("node"))
-    return cut_lineage(counted.join(first, "cell", "left").drop("cell"))

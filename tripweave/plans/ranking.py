@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.plans.lineage import cut_lineage
-from tripweave.plans.skew import HOT_ROWS, group_sizes, hot_keys, spread_join
+from tripweave.plans.skew import HOT_ROWS, group_sizes, hot_keys_if_any, spread_join
 
 # monotonically_increasing_id keeps the partition above bit 33 and the row below it.
 _ROW_BITS = 33
@@ -52,7 +52,7 @@ def compact_ids(
     names = df.columns
     sizes = group_sizes(df.filter(F.col(column).isNotNull()), [column])
     ranks = dense_ranks(sizes, [column], "_rank")
-    hot = hot_keys(ranks, [column], "_rows", hot_rows)
+    hot = hot_keys_if_any(ranks, [column], "_rows", hot_rows)
     spread_by = spread_by or [name for name in names if name != column]
     ranked = spread_join(df, ranks.select(column, "_rank"), [column], spread_by, hot, "left")
     return ranked.withColumn(column, F.col("_rank").cast("int")).select(*names)

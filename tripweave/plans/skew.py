@@ -37,6 +37,19 @@ def hot_keys(
     )
 
 
+def hot_keys_if_any(
+    sized: DataFrame, keys: Sequence[str], size: str = "_rows", hot_rows: int = HOT_ROWS
+) -> DataFrame | None:
+    """As :func:`hot_keys`, or None where no key is hot; for sizes already materialised."""
+    if (largest(sized, size) or 0) <= hot_rows:
+        return None
+    return hot_keys(sized, keys, size, hot_rows)
+
+
+def largest(sized: DataFrame, size: str) -> int | None:
+    return sized.agg(F.max(size)).first()[0]
+
+
 def salt_count(size: Column, hot_rows: int) -> Column:
     return F.ceil(size / F.lit(hot_rows)).cast("int")
 
@@ -55,14 +68,17 @@ def spread_join(
     dims: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
-    hot: DataFrame,
+    hot: DataFrame | None,
     how: str = "inner",
 ) -> DataFrame:
     """Join ``facts`` (hot side) to ``dims``, splitting the rows of keys listed in ``hot``.
 
-    ``spread_by`` names the columns of ``facts`` that tell rows of one key apart.
+    ``spread_by`` names the columns of ``facts`` that tell rows of one key apart.  With
+    no ``hot`` keys this is a plain join.
     """
     on = list(on)
+    if hot is None:
+        return facts.join(dims, on, how)
     hot = F.broadcast(hot)
     one = F.coalesce(F.col(_SALTS), F.lit(1))
     salt = salt_of(spread_by, one)
@@ -86,7 +102,10 @@ def sized_join(
     hot_rows: int = HOT_ROWS,
     how: str = "inner",
 ) -> DataFrame:
-    """As :func:`spread_join`, when both sides already carry the group size in ``size``."""
+    """As :func:`spread_join`, when both sides already carry the group size in ``size``.
+
+    Groups within ``hot_rows`` have one salt, so no list of hot keys is needed.
+    """
     on = list(on)
     salts = salt_count(F.greatest(F.col(size), F.lit(1)), hot_rows)
     left = facts.withColumn(_SALT, salt_of(spread_by, salts))
