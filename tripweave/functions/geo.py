@@ -31,7 +31,7 @@ def chord_of(distance_m: float) -> float:
 
 def squared_distance(a: str, b: str) -> Column:
     """Between two points whose coordinates are named prefix + axis."""
-    return _sum_of_squares([F.col(a + axis) - F.col(b + axis) for axis in AXES])
+    return F.expr(_sum_of_squares([f"({a}{axis} - {b}{axis})" for axis in AXES]))
 
 
 def squared_gap(a: str, b: str) -> Column:
@@ -40,45 +40,36 @@ def squared_gap(a: str, b: str) -> Column:
     The sums run in the order of :func:`squared_distance`, so rounding never puts the
     gap above the distance of a pair of points inside the boxes.
     """
-    return _sum_of_squares(
-        [
-            F.greatest(
-                F.col(f"{a}{axis}0") - F.col(f"{b}{axis}1"),
-                F.col(f"{b}{axis}0") - F.col(f"{a}{axis}1"),
-                F.lit(0.0),
-            )
-            for axis in AXES
-        ]
+    return F.expr(
+        _sum_of_squares(
+            [
+                f"greatest({a}{axis}0 - {b}{axis}1, {b}{axis}0 - {a}{axis}1, 0D)"
+                for axis in AXES
+            ]
+        )
     )
 
 
 def squared_reach(a: str, b: str) -> Column:
     """Largest possible squared distance between two boxes (prefix + axis + 0/1)."""
-    return _sum_of_squares(
-        [
-            F.greatest(
-                F.col(f"{a}{axis}1") - F.col(f"{b}{axis}0"),
-                F.col(f"{b}{axis}1") - F.col(f"{a}{axis}0"),
-            )
-            for axis in AXES
-        ]
+    return F.expr(
+        _sum_of_squares(
+            [f"greatest({a}{axis}1 - {b}{axis}0, {b}{axis}1 - {a}{axis}0)" for axis in AXES]
+        )
     )
 
 
-def box_aggregates(prefix: str = "") -> list[Column]:
-    bounds = []
-    for axis in AXES:
-        bounds.append(F.min(axis).alias(f"{prefix}{axis}0"))
-        bounds.append(F.max(axis).alias(f"{prefix}{axis}1"))
-    return bounds
+def box_aggregates() -> list[Column]:
+    return [
+        F.expr(f"{bound}({axis}) AS {axis}{end}")
+        for axis in AXES
+        for end, bound in ((0, "min"), (1, "max"))
+    ]
 
 
 def grid_index(value: Column, side: float) -> Column:
     return F.floor(value / F.lit(side))
 
 
-def _sum_of_squares(terms: list[Column]) -> Column:
-    total = terms[0] * terms[0]
-    for term in terms[1:]:
-        total = total + term * term
-    return total
+def _sum_of_squares(terms: list[str]) -> str:
+    return " + ".join(f"{term} * {term}" for term in terms)

@@ -222,15 +222,13 @@ def _carried() -> list[str]:
 
 def _meets_sphere(side: float) -> Column:
     """Drops cubes the unit sphere does not cross: they cannot hold a position."""
-    nearest, farthest = F.lit(0.0), F.lit(0.0)
+    nearest, farthest = [], []
     for axis in AXES:
-        low = F.col("c" + axis) * F.lit(side)
-        high = low + F.lit(side)
-        inner = F.greatest(low, -high, F.lit(0.0))
-        outer = F.greatest(F.abs(low), F.abs(high))
-        nearest = nearest + inner * inner
-        farthest = farthest + outer * outer
-    return (nearest <= 1.0 + 1e-9) & (farthest >= 1.0 - 1e-9)
+        low, high = f"(c{axis} * {side!r}D)", f"((c{axis} + 1) * {side!r}D)"
+        nearest.append(f"power(greatest({low}, -{high}, 0D), 2)")
+        farthest.append(f"power(greatest(abs({low}), abs({high})), 2)")
+    # The margin is far above rounding and far below the side of a cube.
+    return F.expr(f"{' + '.join(nearest)} <= 1 + 1e-9D AND {' + '.join(farthest)} >= 1 - 1e-9D")
 
 
 def _touching(

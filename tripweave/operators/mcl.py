@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from tripweave.operators import sparse
 from tripweave.plans.lineage import cut_lineage
 from tripweave.plans.ranking import dense_ranks
-from tripweave.plans.skew import group_sizes, hot_keys, hot_keys_if_any, salt_of, spread_join
+from tripweave.plans.skew import (
+    HOT_ROWS,
+    group_sizes,
+    hot_keys,
+    hot_keys_if_any,
+    salt_of,
+    spread_join,
+)
 
 # A cluster with more members is written as several rows, so that no row is unbounded.
 MAX_MEMBERS = 1_000_000
@@ -25,6 +32,7 @@ def mcl_matrix(
     convergence_check_frequency: int = 1,
     normalize_input: bool = True,
     product: str = "power",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Run the passes and return the last matrix.
 
@@ -39,11 +47,11 @@ def mcl_matrix(
     if loop_value:
         current = sparse.with_loops(current, loop_value)
     if normalize_input:
-        current = sparse.normalize(current)
+        current = sparse.normalize(current, hot_rows)
     current = cut_lineage(current)
     for done in range(iterations):
         grown = sparse.power(current, expansion, product)
-        following = sparse.inflate(grown, inflation)
+        following = sparse.inflate(grown, inflation, hot_rows)
         if done % pruning_frequency == 0:
             following = sparse.prune(following, pruning_threshold)
         following = cut_lineage(following)
@@ -57,7 +65,7 @@ def mcl_matrix(
     return current
 
 
-def attractor_members(m: DataFrame) -> DataFrame:
+def attractor_members(m: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(``attractor``, ``member``) pairs: rows with a positive diagonal, and their columns.
 
     The flat form of the clusters.  A member may belong to several attractors.
@@ -65,23 +73,29 @@ def attractor_members(m: DataFrame) -> DataFrame:
     attractors = m.filter((F.col("i") == F.col("j")) & (F.col("v") > 0)).select("i").distinct()
     # Entries are distinct in (i, j), so no second grouping is needed here.
     sizes = group_sizes(m, ["i"])
-    return spread_join(m, attractors, ["i"], ["j"], hot_keys(sizes, ["i"])).select(
+    return spread_join(m, attractors, ["i"], ["j"], hot_keys(sizes, ["i"], hot_rows=hot_rows)).select(
         F.col("i").alias("attractor"), F.col("j").alias("member")
     )
 
 
-def attractor_clusters(m: DataFrame, max_members: int = MAX_MEMBERS) -> DataFrame:
+def attractor_clusters(
+    m: DataFrame, max_members: int = MAX_MEMBERS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``cluster_id`` (from 0, by attractor), ``attractor`` and its sorted ``members``.
 
     An attractor with more than ``max_members`` members gets further rows (``part`` 1, 2, …),
     each holding some of them.
     """
-    pairs = attractor_members(m)
+    pairs = attractor_members(m, hot_rows)
     named = dense_ranks(group_sizes(pairs, ["attractor"]), ["attractor"], "cluster_id", start=0)
     parts = F.greatest(F.ceil(F.col("_rows") / max_members), F.lit(1))
     return (
         spread_join(
-            pairs, named, ["attractor"], ["member"], hot_keys_if_any(named, ["attractor"])
+            pairs,
+            named,
+            ["attractor"],
+            ["member"],
+            hot_keys_if_any(named, ["attractor"], hot_rows=hot_rows),
         )
         .withColumn("part", salt_of(["member"], parts))
         .groupBy("cluster_id", "attractor", "part")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return it without its history.
+    """Write ``df`` to the shared folder and return it as read back.
 
-    The copy outlives the executors that made it, so a lost node costs a re-read
-    and not a replay of every earlier round.
+    The copy outlives the executors that made it, so a lost node costs a re-read and not a
+    replay of every earlier round.  A table is written rather than a checkpoint taken: it
+    comes back with its true size and without the size guesses and constraints a checkpoint
+    inherits, which square with every product in a loop.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

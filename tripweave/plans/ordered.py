@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tripweave.plans.lineage import cut_lineage
 from tripweave.plans.skew import HOT_ROWS, MAX_HOT_KEYS, group_sizes
 
-_BLOCK = "_block"
+_BLOCK = "_scan_block"
 
 
 class OrderedScan:
@@ -36,12 +36,12 @@ class OrderedScan:
         self._order = list(order)
         self._names = df.columns
         crowded = cut_lineage(
-            group_sizes(df, self._keys)
-            .filter(F.col("_rows") > hot_rows)
-            .orderBy(F.col("_rows").desc(), *self._keys)
+            group_sizes(df, self._keys, "_scan_rows")
+            .filter(F.col("_scan_rows") > hot_rows)
+            .orderBy(F.col("_scan_rows").desc(), *self._keys)
             .limit(MAX_HOT_KEYS)
         )
-        rows = crowded.agg(F.sum("_rows")).first()[0]
+        rows = crowded.agg(F.sum("_scan_rows")).first()[0]
         if rows is None:
             self._plain, self._blocked = df, None
             return
@@ -60,17 +60,17 @@ class OrderedScan:
         self._plain = self._plain.withColumn(out, F.lag(value).over(whole))
         if self._blocked is not None:
             last = self._blocked.groupBy(*self._keys, _BLOCK).agg(
-                F.max_by(value, F.struct(*self._order)).alias("_last")
+                F.max_by(value, F.struct(*self._order)).alias("_scan_last")
             )
             carried = last.select(
-                *self._keys, _BLOCK, F.lag("_last").over(self._over_blocks()).alias("_carried")
+                *self._keys, _BLOCK, F.lag("_scan_last").over(self._over_blocks()).alias("_scan_carried")
             )
             inside = Window.partitionBy(*self._keys, _BLOCK).orderBy(*self._order)
             self._blocked = (
                 self._blocked.withColumn(out, F.lag(value).over(inside))
                 .join(carried, [*self._keys, _BLOCK])
-                .withColumn(out, F.coalesce(out, "_carried"))
-                .drop("_carried")
+                .withColumn(out, F.coalesce(out, "_scan_carried"))
+                .drop("_scan_carried")
             )
         self._names = [*self._names, out]
         return self
@@ -92,19 +92,19 @@ class OrderedScan:
             before = self._over_blocks().rowsBetween(Window.unboundedPreceding, -1)
             offsets = (
                 self._blocked.groupBy(*self._keys, _BLOCK)
-                .agg(F.sum(column).alias("_sum"))
+                .agg(F.sum(column).alias("_scan_sum"))
                 .select(
                     *self._keys,
                     _BLOCK,
-                    F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+                    F.coalesce(F.sum("_scan_sum").over(before), F.lit(0)).alias("_scan_before"),
                 )
             )
             inside = Window.partitionBy(*self._keys, _BLOCK).orderBy(*self._order)
             self._blocked = (
                 self._blocked.withColumn(out, F.sum(column).over(inside.rowsBetween(*so_far)))
                 .join(offsets, [*self._keys, _BLOCK])
-                .withColumn(out, F.col(out) + F.col("_before"))
-                .drop("_before")
+                .withColumn(out, F.col(out) + F.col("_scan_before"))
+                .drop("_scan_before")
             )
         self._names = [*self._names, out]
         return self
