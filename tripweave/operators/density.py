@@ -86,7 +86,11 @@ def position_sites(
     hot_rows: int = HOT_ROWS,
     pair_budget: int = PAIR_BUDGET,
 ) -> DataFrame:
-    """Distinct positions ``_lat, _lon`` with multiplicity ``m`` and their ``site`` (or null)."""
+    """The positions of sites: ``_lat, _lon``, multiplicity ``m`` and ``site`` number.
+
+    Noise is left out.  A position repeated ``min_pts`` times is core, so what is left out
+    is never a hot key of a later join.
+    """
     chord = chord_of(eps_m)
     limit = F.lit(chord * chord)
     # A hair under chord/sqrt(3), so that rounding cannot part two positions of one cube.
@@ -143,13 +147,13 @@ def position_sites(
     )
 
     in_dense = sized_join(
-        points.filter(dense).select("pid", "cell", "n"),
+        points.filter(dense).select("_lat", "_lon", "m", "pid", "cell", "n"),
         cells.select("cell", "n").join(named.withColumnRenamed("node", "cell"), "cell"),
         ["cell"],
         ["pid"],
         "n",
         hot_rows,
-    ).select("pid", "site")
+    )
     # Its own node for a core position; for a border position every node in reach.
     candidates = (
         sparse.filter(F.col("node").isNotNull())
@@ -160,12 +164,11 @@ def position_sites(
             )
         )
     )
-    in_sparse = (
-        candidates.join(named, "node").groupBy("pid").agg(F.min("site").alias("site"))
-    )
-    return positions.join(in_dense.unionByName(in_sparse), "pid", "left").select(
-        "_lat", "_lon", "m", "site"
+    in_sparse = points.filter(~dense).join(
+        candidates.join(named, "node").groupBy("pid").agg(F.min("site").alias("site")), "pid"
     )
+    columns = ["_lat", "_lon", "m", "site"]
+    return in_dense.select(*columns).unionByName(in_sparse.select(*columns))
 
 
 def _into_cells(
@@ -174,7 +177,7 @@ def _into_cells(
     """Positions with their cube, and one row per cube; a cube is named by its first pid."""
     cube = ["cx", "cy", "cz"]
     located = positions.select(
-        "pid", "m", *[c.alias(k) for k, c in unit_sphere(F.col("_lat"), F.col("_lon")).items()]
+        "pid", "m", "_lat", "_lon", *[c.alias(k) for k, c in unit_sphere(F.col("_lat"), F.col("_lon")).items()]
     ).withColumns({"c" + axis: grid_index(F.col(axis), side) for axis in AXES})
     cells = cut_lineage(_boxes(located, cube, "cell"))
     points = cut_lineage(

@@ -6,7 +6,7 @@ vertex with very many edges is split into salts, and its value is copied to each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripweave.plans.lineage import cut_lineage
@@ -44,7 +44,7 @@ class EdgeLayout:
                 .withColumn("_salt", salt_of(["to"], self._one))
                 .drop("_salts")
             )
-        self._edges = edges.repartition(max(1, -(-rows // ROWS_PER_PARTITION)), *self._on).persist()
+        self._edges = edges.repartition(_partitions(edges.sparkSession, rows), *self._on).persist()
 
     def __enter__(self) -> EdgeLayout:
         return self
@@ -61,3 +61,12 @@ class EdgeLayout:
                 .drop("_salts")
             )
         return self._edges.join(values, self._on)
+
+
+def _partitions(spark: SparkSession, rows: int) -> int:
+    """One for a small graph.  Otherwise never below the session's shuffle width: a join
+    moves a side narrower than that, and the kept edges must stay where they are."""
+    if rows <= ROWS_PER_PARTITION:
+        return 1
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(width, -(-rows // ROWS_PER_PARTITION))

@@ -45,11 +45,9 @@ def _found(spark: SparkSession, folder: str, min_pts: int = 2) -> DataFrame:
     return density.dbscan(checkins, eps_m=400.0, min_pts=min_pts, spread_by=["event_id"])
 
 
-def _snapped(spark: SparkSession, folder: str) -> DataFrame:
-    """Check-ins moved to the sites found in them, noise dropped, ids compact."""
-    kept = sites.drop_noise(_found(spark, folder))
-    snapped = sites.snap_to_sites(kept, sites.site_centroids(kept), spread_by=["event_id"])
-    return compact_ids(snapped, "cluster", ["event_id"])
+def _at_sites(spark: SparkSession, folder: str) -> DataFrame:
+    """Check-ins with the sites found in them, noise dropped; a table, as it is read often."""
+    return cut_lineage(sites.drop_noise(_found(spark, folder)))
 
 
 def _edges(spark: SparkSession, folder: str, order: str = "time") -> DataFrame:
@@ -120,7 +118,7 @@ def site_centroids(spark, folder):
 
 @query
 def snap_to_sites(spark, folder):
-    kept = sites.drop_noise(_found(spark, folder))
+    kept = _at_sites(spark, folder)
     return sites.snap_to_sites(kept, sites.site_centroids(kept), spread_by=["event_id"]).select(
         "event_id", "user", "checkinTime", "cluster", _degrees("latitude"), _degrees("longitude")
     )
@@ -383,13 +381,13 @@ def routes_sorted(spark, folder):
 @query
 def site_transitions(spark, folder):
     """Check-ins to transition probabilities."""
-    edges = graph.transition_edges(_snapped(spark, folder))
+    edges = graph.transition_edges(_at_sites(spark, folder))
     return graph.transition_probabilities(edges)
 
 
 @query
 def popular_routes(spark, folder):
     """Check-ins to popular routes."""
-    edges = cut_lineage(graph.transition_edges(_snapped(spark, folder)))
+    edges = cut_lineage(graph.transition_edges(_at_sites(spark, folder)))
     clusters = mcl.mcl(sparse.as_matrix(edges), iterations=5, **_TEXTBOOK)
     return routes.sort_routes(routes.route_graph(clusters, edges))

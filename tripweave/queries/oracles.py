@@ -57,7 +57,7 @@ found AS MATERIALIZED (
   LEFT JOIN labels l ON l.pid = s.pid)"""
 
 
-# Site numbers from DBSCAN are dense already, so compacting them changes nothing.
+# Site numbers are dense as they come.
 _FOUND_STOPS = _density(2) + """,
 stops AS (SELECT * FROM found WHERE cluster IS NOT NULL)"""
 
