@@ -260,8 +260,12 @@ def _touching(
     while True:
         # Boxes that surely or visibly touch settle their root pair.
         judged = work.withColumn("_sure", (squared_reach("a_", "b_") <= limit) | rep)
-        sure = judged.filter("_sure").select(*roots).distinct()
-        undecided = judged.filter(~F.col("_sure")).drop("_sure").join(sure, roots, "left_anti")
+        sure = judged.filter("_sure").select(*roots)
+        undecided = judged.filter(~F.col("_sure")).drop("_sure")
+        if found is not None:
+            # From the second look on a root pair has many boxes.
+            sure = sure.distinct()
+            undecided = undecided.join(sure, roots, "left_anti")
         product = F.col("a_n") * F.col("b_n")
         little = points.filter(F.col("n") <= pair_budget)
         compared = (
@@ -271,7 +275,6 @@ def _touching(
             .join(_prefixed(little, "b_"), "b_cell")
             .filter(squared_distance("a_", "b_") <= limit)
             .select(*roots)
-            .distinct()
         )
         settled = sure.unionByName(compared)
         large = judged.filter(~F.col("_sure") & (product > pair_budget))

@@ -43,28 +43,50 @@ def mcl_matrix(
     ``product="gram", loop_value=0, normalize_input=False`` multiplies by the transpose on
     raw counts instead.
     """
-    current = matrix
+    current = cut_lineage(matrix)
     if loop_value:
         current = sparse.with_loops(current, loop_value)
     if normalize_input:
         current = sparse.normalize(current, hot_rows)
-    current = cut_lineage(current)
+    if loop_value or normalize_input:
+        current = cut_lineage(current)
+    known = sparse.Extent(**sparse.extent(current).first().asDict())
     for done in range(iterations):
-        grown = sparse.power(current, expansion, product)
-        following = sparse.inflate(grown, inflation, hot_rows)
+        light, even = _bounds(known, expansion, product, hot_rows)
+        grown = sparse.power(current, expansion, product, balanced=light)
+        following = sparse.inflate(grown, inflation, hot_rows, balanced=even)
         if done % pruning_frequency == 0:
             following = sparse.prune(following, pruning_threshold)
         following = cut_lineage(following)
-        stop = (
-            done % convergence_check_frequency == 0
-            and sparse.converged(current, following).first()["converged"]
-        )
+        # The convergence test and the sizes for the next pass in one job of one row.
+        told = sparse.extent(following)
+        if done % convergence_check_frequency == 0:
+            told = told.join(F.broadcast(sparse.converged(current, following)))
+        told = told.first().asDict()
         current = following
-        if stop:
+        if told.pop("converged", False):
             break
+        known = sparse.Extent(**told)
     return current
 
 
+def _bounds(
+    known: sparse.Extent, expansion: int, product: str, hot_rows: int
+) -> tuple[bool, bool]:
+    """Whether no inner index and no column of the product can be crowded.
+
+    A pruned matrix has fewer than 1 / threshold entries per column, so from the second pass
+    on this usually holds and the guards against skew can stay away.
+    """
+    if expansion > 2:
+        return False, False
+    if product == "power":
+        meetings, column = known.column * known.row, known.column**expansion
+    else:
+        meetings, column = known.column**2, known.row * known.column
+    return meetings <= sparse.SIDE_ENTRIES**2, column <= hot_rows
+
+
 def attractor_members(m: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(``attractor``, ``member``) pairs: rows with a positive diagonal, and their columns.
 

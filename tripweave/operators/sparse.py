@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,42 +31,65 @@ def as_matrix(edges: DataFrame, weight: str = "normal") -> DataFrame:
     )
 
 
-def multiply(a: DataFrame, b: DataFrame, side_entries: int = SIDE_ENTRIES) -> DataFrame:
-    """A · B."""
-    return _product(a, b.select(F.col("i").alias("k"), F.col("j").alias("c"), "v"), side_entries)
+@dataclass(frozen=True)
+class Extent:
+    """The most entries in one column and in one row."""
+
+    column: int
+    row: int
+
+
+def multiply(
+    a: DataFrame, b: DataFrame, side_entries: int = SIDE_ENTRIES, balanced: bool = False
+) -> DataFrame:
+    """A · B.  ``balanced``: the caller knows that no inner index is crowded."""
+    right = b.select(F.col("i").alias("k"), F.col("j").alias("c"), "v")
+    return _product(a, right, side_entries, balanced)
 
 
 def multiply_transposed(
-    a: DataFrame, b: DataFrame, side_entries: int = SIDE_ENTRIES
+    a: DataFrame, b: DataFrame, side_entries: int = SIDE_ENTRIES, balanced: bool = False
 ) -> DataFrame:
-    """A · Bᵀ."""
-    return _product(a, b.select(F.col("j").alias("k"), F.col("i").alias("c"), "v"), side_entries)
+    """A · Bᵀ.  ``balanced`` as in :func:`multiply`."""
+    right = b.select(F.col("j").alias("k"), F.col("i").alias("c"), "v")
+    return _product(a, right, side_entries, balanced)
 
 
 def power(
-    a: DataFrame, n: int, product: str = "power", side_entries: int = SIDE_ENTRIES
+    a: DataFrame,
+    n: int,
+    product: str = "power",
+    side_entries: int = SIDE_ENTRIES,
+    balanced: bool = False,
 ) -> DataFrame:
     """``n - 1`` multiplications of A: by A (``product="power"``, the matrix power) or by its
-    transpose (``product="gram"``)."""
+    transpose (``product="gram"``).  ``balanced`` speaks of the first one only."""
     times = {"power": multiply, "gram": multiply_transposed}[product]
     result = a
     for step in range(1, n):
-        result = times(result if step == 1 else cut_lineage(result), a, side_entries)
+        first = step == 1
+        result = times(result if first else cut_lineage(result), a, side_entries, balanced and first)
     return result
 
 
-def normalize(m: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Divide each entry by the sum of its column."""
+def normalize(m: DataFrame, hot_rows: int = HOT_ROWS, balanced: bool = False) -> DataFrame:
+    """Divide each entry by the sum of its column.
+
+    ``balanced``: the caller knows that no column has more than ``hot_rows`` entries.
+    """
     sums = m.groupBy("j").agg(F.sum("v").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    return spread_join(
-        m, sums.drop("_rows"), ["j"], ["i"], hot_keys(sums, ["j"], hot_rows=hot_rows)
-    ).select("i", "j", (F.col("v") / F.col("_sum")).alias("v"))
+    hot = None if balanced else hot_keys(sums, ["j"], hot_rows=hot_rows)
+    return spread_join(m, sums.drop("_rows"), ["j"], ["i"], hot).select(
+        "i", "j", (F.col("v") / F.col("_sum")).alias("v")
+    )
 
 
-def inflate(m: DataFrame, r: float, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Raise each entry to ``r`` and normalise the columns."""
+def inflate(
+    m: DataFrame, r: float, hot_rows: int = HOT_ROWS, balanced: bool = False
+) -> DataFrame:
+    """Raise each entry to ``r`` and normalise the columns; ``balanced`` as there."""
     raised = F.col("v") * F.col("v") if r == 2 else F.pow("v", F.lit(float(r)))
-    return normalize(m.select("i", "j", raised.alias("v")), hot_rows)
+    return normalize(m.select("i", "j", raised.alias("v")), hot_rows, balanced)
 
 
 def prune(m: DataFrame, threshold: float) -> DataFrame:
@@ -86,6 +111,18 @@ def converged(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def extent(m: DataFrame) -> DataFrame:
+    """One row, ``column`` and ``row``: the numbers of :class:`Extent`."""
+    counts = None
+    for name, key in (("column", "j"), ("row", "i")):
+        most = group_sizes(m, [key]).agg(F.max("_rows").alias("most"))
+        one = most.select(F.lit(name).alias("side"), "most")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.agg(
+        *[F.coalesce(F.max(F.when(F.col("side") == n, F.col("most"))), F.lit(0)).alias(n) for n in ("column", "row")]
+    )
+
+
 def with_loops(m: DataFrame, value: float | str) -> DataFrame:
     """Add an entry on the diagonal for every index: ``value``, or with ``"max"`` the largest
     entry of the column (1 for an empty column).  Loops already there are kept on top."""
@@ -99,7 +136,7 @@ def with_loops(m: DataFrame, value: float | str) -> DataFrame:
     return m.unionByName(loops).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def _product(a: DataFrame, b: DataFrame, side_entries: int) -> DataFrame:
+def _product(a: DataFrame, b: DataFrame, side_entries: int, balanced: bool) -> DataFrame:
     """Sum of a.v * b.v over the shared inner index: A's column, B's ``k``.
 
     All entries of A's column k meet all entries of B's row k; that is what the product is.
@@ -108,6 +145,8 @@ def _product(a: DataFrame, b: DataFrame, side_entries: int) -> DataFrame:
     """
     left = a.select(F.col("j").alias("k"), "i", F.col("v").alias("_a"))
     right = b.select("k", "c", F.col("v").alias("_b"))
+    if balanced:
+        return _summed(left.join(right, "k"))
     hubs = F.broadcast(
         group_sizes(left, ["k"], "_an")
         .join(group_sizes(right, ["k"], "_bn"), "k")
@@ -133,9 +172,12 @@ def _product(a: DataFrame, b: DataFrame, side_entries: int) -> DataFrame:
         .withColumn("_p", all_salts(ps))
         .drop("_ps", "_qs")
     )
+    return _summed(left.join(right, ["k", "_p", "_q"]))
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
     return (
-        left.join(right, ["k", "_p", "_q"])
-        .groupBy("i", F.col("c").alias("j"))
+        pairs.groupBy("i", F.col("c").alias("j"))
         .agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
         .filter(F.col("v") != 0)
     )
