@@ -3,11 +3,14 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    home = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]")
         .appName("tripweave-tests")
         .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.checkpoint.dir", str(home / "shared"))
+        .config("spark.sql.warehouse.dir", str(home / "warehouse"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")

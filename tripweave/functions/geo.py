@@ -31,7 +31,7 @@ def chord_of(distance_m: float) -> float:
 
 def squared_distance(a: str, b: str) -> Column:
     """Between two points whose coordinates are named prefix + axis."""
-    return F.expr(_sum_of_squares([f"({a}{axis} - {b}{axis})" for axis in AXES]))
+    return F.expr(sum_of_squares([f"({a}{axis} - {b}{axis})" for axis in AXES]))
 
 
 def squared_gap(a: str, b: str) -> Column:
@@ -41,7 +41,7 @@ def squared_gap(a: str, b: str) -> Column:
     gap above the distance of a pair of points inside the boxes.
     """
     return F.expr(
-        _sum_of_squares(
+        sum_of_squares(
             [
                 f"greatest({a}{axis}0 - {b}{axis}1, {b}{axis}0 - {a}{axis}1, 0D)"
                 for axis in AXES
@@ -53,7 +53,7 @@ def squared_gap(a: str, b: str) -> Column:
 def squared_reach(a: str, b: str) -> Column:
     """Largest possible squared distance between two boxes (prefix + axis + 0/1)."""
     return F.expr(
-        _sum_of_squares(
+        sum_of_squares(
             [f"greatest({a}{axis}1 - {b}{axis}0, {b}{axis}1 - {a}{axis}0)" for axis in AXES]
         )
     )
@@ -71,5 +71,5 @@ def grid_index(value: Column, side: float) -> Column:
     return F.floor(value / F.lit(side))
 
 
-def _sum_of_squares(terms: list[str]) -> str:
+def sum_of_squares(terms: list[str]) -> str:
     return " + ".join(f"{term} * {term}" for term in terms)

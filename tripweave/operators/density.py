@@ -14,7 +14,6 @@ position with several clusters in reach goes to the one with the smallest core p
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +27,7 @@ from tripweave.functions.geo import (
     squared_distance,
     squared_gap,
     squared_reach,
+    sum_of_squares,
     unit_sphere,
 )
 from tripweave.operators.components import connected_components
@@ -45,6 +45,9 @@ PAIR_BUDGET = 4096
 # A box that needs a closer look is cut into this many parts per axis.
 _FINER = 4
 
+# Cubes per axis in a block of the neighbour search.
+_BLOCK = 4
+
 _BOX = [f"{axis}{end}" for axis in AXES for end in (0, 1)]
 _REP = [f"r{axis}" for axis in AXES]
 
@@ -203,35 +206,49 @@ def _boxes(points: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def _adjacent(cells: DataFrame, side: float) -> DataFrame:
-    """Each pair of occupied cubes close enough to hold neighbours, once."""
-    steps = [s for s in itertools.product(range(-2, 3), repeat=3) if s > (0, 0, 0)]
-    listed = ", ".join(f"named_struct('x', {x}, 'y', {y}, 'z', {z})" for x, y, z in steps)
-    step = F.expr(f"explode(array({listed}))")
-    wanted = cells.select(
-        *[F.col(c).alias("a_" + c) for c in _carried()], "cx", "cy", "cz", step.alias("s")
-    ).select(
-        *["a_" + c for c in _carried()],
-        *[(F.col("c" + axis) + F.col("s." + axis)).alias("c" + axis) for axis in AXES],
+    """Each pair of occupied cubes close enough to hold neighbours, once.
+
+    Such cubes are at most two steps apart on every axis.  Cubes are gathered in blocks of
+    ``_BLOCK`` per axis: one side joins by its own block, the other by every block within two
+    steps.  A block holds at most ``_BLOCK`` cubed cubes, so no group of the join can grow.
+    """
+    around = cells.select("cell", "cx", "cy", "cz")
+    for axis in AXES:
+        low, high = (f"floor((c{axis} {way} 2) / {_BLOCK})" for way in "-+")
+        around = around.withColumn("b" + axis, F.expr(f"explode(array_distinct(array({low}, {high})))"))
+    block = ["bx", "by", "bz"]
+    here = cells.selectExpr(
+        "cell AS a_cell",
+        *[f"c{axis} AS a{axis}" for axis in AXES],
+        *[f"floor(c{axis} / {_BLOCK}) AS b{axis}" for axis in AXES],
+    )
+    steps = " AND ".join(f"abs(a{axis} - c{axis}) <= 2" for axis in AXES)
+    # Only names travel through this join; boxes are fetched for the pairs it finds.
+    pairs = (
+        here.hint("shuffle_hash")
+        .join(around.filter(_meets_sphere("b", side * _BLOCK)), block)
+        .filter(f"a_cell < cell AND {steps}")
+        .select("a_cell", F.col("cell").alias("b_cell"))
     )
-    return wanted.filter(_meets_sphere(side)).join(
-        cells.select("cx", "cy", "cz", *[F.col(c).alias("b_" + c) for c in _carried()]),
-        ["cx", "cy", "cz"],
-    ).drop("cx", "cy", "cz")
+    for end in ("a_", "b_"):
+        pairs = pairs.join(cells.select(*[F.col(c).alias(end + c) for c in _carried()]), end + "cell")
+    return pairs
 
 
 def _carried() -> list[str]:
     return ["cell", "n", "weight", *_BOX, *_REP]
 
 
-def _meets_sphere(side: float) -> Column:
-    """Drops cubes the unit sphere does not cross: they cannot hold a position."""
-    nearest, farthest = [], []
+def _meets_sphere(prefix: str, side: float) -> Column:
+    """Drops cubes (prefix + axis) the unit sphere does not cross: they hold no position."""
+    inner, outer = [], []
     for axis in AXES:
-        low, high = f"(c{axis} * {side!r}D)", f"((c{axis} + 1) * {side!r}D)"
-        nearest.append(f"power(greatest({low}, -{high}, 0D), 2)")
-        farthest.append(f"power(greatest(abs({low}), abs({high})), 2)")
+        low, high = f"({prefix}{axis} * {side!r}D)", f"(({prefix}{axis} + 1) * {side!r}D)"
+        inner.append(f"greatest({low}, -{high}, 0D)")
+        outer.append(f"greatest(abs({low}), abs({high}))")
+    nearest, farthest = sum_of_squares(inner), sum_of_squares(outer)
     # The margin is far above rounding and far below the side of a cube.
-    return F.expr(f"{' + '.join(nearest)} <= 1 + 1e-9D AND {' + '.join(farthest)} >= 1 - 1e-9D")
+    return F.expr(f"{nearest} <= 1 + 1e-9D AND {farthest} >= 1 - 1e-9D")
 
 
 def _touching(
