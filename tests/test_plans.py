@@ -1,9 +1,10 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tripweave.plans.lineage import cut_lineage, shared_folder
+from tripweave.plans.lineage import RollingCut, cut_lineage, shared_folder
 from tripweave.plans.ordered import OrderedScan
 from tripweave.plans.ranking import compact_ids
 from tripweave.plans.skew import group_sizes, hot_keys, hot_keys_if_any, sized_join, spread_join
@@ -89,3 +90,12 @@ def test_compact_ids_over_many_partitions(spark):
     df = spark.range(0, 5000).selectExpr("id", "pmod(id * 7919, 1000) * 3 AS v")
     wrong = compact_ids(df.withColumn("want", F.expr("v div 3 + 1")), "v").filter("v <> want")
     assert wrong.count() == 0
+
+
+def test_rolling_cut_keeps_the_last_two(spark):
+    cut = RollingCut()
+    copies = [cut(spark.range(n)) for n in range(1, 5)]
+    kept = [c.inputFiles() for c in copies[2:]]
+    assert all(kept) and [c.count() for c in copies[2:]] == [3, 4]
+    gone = {Path(f.removeprefix("file:")).parent for f in copies[0].inputFiles() + copies[1].inputFiles()}
+    assert gone and not any(folder.exists() for folder in gone)

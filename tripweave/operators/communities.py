@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripweave.operators.graph import SiteGraph
 from tripweave.operators.messages import EdgeLayout
-from tripweave.plans.lineage import cut_lineage
+from tripweave.plans.lineage import RollingCut
 from tripweave.plans.skew import HOT_ROWS
 
 _ROUNDS_PER_CUT = 5
@@ -32,6 +32,7 @@ def label_propagation(
         .unionByName(ids.select("id", F.col("id").alias("to"), F.lit(0).alias("votes")))
     )
     with EdgeLayout(lines, hot_rows) as layout:
+        cut = RollingCut()
         labels = ids.select("id", F.col("id").alias("label"))
         for done in range(1, max_iter + 1):
             votes = (
@@ -42,9 +43,8 @@ def label_propagation(
             labels = votes.groupBy("id").agg(
                 F.max_by("label", F.struct("votes", -F.col("label"))).alias("label")
             )
-            if done % _ROUNDS_PER_CUT == 0:
-                labels = cut_lineage(labels)
-        labels = cut_lineage(labels)
+            if done % _ROUNDS_PER_CUT == 0 or done == max_iter:
+                labels = cut(labels)
     return graph.vertices.join(labels, "id")
 
 

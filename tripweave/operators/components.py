@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.plans.lineage import cut_lineage
+from tripweave.plans.lineage import RollingCut
 from tripweave.plans.skew import HOT_ROWS, hot_keys, spread_join
 
 
@@ -20,7 +20,8 @@ def connected_components(
 
     ``edges`` has columns ``a`` and ``b``; direction, repeats and loops do not matter.
     """
-    links = cut_lineage(
+    cut = RollingCut()
+    links = cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .filter(F.col("u") != F.col("v"))
         .distinct()
@@ -32,7 +33,7 @@ def connected_components(
         # A large star makes at most one link of each link of a node, so the width found
         # here bounds both joins; within the bound a plain join is balanced.
         skewed = widest > hot_rows
-        links = cut_lineage(
+        links = cut(
             _small_star(_large_star(links, skewed, hot_rows), skewed, hot_rows)
         )
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("_root"))

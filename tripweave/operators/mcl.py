@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.operators import sparse
-from tripweave.plans.lineage import cut_lineage
+from tripweave.plans.lineage import RollingCut, cut_lineage
 from tripweave.plans.ranking import dense_ranks
 from tripweave.plans.skew import (
     HOT_ROWS,
@@ -48,8 +48,9 @@ def mcl_matrix(
         current = sparse.with_loops(current, loop_value)
     if normalize_input:
         current = sparse.normalize(current, hot_rows)
+    cut = RollingCut()
     if loop_value or normalize_input:
-        current = cut_lineage(current)
+        current = cut(current)
     known = sparse.Extent(**sparse.extent(current).first().asDict())
     for done in range(iterations):
         light, even = _bounds(known, expansion, product, hot_rows)
@@ -57,7 +58,7 @@ def mcl_matrix(
         following = sparse.inflate(grown, inflation, hot_rows, balanced=even)
         if done % pruning_frequency == 0:
             following = sparse.prune(following, pruning_threshold)
-        following = cut_lineage(following)
+        following = cut(following)
         # The convergence test and the sizes for the next pass in one job of one row.
         told = sparse.extent(following)
         if done % convergence_check_frequency == 0:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tripweave.operators.graph import SiteGraph
 from tripweave.operators.messages import EdgeLayout
-from tripweave.plans.lineage import cut_lineage
+from tripweave.plans.lineage import RollingCut
 from tripweave.plans.skew import HOT_ROWS
 
 # Rounds put into one job when no convergence test is asked for.
@@ -38,7 +38,8 @@ def pagerank(
         F.col("src").alias("id"), F.col("dst").alias("to"), F.lit(1.0).alias("part")
     ).unionByName(ids.select("id", F.col("id").alias("to"), F.lit(0.0).alias("part")))
     with EdgeLayout(lines, hot_rows) as layout:
-        ranks = cut_lineage(
+        cut = RollingCut()
+        ranks = cut(
             ids.join(degrees, "id", "left").select(
                 "id",
                 F.coalesce("degree", F.lit(1)).alias("degree"),
@@ -51,12 +52,14 @@ def pagerank(
             ranks = _round(layout, ranks, reset)
             done += 1
             if tol is not None:
-                ranks = cut_lineage(ranks)
-                moved = ranks.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
-                if moved is None or moved <= tol:
+                # Measured while the round is written; a repeated task cannot change a maximum.
+                seen = Observation()
+                moved = F.max(F.abs(F.col("rank") - F.col("before"))).alias("moved")
+                ranks = cut(ranks.observe(seen, moved))
+                if (seen.get["moved"] or 0.0) <= tol:
                     break
             elif done % _ROUNDS_PER_CUT == 0 or done == max_iter:
-                ranks = cut_lineage(ranks)
+                ranks = cut(ranks)
     sums = ranks.agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("total")).first()
     scale = sums["n"] / sums["total"] if sums["n"] else 1.0
     return graph.vertices.join(

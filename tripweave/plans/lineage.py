@@ -34,6 +34,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     comes back with its true size and without the size guesses and constraints a checkpoint
     inherits, which square with every product in a loop.
     """
+    return _written(df)[1]
+
+
+class RollingCut:
+    """:func:`cut_lineage` for the rounds of a loop; only the last two copies are kept.
+
+    A round may read the copies of the round before and of its own, nothing older.
+    """
+
+    def __init__(self):
+        self._paths: list[str] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path, copy = _written(df)
+        self._paths.append(path)
+        if len(self._paths) > 2:
+            _remove(df.sparkSession, self._paths.pop(0))
+        return copy
+
+
+def _written(df: DataFrame) -> tuple[str, DataFrame]:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
