@@ -56,7 +56,8 @@ def test_sized_join_equals_plain_join(spark):
 @pytest.mark.parametrize("hot_rows", [5, 1_000_000])
 def test_ordered_scan(spark, hot_rows):
     rng = random.Random(11)
-    rows = [(rng.choice("aaaaab"), rng.randrange(40), i, rng.randrange(5)) for i in range(200)]
+    keys = ["a", "a", "a", None, None, "b"]
+    rows = [(rng.choice(keys), rng.randrange(40), i, rng.randrange(5)) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, t int, id int, v int")
     got = (
         OrderedScan(df, ["k"], ["t", "id"], hot_rows)
@@ -67,7 +68,7 @@ def test_ordered_scan(spark, hot_rows):
         .collect()
     )
     want = {}
-    for key in "ab":
+    for key in ("a", "b", None):
         before, ups = None, 0
         for _, t, i, v in sorted((r for r in rows if r[0] == key), key=lambda r: r[1:3]):
             ups += before is not None and v > before[1]

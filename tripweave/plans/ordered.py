@@ -46,9 +46,9 @@ class OrderedScan:
             self._plain, self._blocked = df, None
             return
         listed = F.broadcast(crowded.select(*self._keys))
-        self._plain = df.join(listed, self._keys, "left_anti")
+        self._plain = _same_keys(df, listed, self._keys, "left_anti")
         self._blocked = cut_lineage(
-            df.join(listed, self._keys, "left_semi")
+            _same_keys(df, listed, self._keys, "left_semi")
             .repartitionByRange(int(-(-rows // hot_rows)) + 1, *self._keys, *self._order)
             .withColumn(_BLOCK, F.spark_partition_id())
         )
@@ -67,8 +67,11 @@ class OrderedScan:
             )
             inside = Window.partitionBy(*self._keys, _BLOCK).orderBy(*self._order)
             self._blocked = (
-                self._blocked.withColumn(out, F.lag(value).over(inside))
-                .join(carried, [*self._keys, _BLOCK])
+                _same_keys(
+                    self._blocked.withColumn(out, F.lag(value).over(inside)),
+                    carried,
+                    [*self._keys, _BLOCK],
+                )
                 .withColumn(out, F.coalesce(out, "_scan_carried"))
                 .drop("_scan_carried")
             )
@@ -101,8 +104,11 @@ class OrderedScan:
             )
             inside = Window.partitionBy(*self._keys, _BLOCK).orderBy(*self._order)
             self._blocked = (
-                self._blocked.withColumn(out, F.sum(column).over(inside.rowsBetween(*so_far)))
-                .join(offsets, [*self._keys, _BLOCK])
+                _same_keys(
+                    self._blocked.withColumn(out, F.sum(column).over(inside.rowsBetween(*so_far))),
+                    offsets,
+                    [*self._keys, _BLOCK],
+                )
                 .withColumn(out, F.col(out) + F.col("_scan_before"))
                 .drop("_scan_before")
             )
@@ -117,3 +123,13 @@ class OrderedScan:
 
     def _over_blocks(self):
         return Window.partitionBy(*self._keys).orderBy(_BLOCK)
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null: rows without a key are a group too."""
+    right = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_right_{key}"))
+    joined = left.join(right, same, how)
+    return joined.drop(*(f"_right_{key}" for key in keys))
