@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import shutil
+import tempfile
+from collections.abc import Callable, Sequence
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,29 @@ from pyspark.sql import functions as F
 #: and later words are computed anew, so results do not depend on it.
 WORKER_CACHE = 400_000
 
+_shipped: set[str] = set()
+
+
+def ship_package(context: SparkContext) -> None:
+    """Give the workers this package as a Python file of the application, once a session.
+
+    Functions that run in workers are then found there by name, wherever the driver had the
+    package from, and what a module keeps lasts from task to task.
+    """
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="package-")
+    archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship_package(rows.sparkSession.sparkContext)
+    return rows.mapInArrow(function, schema)
+
 
 def key_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator reads, under fixed names; a null text is empty.

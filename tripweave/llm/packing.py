@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import WORKER_CACHE, key_and_text
+from tripweave.llm.common import WORKER_CACHE, key_and_text, map_arrow, ship_package
 from tripweave.plans.lineage import cut_lineage
 
 #: Split of a text before the merges, as the byte-level vocabularies of this family fix it.
@@ -157,7 +157,7 @@ def token_pieces(
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
-    return key_and_text(docs, key, text).mapInArrow(cut, schema + (", ids array<int>" if with_ids else ""))
+    return map_arrow(key_and_text(docs, key, text), cut, schema + (", ids array<int>" if with_ids else ""))
 
 
 # --- plan over the histogram --------------------------------------------------------
@@ -305,8 +305,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     histogram = {
         r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     }
-    table = _places(pack_histogram(histogram, capacity))
-    shared = pieces.sparkSession.sparkContext.broadcast(table)
+    context = pieces.sparkSession.sparkContext
+    ship_package(context)
+    shared = context.broadcast(_places(pack_histogram(histogram, capacity)))
     # The window has a row per task and length, not per piece.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranked = pieces.join(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import packing, sharding, tokens, warc
+from tripweave.llm import packing, rules, sharding, simhash, tokens, warc
 from tripweave.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,12 @@ def crawl_records(pages: DataFrame) -> DataFrame:
     )
 
 
+@query
+def op6_simhash_near_dedup(spark, folder):
+    found = simhash.near_duplicates(table(spark, folder, "documents"), words=3, distance=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op7_revisit_resolution(spark, folder):
     resolved = warc.resolve_revisits(crawl_records(table(spark, folder, "pages")))
@@ -142,6 +148,11 @@ SELECT record_id, canonical, captured_s,
 FROM judged"""
 
 
+@query
+def op9_quality_rules(spark, folder):
+    return rules.repetition(table(spark, folder, "documents"))
+
+
 @query
 def op10_token_counts(spark, folder):
     counted = tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

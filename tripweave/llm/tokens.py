@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripweave.llm.common import WORKER_CACHE, key_and_text
+from tripweave.llm.common import WORKER_CACHE, key_and_text, map_arrow
 
 #: Bytes of the longest pre-token that the broadcast table takes up.
 LONGEST = 48
@@ -87,9 +87,7 @@ def frequent_pretokens(docs: DataFrame, entries: int = 65_536, per_task: int = 4
         )
 
     return (
-        key_and_text(docs)
-        .select("text")
-        .mapInArrow(leaders, "pretoken string, n long")
+        map_arrow(key_and_text(docs).select("text"), leaders, "pretoken string, n long")
         .groupBy("pretoken")
         .agg(F.sum("n").alias("n"))
         .orderBy(F.col("n").desc(), "pretoken")
@@ -139,4 +137,4 @@ def token_counts(
                 }
             )
 
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    return map_arrow(rows, count, "doc_id long, n_bytes long, n_tokens long")
