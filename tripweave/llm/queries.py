@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import packing, rules, sharding, simhash, tokens, warc
+from tripweave.llm import packing, quality, rules, sharding, simhash, tokens, toxicity, warc
 from tripweave.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,23 @@ def op1_best_fit_packing(spark, folder):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op4_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    known = table(spark, folder, "labels").filter(~held_out(5, 0)).select("doc_id", "toxic")
+    model = toxicity.train(docs.select("doc_id", "text").join(known, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        held_out(5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "sentences",
+        "worst",
+        "worst_score",
+    )
+
+
 @query
 def op5_sharding(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id")
@@ -148,6 +165,19 @@ SELECT record_id, canonical, captured_s,
 FROM judged"""
 
 
+@query
+def op8_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents")
+    known = table(spark, folder, "labels").filter(~held_out(3, 1))
+    scored = quality.classify(docs, known, "quality")
+    return scored.select(
+        "doc_id",
+        held_out(3, 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op9_quality_rules(spark, folder):
     return rules.repetition(table(spark, folder, "documents"))
