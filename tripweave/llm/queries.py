@@ -85,8 +85,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 @query
 def op4_toxicity(spark, folder):
     docs = table(spark, folder, "documents")
-    known = table(spark, folder, "labels").filter(~held_out(5, 0)).select("doc_id", "toxic")
-    model = toxicity.train(docs.select("doc_id", "text").join(known, "doc_id"))
+    known = table(spark, folder, "labels").filter(~held_out(5, 0))
+    model = toxicity.train(docs, known)
     scored = toxicity.score(docs, model)
     return scored.select(
         "doc_id",

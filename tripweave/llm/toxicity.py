@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.llm.common import WORKER_CACHE, key_and_text, map_arrow
+from tripweave.plans.lineage import cut_lineage
 
 #: Weights, a power of two; a word and its beginnings are hashed onto them.
 WIDTH = 1 << 18
@@ -124,29 +125,42 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def train(
-    labelled: DataFrame,
-    text: str = "text",
+    docs: DataFrame,
+    labels: DataFrame,
     label: str = "toxic",
+    key: str = "doc_id",
+    text: str = "text",
     per_class: int = 3_000,
-    longest: int = 20_000,
+    longest: int = 120_000,
 ) -> Model:
-    """Fit a model to ``labelled`` (text and a 0/1 label; null labels are left out).
+    """Fit a model to the documents that ``labels`` (key and a 0/1 label, nulls left out) covers.
 
-    The fit sees at most ``per_class`` documents of each label, those whose texts hash lowest,
-    of at most ``longest`` characters times six (about ``longest`` words); the class counts that
-    weight them are of all rows.  One task fits, and the driver gets the weights only.  Without
-    documents of both labels the model answers the share of label 1, or 0 without any label.
+    The fit sees at most ``per_class`` documents of each label, those whose keys hash lowest,
+    of at most ``longest`` characters; the class counts that weight them are of all labelled
+    documents.  Only keys and labels are shuffled; the texts of the sample, whose number and
+    length are bounded, go to one task, and the driver gets the weights.  Without documents of
+    both labels the model answers the share of label 1, or 0 without any label.
     """
-    rows = labelled.select(
-        F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")
-    ).filter(F.col("label").isin(0, 1))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    rows = key_and_text(docs, key, text)
+    sized = rows.select("doc_id", F.length("text").alias("size"), (F.trim("text") != "").alias("filled"))
+    pool = cut_lineage(sized.join(known, "doc_id"))
+    counts = {r["label"]: r["n"] for r in pool.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    usable = rows.filter((F.length("text") <= 6 * longest) & (F.trim("text") != ""))
-    drawn = None
+    usable = pool.filter((F.col("size") <= longest) & F.col("filled")).groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = None
     for value in (0, 1):
-        own = usable.filter(F.col("label") == value).orderBy(F.xxhash64("text")).limit(per_class)
-        drawn = own if drawn is None else drawn.unionByName(own)
+        own = usable.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        chosen = own if chosen is None else chosen.unionByName(own)
+    # Twice per_class rows of two numbers: safe to broadcast.  A key's copies count once.
+    drawn = (
+        rows.filter(F.length("text") <= longest)
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "label")
+        .agg(F.min("text").alias("text"))
+        .select("text", "label")
+    )
 
     def fitted(batches):
         labels, sentences, words, features = [], [], [], []
