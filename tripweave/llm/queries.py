@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import decontam, packing, quality, rules, sharding, simhash, tokens, toxicity, warc
+from tripweave.llm import decontam, lm, packing, quality, rules, sharding, simhash, tokens, toxicity, warc
 from tripweave.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,20 @@ def op1_best_fit_packing(spark, folder):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op2_lm_scoring(spark, folder):
+    scored = lm.score(table(spark, folder, "documents"), train=~held_out(5, 1), order=2)
+    return scored.select(
+        "doc_id",
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op3_decontamination(spark, folder):
     found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=13)
