@@ -1,10 +1,90 @@
-"""Stages from raw documents to packed training sequences."""
+"""From raw documents to packed training sequences, in stages that each work on what the stage
+before has kept.
+
+A stage takes (spark, docs, folder) and returns a DataFrame; it is written as Parquet and read
+again as the next one's docs.  All but the last return the columns of ``documents`` as they are.
+Rows without a doc_id cannot be told apart and are dropped by the first stage.  Near duplicates
+and decontamination name doc_ids to drop, so rows that share a doc_id share its worst verdict.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripweave.llm import decontam, packing, rules, simhash, toxicity
+from tripweave.llm.common import remainder
+from tripweave.plans.lineage import cut_lineage, shared_folder
+
+#: SQL cannot express the noisy-or training or the fingerprints; the tests use brute force.
 ORACLE_SQL = None
 
 
-def pipeline(spark, folder):
-    raise NotImplementedError
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the doc_ids in ``rejected``.  They are written first, so Spark knows their
+    size and broadcasts them if, and only if, its threshold allows."""
+    bad = cut_lineage(rejected.select(F.col("doc_id").alias("_rejected")).distinct())
+    return docs.join(bad, docs["doc_id"] == bad["_rejected"], "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Drop documents that the base rules or the repetition rules reject."""
+    return rules.passing(docs.filter(F.col("doc_id").isNotNull()))
+
+
+def toxic_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Drop documents whose noisy-or score is one half or more.  The labels of a fifth of the
+    doc_ids are held out from training, as in the operator's own query."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(remainder("doc_id", 5) != 0)
+    return toxicity.passing(docs, toxicity.train(docs, labels), below=0.5)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Keep of each component of linked fingerprints the document with the smallest doc_id, and
+    of rows that repeat a doc_id one."""
+    found = simhash.near_duplicates(docs, words=3, distance=3)
+    kept = _without(docs, found.filter(F.col("doc_id") != F.col("component_id")))
+    counted = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = cut_lineage(counted.filter(F.col("n") > 1).select(F.col("doc_id").alias("_repeated")))
+    if repeated.isEmpty():
+        return kept
+    same = kept["doc_id"] == repeated["_repeated"]
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, same, "left_anti").unionByName(once)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Drop documents of which a twentieth or more of the words lie in benchmark passages."""
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = decontam.contamination(docs, items, window=13)
+    hit = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+    return _without(docs, found.filter(hit))
+
+
+def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Pieces of the documents, each with its sequence and place there."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``; each stage is written to the shared folder."""
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        result = stage(spark, docs, sf_dir)
+        if number == len(STAGES) - 1:
+            return result
+        result.write.parquet(f"{root}/{number}")
+        docs = spark.read.schema(result.schema).parquet(f"{root}/{number}")

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Entries a worker keeps of what it has computed per word.  A full cache stops growing
 #: and later words are computed anew, so results do not depend on it.
@@ -33,7 +34,7 @@ def ship_package(context: SparkContext) -> None:
     _shipped.add(context.applicationId)
 
 
-def map_arrow(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_arrow(rows: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package at hand in the workers."""
     ship_package(rows.sparkSession.sparkContext)
     return rows.mapInArrow(function, schema)

@@ -130,31 +130,13 @@ def repetition(
     sorted whole whatever its length, in about 40 bytes a word and doubling round.
     """
 
+    limits = (repeat_words, most_covered, longest_share)
+
     def judge(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
-            texts = batch.column("text").to_pylist()
-            parts, group, size = [], [], 0
-            for one in texts:
-                words = one.encode().split()
-                if group and size + len(words) > TOGETHER:
-                    parts.append(_judged(group, repeat_words, with_spans))
-                    group, size = [], 0
-                group.append((one, words))
-                size += len(words)
-            if group:
-                parts.append(_judged(group, repeat_words, with_spans))
-            found = {name: np.concatenate([p[name] for p in parts]) for name in (parts[0] if parts else ())}
-            if not parts:
-                continue
+            found = _verdicts(batch.column("text").to_pylist(), *limits, with_spans)
             spans = found.pop("spans", None)
-            words, repeats = found["n_words"], found["n_repeat_words"]
-            base = (words < 50) | (100 * repeats > 50 * words)
-            bad = (found["n_covered_words"] > most_covered * words) | (
-                found["longest_repeat"] > longest_share * words
-            )
-            columns = {"doc_id": ids} | {n: pa.array(v, pa.int64()) for n, v in found.items()}
-            columns |= {"base_failed": pa.array(base), "kept": pa.array(~base & ~bad)}
+            columns = {"doc_id": batch.column("doc_id")} | {n: pa.array(v) for n, v in found.items()}
             if spans is not None:
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 columns["spans"] = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind)
@@ -169,6 +151,43 @@ def repetition(
     return map_arrow(key_and_text(docs, key, text), judge, schema)
 
 
+def passing(
+    docs: DataFrame,
+    text: str = "text",
+    repeat_words: int = 10,
+    most_covered: float = 0.5,
+    longest_share: float = 0.3,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`repetition` keeps; no shuffle."""
+
+    def keep(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(_verdicts(texts, repeat_words, most_covered, longest_share)["kept"]))
+
+    return map_arrow(docs, keep, docs.schema)
+
+
+def _verdicts(
+    texts: list[str], repeat_words: int, most_covered: float, longest_share: float, with_spans: bool = False
+) -> dict[str, np.ndarray]:
+    """The columns of :func:`repetition` for some texts, sorted together in groups."""
+    parts, group, size = [], [], 0
+    for one in texts:
+        words = one.encode().split()
+        if group and size + len(words) > TOGETHER:
+            parts.append(_judged(group, repeat_words, with_spans))
+            group, size = [], 0
+        group.append((one, words))
+        size += len(words)
+    parts.append(_judged(group, repeat_words, with_spans))
+    found = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+    words = found["n_words"]
+    base = (words < 50) | (100 * found["n_repeat_words"] > 50 * words)
+    bad = (found["n_covered_words"] > most_covered * words) | (found["longest_repeat"] > longest_share * words)
+    return found | {"base_failed": base, "kept": ~base & ~bad}
+
+
 def _judged(group: list[tuple[str, list[bytes]]], repeat_words: int, with_spans: bool) -> dict[str, np.ndarray]:
     """Statistics of some texts, from one sort of all their words."""
     sizes = np.array([len(words) for _, words in group], np.int64)

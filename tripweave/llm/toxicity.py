@@ -231,6 +231,22 @@ class _Scorer:
         sums = np.add.reduceat(np.array(values), np.append(0, ends[:-1]))
         return _softplus(sums + self.model.bias)
 
+    def documents(self, texts: list[str]):
+        """The totals of the sentences of each text, many texts at once."""
+        at = 0
+        while at < len(texts):
+            tokens: list[str] = []
+            bounds, counts = [], []
+            while at < len(texts) and (not counts or len(tokens) < TOGETHER):
+                own = texts[at].lower().split()
+                ends = _ends(own)
+                bounds.append(ends + len(tokens))
+                counts.append(len(ends))
+                tokens += own
+                at += 1
+            sums = self.totals(tokens, np.concatenate(bounds)) if tokens else np.zeros(0)
+            yield from np.split(sums, np.cumsum(counts)[:-1])
+
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, score, sentences, worst, worst_score): the probability that the document is
@@ -245,29 +261,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     def scored(batches):
         scorer = _Scorer(shared.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             total, number, worst, worst_score = [], [], [], []
-            at = 0
-            while at < len(texts):
-                tokens: list[str] = []
-                bounds, counts = [], []
-                while at < len(texts) and (not counts or len(tokens) < TOGETHER):
-                    own = texts[at].lower().split()
-                    ends = _ends(own)
-                    bounds.append(ends + len(tokens))
-                    counts.append(len(ends))
-                    tokens += own
-                    at += 1
-                sums = scorer.totals(tokens, np.concatenate(bounds)) if tokens else np.zeros(0)
-                first = 0
-                for n in counts:
-                    own = sums[first : first + n]
-                    first += n
-                    number.append(n)
-                    total.append(float(own.sum()))
-                    top = int(own.argmax()) if n else None
-                    worst.append(top)
-                    worst_score.append(None if top is None else -float(np.expm1(-own[top])))
+            for own in scorer.documents(batch.column("text").to_pylist()):
+                number.append(len(own))
+                total.append(float(own.sum()))
+                top = int(own.argmax()) if len(own) else None
+                worst.append(top)
+                worst_score.append(None if top is None else -float(np.expm1(-own[top])))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
@@ -285,6 +285,20 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     )
 
 
+def passing(docs: DataFrame, model: Model, below: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score less than ``below``; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            total = np.array([own.sum() for own in scorer.documents(texts)])
+            yield batch.filter(pa.array(-np.expm1(-total) < below))
+
+    return map_arrow(docs, keep, docs.schema)
+
+
 def offending_sentences(
     docs: DataFrame, model: Model, least: float = 0.5, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
