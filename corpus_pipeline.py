@@ -9,6 +9,7 @@ and decontamination name doc_ids to drop, so rows that share a doc_id share its
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
@@ -17,12 +18,24 @@ from pyspark.sql import functions as F
 
 from tripweave.llm import decontam, packing, rules, simhash, toxicity
 from tripweave.llm.common import remainder
-from tripweave.plans.lineage import cut_lineage, shared_folder
+from tripweave.plans.lineage import cut_lineage, owns_copies, shared_folder
+from tripweave.queries.folders import name_folder
 
 #: SQL cannot express the noisy-or training or the fingerprints; the tests use brute force.
 ORACLE_SQL = None
 
 
+def _stage(work):
+    """Name a folder for copies where the session has none, and remove those not read further."""
+
+    @functools.wraps(work)
+    def staged(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        name_folder(spark)
+        return owns_copies(work)(spark, docs, folder)
+
+    return staged
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` without the doc_ids in ``rejected``.  They are written first, so Spark knows their
     size and broadcasts them if, and only if, its threshold allows."""
@@ -30,11 +43,13 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(bad, docs["doc_id"] == bad["_rejected"], "left_anti")
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents that the base rules or the repetition rules reject."""
     return rules.passing(docs.filter(F.col("doc_id").isNotNull()))
 
 
+@_stage
 def toxic_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents whose noisy-or score is one half or more.  The labels of a fifth of the
     doc_ids are held out from training, as in the operator's own query."""
@@ -42,6 +57,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     return toxicity.passing(docs, toxicity.train(docs, labels), below=0.5)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Keep of each component of linked fingerprints the document with the smallest doc_id, and
     of rows that repeat a doc_id one."""
@@ -56,6 +72,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
+@_stage
 def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents of which a twentieth or more of the words lie in benchmark passages."""
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -64,6 +81,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     return _without(docs, found.filter(hit))
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Pieces of the documents, each with its sequence and place there."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
@@ -80,6 +98,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each stage is written to the shared folder."""
+    name_folder(spark)
     root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import shutil
 import tempfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 #: Entries a worker keeps of what it has computed per word.  A full cache stops growing
 #: and later words are computed anew, so results do not depend on it.
-WORKER_CACHE = 400_000
+WORKER_CACHE = 200_000
+
+#: Rows with a text that a worker turns into Python objects at a time.
+TEXTS_AT_ONCE = 1_000
 
 _shipped: set[str] = set()
 
@@ -35,9 +41,35 @@ def ship_package(context: SparkContext) -> None:
 
 
 def map_arrow(rows: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+    """``mapInArrow`` with this package at hand in the workers.
+
+    Rows with a text come in small batches, and a task that ends gives its memory back: workers
+    live on from stage to stage beside each other, and each would keep the most it ever used.
+    """
     ship_package(rows.sparkSession.sparkContext)
-    return rows.mapInArrow(function, schema)
+    texts = any(isinstance(f.dataType, StringType) for f in rows.schema)
+
+    def run(batches):
+        try:
+            yield from function(_sliced(batches) if texts else batches)
+        finally:
+            _release_memory()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _sliced(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
+def _release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def key_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ class EliasFano:
         width = max(0, (top // max(1, n)).bit_length() - 1)
         low = _packed(values & _ones(width), width)
         heads = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
-        bits = (int(heads[-1]) if n else 0) + 2
+        bits = (int(heads[-1]) if n else 0) + 3
         high = np.zeros(-(-bits // 64), np.uint64)
         np.bitwise_or.at(high, heads >> 6, _ONE << (heads & 63).astype(np.uint64))
         zeros = np.cumsum(64 - np.bitwise_count(high).astype(np.int64))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tripweave.llm import decontam, lm, packing, quality, rules, sharding, simhash, tokens, toxicity, warc
 from tripweave.llm.common import remainder
+from tripweave.plans.lineage import owns_copies
+from tripweave.queries.folders import name_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,8 +21,15 @@ SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
 
 def query(build):
-    QUERIES[build.__name__] = build
-    return build
+    """Register ``build``; what it copies and its result does not read is removed at once."""
+
+    @functools.wraps(build)
+    def named(spark: SparkSession, folder: str) -> DataFrame:
+        name_folder(spark)
+        return owns_copies(build)(spark, folder)
+
+    QUERIES[build.__name__] = named
+    return named
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -60,17 +60,12 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def screened(labels: np.ndarray, owner: np.ndarray, features: np.ndarray, least: float = 4.0) -> np.ndarray:
-    """Which of ``WIDTH`` features tell the classes apart: the shares of documents that have a
-    feature differ between them by ``least`` standard errors.  ``owner`` is each one's document."""
-    once = np.unique(owner.astype(np.int64) * WIDTH + features)
-    of = labels[once // WIDTH]
-    sizes = np.bincount(labels, minlength=2)
-    toxic = np.bincount(once[of == 1] % WIDTH, minlength=WIDTH)
-    clean = np.bincount(once[of == 0] % WIDTH, minlength=WIDTH)
-    share = (toxic + clean) / len(labels)
+def screened(having: np.ndarray, sizes: np.ndarray, least: float = 4.0) -> np.ndarray:
+    """Which features tell the classes apart: the shares of documents that have a feature differ
+    between them by ``least`` standard errors.  ``having`` counts those documents, a row a class."""
+    share = having.sum(axis=0) / sizes.sum()
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / sizes[0] + 1 / sizes[1]))
-    return np.abs(toxic / sizes[1] - clean / sizes[0]) >= least * error
+    return np.abs(having[1] / sizes[1] - having[0] / sizes[0]) >= least * error
 
 
 def fit(
@@ -79,6 +74,7 @@ def fit(
     sentences: np.ndarray,
     words: np.ndarray,
     features: np.ndarray,
+    use: np.ndarray,
     epochs: int = 20,
     rate: float = 0.3,
     decay: float = 1e-6,
@@ -88,10 +84,9 @@ def fit(
 
     ``sentences`` counts the sentences of each document, ``words`` the features of each
     sentence, both laid end to end as ``features`` are.  Every document has a sentence.
-    Features that do not tell the classes apart keep the weight 0.
+    Features that are not in ``use`` keep the weight 0.
     """
     sentence = np.repeat(np.arange(len(words)), words)
-    use = screened(labels, np.repeat(np.arange(len(labels)), sentences)[sentence], features)
     kept = use[features]
     features, words = features[kept], np.bincount(sentence[kept], minlength=len(words))
     weights, bias = np.zeros(WIDTH), -5.0
@@ -164,36 +159,44 @@ def train(
 
     def fitted(batches):
         labels, sentences, words, features = [], [], [], []
-        known: dict[str, list[int]] = {}
+        having = np.zeros((2, WIDTH), np.int64)
+        known: dict[str, bytes] = {}
+
+        def coded(token: str) -> bytes:
+            more = known.get(token)
+            if more is None:
+                more = np.array(word_features(token), np.int32).tobytes()
+                if len(known) < WORKER_CACHE:
+                    known[token] = more
+            return more
+
         for batch in batches:
             for one, value in zip(
                 batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True
             ):
-                at, held = 0, 0
                 tokens = one.lower().split()
-                for end in _ends(tokens).tolist():
-                    found: list[int] = []
-                    for t in tokens[at:end]:
-                        more = known.get(t)
-                        if more is None:
-                            more = word_features(t)
-                            if len(known) < WORKER_CACHE:
-                                known[t] = more
-                        found += more
-                    at = end
-                    words.append(len(found))
-                    features.append(np.array(found, np.int32))
-                    held += 1
-                if held:
-                    labels.append(value)
-                    sentences.append(held)
-        labels_, sentences_ = np.array(labels), np.array(sentences, np.int64)
-        if not labels or labels_.min() == labels_.max():
-            return
+                ends = _ends(tokens).tolist()
+                if not ends:
+                    continue
+                own = [b"".join([coded(t) for t in tokens[a:b]]) for a, b in zip([0, *ends], ends, strict=False)]
+                words += [len(x) // 4 for x in own]
+                features.append(np.frombuffer(b"".join(own), np.int32))
+                having[value, np.unique(features[-1])] += 1
+                labels.append(value)
+                sentences.append(len(ends))
+        known.clear()
+        labels_ = np.array(labels, np.int64)
         there = np.bincount(labels_, minlength=2)
+        if not there.all():
+            return
         share = np.array([counts[0] / there[0], counts[1] / there[1]])
         weights, bias = fit(
-            labels_, share[labels_], sentences_, np.array(words, np.int64), np.concatenate(features)
+            labels_,
+            share[labels_],
+            np.array(sentences, np.int64),
+            np.array(words, np.int64),
+            np.concatenate(features),
+            screened(having, there),
         )
         yield pa.RecordBatch.from_pydict(
             {"weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([bias])}
