@@ -35,7 +35,7 @@ from tripweave.llm.common import ascii_lower, map_arrow
 from tripweave.llm.eliasfano import EliasFano
 
 #: Tokens of a chunk, and bytes of text that make one shard.
-CHUNK, SHARD_BYTES = 3_000_000, 16_000_000
+CHUNK, SHARD_BYTES = 2_000_000, 12_000_000
 #: Bits of a successor's hash within its context.
 CHILD_BITS = 40
 _END = xxhash.xxh64_intdigest(b"\n end")
@@ -491,9 +491,9 @@ def score(
             ):
                 words = one.encode().split()
                 own = np.fromiter(
-                    (vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int64, len(words)
+                    (vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words)
                 )
-                held.append((doc_id, trained, np.append(own, 0)))
+                held.append((doc_id, trained, np.append(own, np.int32(0))))
                 tokens += len(own) + 1
                 if tokens >= chunk:
                     for row in _requests(held, vocabulary, (part << 20) + number, places, order):
