@@ -2,6 +2,7 @@
 
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -51,13 +52,14 @@ def main():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tripweave-check-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     folder = sys.argv[1]
     con = open_tables(folder)
     failed = 0
-    for name in sys.argv[2:] or contract.queries():
+    for name in sys.argv[2:] or contract.oracle_sql():
         start = time.time()
         try:
             problem = mismatch(spark, con, folder, name)

@@ -147,3 +147,14 @@ def test_components(spark, hot_rows):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     assert got == {i: find(i) for i in range(300)}
+
+
+def test_unusable_coordinates_are_noise(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (1, 40.0, 10.0), (2, 40.0, 370.0), (3, 400.0, 10.0), (4, -90.5, 10.0),
+        (5, nan, nan), (6, nan, nan), (7, inf, 0.0), (8, 0.0, -inf), (9, None, 1.0), (10, 1.0, nan), (11, 1.0, nan),
+    ]
+    frame = spark.createDataFrame(rows, "id long, latitude double, longitude double")
+    got = {r["id"]: r["cluster"] for r in density.dbscan(frame, spread_by=["id"]).collect()}
+    assert got == {1: 1, 2: 1} | dict.fromkeys(range(3, 12))

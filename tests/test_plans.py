@@ -4,10 +4,14 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tripweave.plans.lineage import RollingCut, cut_lineage, shared_folder
+from tripweave.operators import graph, trips
+from tripweave.plans.lineage import RollingCut, cut_lineage, cut_measured, owns_copies, shared_folder
 from tripweave.plans.ordered import OrderedScan
 from tripweave.plans.ranking import compact_ids
 from tripweave.plans.skew import group_sizes, hot_keys, hot_keys_if_any, sized_join, spread_join
+from tripweave.queries.catalog import QUERIES
+from tripweave.queries.fixture import checkins_from_events
+from tripweave.queries.folders import name_folder
 
 
 def test_shared_folder_follows_the_session(spark):
@@ -100,3 +104,111 @@ def test_rolling_cut_keeps_the_last_two(spark):
     assert all(kept) and [c.count() for c in copies[2:]] == [3, 4]
     gone = {Path(f.removeprefix("file:")).parent for f in copies[0].inputFiles() + copies[1].inputFiles()}
     assert gone and not any(folder.exists() for folder in gone)
+
+
+def copies(spark):
+    return {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("cut-*")}
+
+
+def test_owner_removes_what_its_result_does_not_read(spark):
+    @owns_copies
+    def inner(n):
+        kept = cut_lineage(spark.range(n))
+        cut_lineage(spark.range(1)).count()
+        return kept.filter("id > 2")
+
+    @owns_copies
+    def outer():
+        total = inner(20).count()
+        return inner(total)
+
+    before = copies(spark)
+    result = outer()
+    assert len(copies(spark) - before) == 1
+    assert result.count() == 14
+    spent = owns_copies(lambda: inner(10).count())
+    assert spent() == 7 and len(copies(spark) - before) == 1
+
+
+def test_queries_leave_only_the_copies_their_results_read(spark, sf_dir):
+    for name in ("dbscan_sites", "mcl_power_5", "pagerank_converged"):
+        before = copies(spark)
+        result = QUERIES[name](spark, sf_dir)
+        left = copies(spark) - before
+        assert left <= {part for f in result.inputFiles() for part in f.split("/") if part.startswith("cut-")}
+        assert result.count() > 0
+
+
+def test_without_a_named_folder_nothing_is_chosen(spark, monkeypatch):
+    class Bare:
+        master = "spark://somewhere:7077"
+        named = None
+
+        def getCheckpointDir(self):
+            return self.named
+
+        def setCheckpointDir(self, folder):
+            self.named = folder
+
+    class Session:
+        sparkContext = Bare()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    session = Session()
+    name_folder(session)
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(session)
+    session.sparkContext.master = "local[2]"
+    name_folder(session)
+    assert session.sparkContext.named
+
+
+def test_cut_measured(spark):
+    copy, largest = cut_measured(spark.range(5).selectExpr("id * 3 AS n"), "n")
+    assert (copy.count(), largest) == (5, 12)
+    assert cut_measured(spark.range(0).selectExpr("id AS n"), "n")[1] == 0
+
+
+def test_every_hot_key_is_listed(spark):
+    facts = spark.range(60_000).selectExpr("id", "id % 20000 AS k")
+    assert hot_keys(group_sizes(facts, ["k"]), ["k"], hot_rows=2).count() == 20_000
+    assert hot_keys(group_sizes(facts, ["k"]), ["k"], hot_rows=3).count() == 0
+
+
+@pytest.mark.parametrize("listed", [False, True])
+def test_rows_without_a_key_are_spread(spark, listed):
+    facts = spark.range(40_000).selectExpr("id", "if(id % 2 = 0, NULL, id % 1000) AS k")
+    dims = spark.range(1000).selectExpr("id AS k", "id * 2 AS v")
+    hot = spark.createDataFrame([(1, 2)], "k long, _salts int") if listed else None
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spread_join(facts, dims, ["k"], ["id"], hot, "left")
+        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 40_000 and max(sizes) < 8_000
+
+
+@pytest.mark.parametrize("name", ["edges_time", "edges_struct", "previous_stop", "previous_stop_struct"])
+def test_the_source_is_read_once(spark, sf_dir, name):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    clustered = checkins_from_events(spark, events).withColumnRenamed("site", "cluster")
+    clustered = clustered.mapInArrow(counted, clustered.schema)
+    if name.startswith("edges"):
+        graph.transition_edges(clustered, name.removeprefix("edges_")).count()
+    else:
+        order = "struct" if name.endswith("struct") else "time"
+        trips.previous_stop(trips.segment_trips(clustered), order).count()
+    assert rows.value == events.count()

@@ -2,7 +2,8 @@ import pytest
 
 from tripweave.operators.graph import SiteGraph
 from tripweave.sources import stages
-from tripweave.sources.checkins import checkins_from_events, project_checkins
+from tripweave.queries.fixture import checkins_from_events
+from tripweave.sources.checkins import project_checkins
 
 
 def test_checkins_have_their_columns(spark, sf_dir):

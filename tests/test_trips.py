@@ -3,8 +3,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tripweave.functions.clock import epoch_seconds
 from tripweave.operators import graph, trips
-from tripweave.sources.checkins import checkins_from_events
+from tripweave.queries.fixture import checkins_from_events
 from tripweave.sources.stages import read_stage
 
 START = datetime(2020, 3, 1, 12, 0, 0)
@@ -116,3 +117,16 @@ def test_zone_changes_do_not_move_gaps(spark):
         assert [r["gap"] for r in trips.segment_trips(df).orderBy("event_id").collect()] == [None, 259200]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_default_ties_need_no_event_number(spark):
+    rows = [(1, datetime(2024, 1, 1), c, 1.0, 2.0) for c in (5, 3, 3, None)]
+    frame = spark.createDataFrame(rows, "user long, checkinTime timestamp_ntz, cluster int, latitude double, longitude double")
+    moves = [tuple(r) for r in graph.transition_edges(frame).collect()]
+    assert moves == [(3, 5, 1)]
+    assert trips.previous_stop(trips.segment_trips(frame)).count() == 4
+
+
+def test_seconds_before_1970_round_down(spark):
+    frame = spark.sql("SELECT TIMESTAMP_NTZ'1969-12-31 23:59:58.5' AS t UNION ALL SELECT TIMESTAMP_NTZ'1970-01-01 00:00:01.5'")
+    assert sorted(r[0] for r in frame.select(epoch_seconds(frame, "t")).collect()) == [-2, 1]

@@ -31,11 +31,11 @@ from tripweave.functions.geo import (
     unit_sphere,
 )
 from tripweave.operators.components import connected_components
-from tripweave.plans.lineage import cut_lineage
+from tripweave.plans.lineage import cut_lineage, cut_measured, owns_copies
 from tripweave.plans.ranking import dense_ranks
 from tripweave.plans.skew import (
     HOT_ROWS,
-    hot_keys_if_any,
+    hot_keys,
     sized_join,
     spread_join,
 )
@@ -52,6 +52,7 @@ _BOX = [f"{axis}{end}" for axis in AXES for end in (0, 1)]
 _REP = [f"r{axis}" for axis in AXES]
 
 
+@owns_copies
 def dbscan(
     checkins: DataFrame,
     lat: str = "latitude",
@@ -62,24 +63,39 @@ def dbscan(
     spread_by: list[str] | None = None,
     hot_rows: int = HOT_ROWS,
     pair_budget: int = PAIR_BUDGET,
+    kind: str = "int",
 ) -> DataFrame:
-    """Add ``out``: the site number (int, from 1) of each row, null for noise."""
-    sites = cut_lineage(
-        position_sites(checkins, lat, lon, eps_m, min_pts, hot_rows, pair_budget).toDF(
-            lat, lon, "_m", out
-        )
+    """Add ``out``: the site number (from 1) of each row, null for noise.
+
+    ``kind="long"`` where there may be over two billion sites.
+    A row without a usable position (see :func:`usable`) is noise and no one's neighbour.
+    """
+    on = ["_site_lat", "_site_lon"]
+    sites, largest = cut_measured(
+        position_sites(checkins, lat, lon, eps_m, min_pts, hot_rows, pair_budget, kind).toDF(*on, "_m", out),
+        "_m",
     )
+    known = usable(F.col(lat), F.col(lon))
     spread_by = spread_by or [name for name in checkins.columns if name not in (lat, lon)]
     return spread_join(
-        checkins,
+        checkins.withColumns({on[0]: F.when(known, F.col(lat)), on[1]: F.when(known, F.col(lon))}),
         sites.drop("_m"),
-        [lat, lon],
+        on,
         spread_by or [lat],
-        hot_keys_if_any(sites, [lat, lon], "_m", hot_rows),
+        hot_keys(sites, on, "_m", hot_rows) if largest > hot_rows else None,
         "left",
     ).select(*checkins.columns, out)
 
 
+def usable(lat: Column, lon: Column) -> Column:
+    """Whether both coordinates are finite and the latitude is within 90 degrees; never null.
+
+    A longitude may be any number: 370 degrees is 10.
+    """
+    known = (F.abs(lat) <= 90) & (F.abs(lon) < F.lit(float("inf")))
+    return F.coalesce(known, F.lit(False))
+
+
 def position_sites(
     checkins: DataFrame,
     lat: str,
@@ -88,6 +104,7 @@ def position_sites(
     min_pts: int,
     hot_rows: int = HOT_ROWS,
     pair_budget: int = PAIR_BUDGET,
+    kind: str = "int",
 ) -> DataFrame:
     """The positions of sites: ``_lat, _lon``, multiplicity ``m`` and ``site`` number.
 
@@ -100,7 +117,7 @@ def position_sites(
     side = chord / math.sqrt(3.0) * (1.0 - 1e-9)
 
     positions = dense_ranks(
-        checkins.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        checkins.filter(usable(F.col(lat), F.col(lon)))
         .groupBy(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
         .agg(F.count(F.lit(1)).alias("m")),
         ["_lat", "_lon"],
@@ -113,6 +130,7 @@ def position_sites(
     links = _touching(
         near.filter((F.col("a_weight") >= min_pts) & (F.col("b_weight") >= min_pts)),
         points,
+        cells,
         side,
         limit,
         hot_rows,
@@ -146,7 +164,7 @@ def position_sites(
     )
     numbers = dense_ranks(joined.select("component").distinct(), ["component"], "site")
     named = cut_lineage(
-        joined.join(numbers, "component").select("node", F.col("site").cast("int").alias("site"))
+        joined.join(numbers, "component").select("node", F.col("site").cast(kind).alias("site"))
     )
 
     in_dense = sized_join(
@@ -182,14 +200,14 @@ def _into_cells(
     located = positions.select(
         "pid", "m", "_lat", "_lon", *[c.alias(k) for k, c in unit_sphere(F.col("_lat"), F.col("_lon")).items()]
     ).withColumns({"c" + axis: grid_index(F.col(axis), side) for axis in AXES})
-    cells = cut_lineage(_boxes(located, cube, "cell"))
+    cells, largest = cut_measured(_boxes(located, cube, "cell"), "n")
     points = cut_lineage(
         spread_join(
             located,
             cells.select(*cube, "cell", "n", "weight"),
             cube,
             ["pid"],
-            hot_keys_if_any(cells, cube, "n", hot_rows),
+            hot_keys(cells, cube, "n", hot_rows) if largest > hot_rows else None,
         ).drop(*cube)
     )
     return points, cells
@@ -254,6 +272,7 @@ def _meets_sphere(prefix: str, side: float) -> Column:
 def _touching(
     pairs: DataFrame,
     points: DataFrame,
+    boxes: DataFrame,
     side: float,
     limit: Column,
     hot_rows: int,
@@ -295,19 +314,20 @@ def _touching(
         )
         settled = sure.unionByName(compared)
         large = judged.filter(~F.col("_sure") & (product > pair_budget))
-        if not large.isEmpty():
+        done = large.isEmpty()
+        if not done:
             settled = cut_lineage(settled.distinct())
             large = cut_lineage(
                 large.select(*roots, "a_cell", "b_cell").join(settled, roots, "left_anti")
             )
         found = settled if found is None else found.unionByName(settled)
-        if large.isEmpty():
+        if done:
             return found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         side = side / _FINER
-        points, parts = _refined(points, large, side, hot_rows)
+        points, boxes = _refined(points, boxes, large, side, hot_rows)
         carried = ["cell", "n", *_BOX, *_REP]
         half = [
-            parts.select(F.col("parent").alias(p + "cell"), *[F.col(c).alias(p + "_" + c) for c in carried])
+            boxes.select(F.col("parent").alias(p + "cell"), *[F.col(c).alias(p + "_" + c) for c in carried])
             for p in ("a_", "b_")
         ]
         work = cut_lineage(
@@ -319,19 +339,19 @@ def _touching(
 
 
 def _refined(
-    points: DataFrame, large: DataFrame, side: float, hot_rows: int
+    points: DataFrame, boxes: DataFrame, large: DataFrame, side: float, hot_rows: int
 ) -> tuple[DataFrame, DataFrame]:
     """Cut the boxes named in ``large``: their positions under finer boxes, and those boxes."""
     named = large.select(F.col("a_cell").alias("cell")).unionByName(
         large.select(F.col("b_cell").alias("cell"))
     ).distinct()
-    sizes = points.groupBy("cell").agg(F.max("n").alias("n"))
-    kept = sized_join(points, sizes.join(named, "cell"), ["cell"], ["pid"], "n", hot_rows)
+    sizes = boxes.select("cell", "n").join(named, "cell")
+    kept = sized_join(points, sizes, ["cell"], ["pid"], "n", hot_rows)
     fine = ["parent", "fx", "fy", "fz"]
     located = kept.drop("n").withColumnRenamed("cell", "parent").withColumns(
         {"f" + axis: grid_index(F.col(axis), side) for axis in AXES}
     )
-    parts = cut_lineage(_boxes(located, fine, "cell"))
+    parts, largest = cut_measured(_boxes(located, fine, "cell"), "n")
     return (
         cut_lineage(
             spread_join(
@@ -339,7 +359,7 @@ def _refined(
                 parts.select(*fine, "cell", "n"),
                 fine,
                 ["pid"],
-                hot_keys_if_any(parts, fine, "n", hot_rows),
+                hot_keys(parts, fine, "n", hot_rows) if largest > hot_rows else None,
             ).drop(*fine)
         ),
         parts,

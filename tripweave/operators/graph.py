@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +31,7 @@ def transition_edges(
     checkins: DataFrame,
     order: str = "time",
     gap_s: int = TRIP_GAP_S,
-    tie: tuple[str, ...] = ("event_id",),
+    tie: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Site-to-site moves counted as ``normal``; see :func:`trip_moves` for ``order``."""

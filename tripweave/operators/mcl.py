@@ -6,21 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.operators import sparse
-from tripweave.plans.lineage import RollingCut, cut_lineage
+from tripweave.plans.lineage import RollingCut, cut_lineage, owns_copies
+from tripweave.plans.ordered import OrderedScan
 from tripweave.plans.ranking import dense_ranks
 from tripweave.plans.skew import (
     HOT_ROWS,
     group_sizes,
     hot_keys,
-    hot_keys_if_any,
-    salt_of,
     spread_join,
 )
 
-# A cluster with more members is written as several rows, so that no row is unbounded.
+# Members in one row of an exported cluster.  The flat pairs are what other operators read.
 MAX_MEMBERS = 1_000_000
 
 
+@owns_copies
 def mcl_matrix(
     matrix: DataFrame,
     expansion: int = 2,
@@ -62,7 +62,7 @@ def mcl_matrix(
         # The convergence test and the sizes for the next pass in one job of one row.
         told = sparse.extent(following)
         if done % convergence_check_frequency == 0:
-            told = told.join(F.broadcast(sparse.converged(current, following)))
+            told = sparse.extent(following, sparse.converged(current, following))
         told = told.first().asDict()
         current = following
         if told.pop("converged", False):
@@ -106,24 +106,21 @@ def attractor_clusters(
 ) -> DataFrame:
     """``cluster_id`` (from 0, by attractor), ``attractor`` and its sorted ``members``.
 
-    An attractor with more than ``max_members`` members gets further rows (``part`` 1, 2, …),
-    each holding some of them.
+    Members are paged by rank: ``part`` 0 holds the first ``max_members``, ``part`` 1 the next.
     """
     pairs = attractor_members(m, hot_rows)
-    named = dense_ranks(group_sizes(pairs, ["attractor"]), ["attractor"], "cluster_id", start=0)
-    parts = F.greatest(F.ceil(F.col("_rows") / max_members), F.lit(1))
-    return (
-        spread_join(
-            pairs,
-            named,
-            ["attractor"],
-            ["member"],
-            hot_keys_if_any(named, ["attractor"], hot_rows=hot_rows),
-        )
-        .withColumn("part", salt_of(["member"], parts))
-        .groupBy("cluster_id", "attractor", "part")
-        .agg(F.array_sort(F.collect_list("member")).alias("members"))
+    placed = (
+        OrderedScan(pairs, ["attractor"], ["member"], hot_rows)
+        .derive(_one=F.lit(1))
+        .running_sum("_one", "_place")
+        .derive(part=F.floor((F.col("_place") - 1) / F.lit(max_members)).cast("int"))
+        .frame()
     )
+    pages = cut_lineage(
+        placed.groupBy("attractor", "part").agg(F.array_sort(F.collect_list("member")).alias("members"))
+    )
+    named = dense_ranks(pages.select("attractor").distinct(), ["attractor"], "cluster_id", start=0)
+    return pages.join(named, "attractor").select("cluster_id", "attractor", "part", "members")
 
 
 def mcl(matrix: DataFrame, max_members: int = MAX_MEMBERS, **options) -> DataFrame:

@@ -6,7 +6,7 @@ vertex with very many edges is split into salts, and its value is copied to each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.plans.lineage import cut_lineage
@@ -15,12 +15,10 @@ from tripweave.plans.skew import (
     all_salts,
     group_sizes,
     hot_keys,
+    largest,
     salt_of,
 )
 
-# Edges aimed at per partition of the kept layout.
-ROWS_PER_PARTITION = 1_000_000
-
 
 class EdgeLayout:
     """Kept edges (``id``, ``to`` and payload columns) grouped by ``id``.
@@ -31,11 +29,9 @@ class EdgeLayout:
     def __init__(self, edges: DataFrame, hot_rows: int = HOT_ROWS):
         edges = cut_lineage(edges)
         sizes = group_sizes(edges, ["id"])
-        measured = sizes.agg(F.sum("_rows").alias("rows"), F.max("_rows").alias("widest")).first()
-        rows = measured["rows"] or 0
         self._hot = None
         self._on = ["id"]
-        if (measured["widest"] or 0) > hot_rows:
+        if (largest(sizes, "_rows") or 0) > hot_rows:
             self._on = ["id", "_salt"]
             self._hot = cut_lineage(hot_keys(sizes, ["id"], hot_rows=hot_rows))
             self._one = F.coalesce("_salts", F.lit(1))
@@ -44,7 +40,10 @@ class EdgeLayout:
                 .withColumn("_salt", salt_of(["to"], self._one))
                 .drop("_salts")
             )
-        self._edges = edges.repartition(_partitions(edges.sparkSession, rows), *self._on).persist()
+        # The session's own width: a join moves a side narrower than that, and the kept edges
+        # must stay where they are.
+        width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self._edges = edges.repartition(width, *self._on).persist()
 
     def __enter__(self) -> EdgeLayout:
         return self
@@ -61,12 +60,3 @@ class EdgeLayout:
                 .drop("_salts")
             )
         return self._edges.join(values, self._on)
-
-
-def _partitions(spark: SparkSession, rows: int) -> int:
-    """One for a small graph.  Otherwise never below the session's shuffle width: a join
-    moves a side narrower than that, and the kept edges must stay where they are."""
-    if rows <= ROWS_PER_PARTITION:
-        return 1
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(width, -(-rows // ROWS_PER_PARTITION))

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def route_graph(clusters: DataFrame, edges: DataFrame, weight: str = "normal") -> DataFrame:
-    """Edges from an attractor to one of its members, with their own ``weight``."""
-    pairs = clusters.select(F.col("attractor").alias("src"), F.explode("members").alias("dst"))
+def route_graph(members: DataFrame, edges: DataFrame, weight: str = "normal") -> DataFrame:
+    """Edges from an attractor to one of its members, with their own ``weight``.
+
+    ``members`` has the pairs (``attractor``, ``member``) that the last matrix of Markov
+    clustering gives.
+    """
+    pairs = members.select(F.col("attractor").alias("src"), F.col("member").alias("dst"))
     return pairs.join(edges.select("src", "dst", F.col(weight).alias("weight")), ["src", "dst"])
 
 

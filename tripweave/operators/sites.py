@@ -42,5 +42,6 @@ def snap_to_sites(
     ).select(*checkins.columns)
 
 
-def points_per_site(checkins: DataFrame, cluster: str = "cluster") -> DataFrame:
-    return checkins.groupBy(cluster).agg(F.count(F.lit(1)).cast("int").alias("num_points"))
+def points_per_site(checkins: DataFrame, cluster: str = "cluster", kind: str = "int") -> DataFrame:
+    """Rows per site; ``kind="long"`` where a site may have over two billion."""
+    return checkins.groupBy(cluster).agg(F.count(F.lit(1)).cast(kind).alias("num_points"))

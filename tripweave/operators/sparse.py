@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from tripweave.plans.lineage import cut_lineage
 from tripweave.plans.skew import (
     HOT_ROWS,
-    MAX_HOT_KEYS,
     all_salts,
     group_sizes,
     hot_keys,
     salt_of,
     spread_join,
+    threshold,
 )
 
 # Entries of one matrix meeting those of another under one inner index in one task.
@@ -111,16 +111,18 @@ def converged(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def extent(m: DataFrame) -> DataFrame:
-    """One row, ``column`` and ``row``: the numbers of :class:`Extent`."""
-    counts = None
+def extent(m: DataFrame, verdict: DataFrame | None = None) -> DataFrame:
+    """One row, ``column`` and ``row``: the numbers of :class:`Extent`.  The one row of
+    :func:`converged`, if given, adds its answer, so that one job tells all."""
+    facts = None
     for name, key in (("column", "j"), ("row", "i")):
-        most = group_sizes(m, [key]).agg(F.max("_rows").alias("most"))
-        one = most.select(F.lit(name).alias("side"), "most")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts.agg(
-        *[F.coalesce(F.max(F.when(F.col("side") == n, F.col("most"))), F.lit(0)).alias(n) for n in ("column", "row")]
-    )
+        one = group_sizes(m, [key]).agg(F.max("_rows").alias(name))
+        facts = one if facts is None else facts.unionByName(one, allowMissingColumns=True)
+    told = [F.coalesce(F.max(name), F.lit(0)).alias(name) for name in ("column", "row")]
+    if verdict is not None:
+        facts = facts.unionByName(verdict, allowMissingColumns=True)
+        told.append(F.bool_and("converged").alias("converged"))
+    return facts.agg(*told)
 
 
 def with_loops(m: DataFrame, value: float | str) -> DataFrame:
@@ -147,13 +149,13 @@ def _product(a: DataFrame, b: DataFrame, side_entries: int, balanced: bool) -> D
     right = b.select("k", "c", F.col("v").alias("_b"))
     if balanced:
         return _summed(left.join(right, "k"))
-    hubs = F.broadcast(
+    met = (
         group_sizes(left, ["k"], "_an")
         .join(group_sizes(right, ["k"], "_bn"), "k")
-        .filter(F.col("_an") * F.col("_bn") > side_entries * side_entries)
-        .orderBy((F.col("_an") * F.col("_bn")).desc(), "k")
-        .limit(MAX_HOT_KEYS)
-        .select(
+        .withColumn("_met", F.col("_an").cast("double") * F.col("_bn"))
+    )
+    hubs = F.broadcast(
+        met.filter(F.col("_met") > threshold(met, "_met", side_entries * side_entries)).select(
             "k",
             F.ceil(F.col("_an") / side_entries).cast("int").alias("_ps"),
             F.ceil(F.col("_bn") / side_entries).cast("int").alias("_qs"),

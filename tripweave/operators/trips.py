@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tripweave.functions.clock import epoch_seconds
 from tripweave.plans.ordered import OrderedScan
 from tripweave.plans.skew import HOT_ROWS
 
 TRIP_GAP_S = 3 * 24 * 60 * 60
-# A history longer than this is written as several rows, so that no row is unbounded.
+# Stops in one row of an exported history.  The flat stops are what other operators read.
 MAX_STOPS = 1_000_000
 
 _STOP = ("cluster", "latitude", "longitude", "checkinTime")
@@ -21,13 +22,13 @@ _STOP = ("cluster", "latitude", "longitude", "checkinTime")
 def segment_trips(
     checkins: DataFrame,
     gap_s: int = TRIP_GAP_S,
-    tie: Sequence[str] = ("event_id",),
+    tie: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``gap`` (whole seconds since the user's last check-in) and ``trip`` (from 0).
 
     A new trip starts where the gap is above ``gap_s``.  ``tie`` orders check-ins of one
-    user at one time.
+    user at one time; by default all other columns do, those of the place first.
     """
     return _segmented(checkins, gap_s, tie, hot_rows).frame().drop("_s", "_before", "_new")
 
@@ -35,7 +36,7 @@ def segment_trips(
 def trip_histories(
     checkins: DataFrame,
     gap_s: int = TRIP_GAP_S,
-    tie: Sequence[str] = ("event_id",),
+    tie: Sequence[str] | None = None,
     max_stops: int = MAX_STOPS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -82,7 +83,7 @@ def explode_trips(histories: DataFrame) -> DataFrame:
 def previous_stop(
     trips: DataFrame,
     order: str = "time",
-    tie: Sequence[str] = ("event_id",),
+    tie: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``previous``: the check-in before this one in its trip, null at the first.
@@ -90,7 +91,7 @@ def previous_stop(
     ``order="time"`` follows the traveller.  ``order="struct"`` orders a trip by site
     number first and time last, the order the check-in struct compares in.
     """
-    scan = OrderedScan(trips, ["user", "trip"], _stop_order(order, tie), hot_rows)
+    scan = OrderedScan(trips, ["user", "trip"], _stop_order(order, _ties(trips, tie)), hot_rows)
     return scan.previous(_STOP, "previous").frame()
 
 
@@ -98,7 +99,7 @@ def trip_moves(
     checkins: DataFrame,
     order: str = "time",
     gap_s: int = TRIP_GAP_S,
-    tie: Sequence[str] = ("event_id",),
+    tie: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(``src``, ``dst``) of every successive pair of different sites in a trip.
@@ -107,8 +108,11 @@ def trip_moves(
     exactly when the gap is within ``gap_s``.  In struct order a trip visits each of its
     sites once in ascending order, so only its distinct sites are sorted.
     """
+    if tie is None:
+        # Stops at one time and site are alike here.
+        tie = ["cluster"]
+    slim = checkins.select("user", "checkinTime", *dict.fromkeys(["cluster", *tie]))
     if order == "time":
-        slim = checkins.select("user", "checkinTime", "cluster", *tie)
         stops = (
             OrderedScan(
                 slim.withColumn("_s", epoch_seconds(slim, "checkinTime")),
@@ -123,9 +127,7 @@ def trip_moves(
     else:
         _stop_order(order, tie)
         visited = (
-            segment_trips(
-                checkins.select("user", "checkinTime", "cluster", *tie), gap_s, tie, hot_rows
-            )
+            segment_trips(slim, gap_s, tie, hot_rows)
             .filter(F.col("cluster").isNotNull())
             .select("user", "trip", "cluster")
             .distinct()
@@ -140,13 +142,13 @@ def trip_moves(
 
 
 def _segmented(
-    checkins: DataFrame, gap_s: int, tie: Sequence[str], hot_rows: int
+    checkins: DataFrame, gap_s: int, tie: Sequence[str] | None, hot_rows: int
 ) -> OrderedScan:
     return (
         OrderedScan(
             checkins.withColumn("_s", epoch_seconds(checkins, "checkinTime")),
             ["user"],
-            ["checkinTime", *tie],
+            ["checkinTime", *_ties(checkins, tie)],
             hot_rows,
         )
         .previous(["_s"], "_before")
@@ -156,6 +158,16 @@ def _segmented(
     )
 
 
+def _ties(checkins: DataFrame, tie: Sequence[str] | None) -> list[str]:
+    """The given columns, or every column that can be ordered, those of a stop first; rows that
+    agree in all of them are alike."""
+    if tie is not None:
+        return list(tie)
+    kinds = {f.name: f.dataType for f in checkins.schema if not isinstance(f.dataType, (MapType, VariantType))}
+    taken = {"user", "checkinTime", "gap", "trip", "previous"}
+    return [n for n in dict.fromkeys([*_STOP, *kinds]) if n in kinds and n not in taken]
+
+
 def _stop_order(order: str, tie: Sequence[str]) -> list[str]:
     if order == "time":
         return ["checkinTime", *tie]

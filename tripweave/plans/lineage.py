@@ -1,27 +1,39 @@
-"""Materialisation points for plans that are used more than once."""
+"""Materialisation points for plans that are used more than once, and who removes them."""
 
 from __future__ import annotations
 
-import tempfile
+import functools
+import re
+import threading
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+_COPY = re.compile(r"/(cut-[0-9a-f]{32})(?:/|$)")
+
+
+class _Owners(threading.local):
+    """Copies made so far, by the operators now at work in this thread, innermost last."""
+
+    def __init__(self):
+        self.stack: list[dict[str, str]] = []
+
+
+_owners = _Owners()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The reliable checkpoint folder of this session.
+    """The reliable checkpoint folder of this session, named in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local master, as in
-    tests, may fall back to a folder of its own; executors on other machines could
-    not read one.
+    All executors must be able to read and write it, so there is no default.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="tripweave-")
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
@@ -33,10 +45,45 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     replay of every earlier round.  A table is written rather than a checkpoint taken: it
     comes back with its true size and without the size guesses and constraints a checkpoint
     inherits, which square with every product in a loop.
+
+    The copy belongs to the innermost operator marked :func:`owns_copies`.  What nobody has
+    removed goes when the session's JVM ends.
     """
     return _written(df)[1]
 
 
+def cut_measured(df: DataFrame, size: str) -> tuple[DataFrame, int]:
+    """:func:`cut_lineage` and the largest ``size`` (0 for none), measured while it is written; a
+    repeated task cannot change a maximum."""
+    seen = Observation()
+    copy = cut_lineage(df.observe(seen, F.max(size).alias("largest")))
+    return copy, seen.get["largest"] or 0
+
+
+def owns_copies(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Remove the copies that ``operator`` has made once it returns, but for those its result
+    still reads; these pass to the operator around it, or stay until the session ends."""
+
+    @functools.wraps(operator)
+    def owning(*args, **options):
+        mine: dict[str, str] = {}
+        _owners.stack.append(mine)
+        try:
+            result = operator(*args, **options)
+        finally:
+            _owners.stack.pop()
+        read = _copies_read(result) if isinstance(result, DataFrame) else set()
+        spark = SparkSession.active()
+        for name, path in mine.items():
+            if name not in read:
+                _remove(spark, path)
+            elif _owners.stack:
+                _owners.stack[-1][name] = path
+        return result
+
+    return owning
+
+
 class RollingCut:
     """:func:`cut_lineage` for the rounds of a loop; only the last two copies are kept.
 
@@ -54,13 +101,29 @@ class RollingCut:
         return copy
 
 
+def _copies_read(df: DataFrame) -> set[str]:
+    return {found[1] for file in df.inputFiles() if (found := _COPY.search(file))}
+
+
 def _written(df: DataFrame) -> tuple[str, DataFrame]:
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    name = f"cut-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
     df.write.parquet(path)
-    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+    if _owners.stack:
+        _owners.stack[-1][name] = path
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    return path, spark.read.schema(df.schema).parquet(path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    place, system = _place(spark, path)
+    system.delete(place, True)
+    system.cancelDeleteOnExit(place)
+
+
+def _place(spark: SparkSession, path: str):
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.plans.lineage import cut_lineage
-from tripweave.plans.skew import HOT_ROWS, MAX_HOT_KEYS, group_sizes
+from tripweave.plans.skew import HOT_ROWS, group_sizes, threshold
 
 _BLOCK = "_scan_block"
 
@@ -35,12 +35,10 @@ class OrderedScan:
         self._keys = list(keys)
         self._order = list(order)
         self._names = df.columns
-        crowded = cut_lineage(
-            group_sizes(df, self._keys, "_scan_rows")
-            .filter(F.col("_scan_rows") > hot_rows)
-            .orderBy(F.col("_scan_rows").desc(), *self._keys)
-            .limit(MAX_HOT_KEYS)
-        )
+        # One copy serves the count and the scan, so what made the rows runs once.
+        df = cut_lineage(df)
+        sizes = group_sizes(df, self._keys, "_scan_rows")
+        crowded = cut_lineage(sizes.filter(F.col("_scan_rows") > threshold(sizes, "_scan_rows", hot_rows)))
         rows = crowded.agg(F.sum("_scan_rows")).first()[0]
         if rows is None:
             self._plain, self._blocked = df, None

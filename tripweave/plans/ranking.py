@@ -47,12 +47,16 @@ def compact_ids(
     column: str,
     spread_by: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
+    kind: str = "int",
 ) -> DataFrame:
-    """Replace ``column`` by its dense rank (int, from 1); nulls stay null."""
+    """Replace ``column`` by its dense rank (from 1); nulls stay null.
+
+    ``kind="long"`` where there may be over two billion values.
+    """
     names = df.columns
     sizes = group_sizes(df.filter(F.col(column).isNotNull()), [column])
     ranks = dense_ranks(sizes, [column], "_rank")
     hot = hot_keys_if_any(ranks, [column], "_rows", hot_rows)
     spread_by = spread_by or [name for name in names if name != column]
     ranked = spread_join(df, ranks.select(column, "_rank"), [column], spread_by, hot, "left")
-    return ranked.withColumn(column, F.col("_rank").cast("int")).select(*names)
+    return ranked.withColumn(column, F.col("_rank").cast(kind)).select(*names)

@@ -1,10 +1,9 @@
 """Joins that stay balanced when one key owns a large share of the rows.
 
-A key is *hot* when it holds more than ``HOT_ROWS`` rows.  Hot keys are split into
-salts; the other side is copied once per salt of its own key, so the copies number
-at most rows / HOT_ROWS.  The list of hot keys is what gets broadcast, and it is
-bounded by ``MAX_HOT_KEYS`` whatever the input: a key past that rank holds less than
-1/MAX_HOT_KEYS of all rows and is joined the ordinary way.
+A key is *hot* when it holds more than ``HOT_ROWS`` rows, or more than a millionth of all rows
+where that is more.  Hot keys are split into salts; the other side is copied once per salt of
+its own key, so the copies number at most rows / HOT_ROWS.  The list of hot keys is what gets
+broadcast.  It is complete, and has fewer than ``MOST_HOT_KEYS`` rows by construction.
 """
 
 from __future__ import annotations
@@ -15,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 4_000_000
-MAX_HOT_KEYS = 10_000
+MOST_HOT_KEYS = 1_000_000
+# Places over which rows without a key are spread.
+_KEYLESS_SALTS = 1024
 
 _SALT = "_salt"
 _SALTS = "_salts"
@@ -28,15 +29,19 @@ def group_sizes(df: DataFrame, keys: Sequence[str], out: str = "_rows") -> DataF
 def hot_keys(
     sized: DataFrame, keys: Sequence[str], size: str = "_rows", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Keys above ``hot_rows`` with their salt count, largest first, bounded in number."""
-    return (
-        sized.filter(F.col(size) > hot_rows)
-        .select(*keys, salt_count(F.col(size), hot_rows).alias(_SALTS))
-        .orderBy(F.col(_SALTS).desc(), *keys)
-        .limit(MAX_HOT_KEYS)
+    """Every key with more rows than the threshold, and its salt count."""
+    return sized.filter(F.col(size) > threshold(sized, size, hot_rows)).select(
+        *keys, salt_count(F.col(size), hot_rows).alias(_SALTS)
     )
 
 
+def threshold(sized: DataFrame, size: str, least: int) -> Column:
+    """``least``, or the millionth of the sum of ``size`` where that is more: no more than a
+    million rows of ``sized`` can exceed it."""
+    whole = sized.agg(F.sum(F.col(size).cast("double")).alias("whole")).scalar()
+    return F.greatest(F.lit(float(least)), F.coalesce(whole, F.lit(0.0)) / MOST_HOT_KEYS)
+
+
 def hot_keys_if_any(
     sized: DataFrame, keys: Sequence[str], size: str = "_rows", hot_rows: int = HOT_ROWS
 ) -> DataFrame | None:
@@ -74,20 +79,25 @@ def spread_join(
     """Join ``facts`` (hot side) to ``dims``, splitting the rows of keys listed in ``hot``.
 
     ``spread_by`` names the columns of ``facts`` that tell rows of one key apart.  With
-    no ``hot`` keys this is a plain join.
+    no ``hot`` keys this is a plain join, but for rows without a key in a left join.
     """
     on = list(on)
+    # Rows without a key match nothing; any place will do, but not all in one.
+    keyless = F.lit(False)
+    for name in on:
+        keyless = keyless | F.col(name).isNull()
+    spread = how == "left" and any(facts.schema[name].nullable for name in on)
     if hot is None:
-        return facts.join(dims, on, how)
+        if not spread:
+            return facts.join(dims, on, how)
+        salt = F.when(keyless, salt_of(spread_by, F.lit(_KEYLESS_SALTS))).otherwise(0)
+        left, right = facts.withColumn(_SALT, salt), dims.withColumn(_SALT, F.lit(0))
+        return left.join(right, [*on, _SALT], how).drop(_SALT)
     hot = F.broadcast(hot)
     one = F.coalesce(F.col(_SALTS), F.lit(1))
     salt = salt_of(spread_by, one)
-    if how == "left":
-        # Rows without a key match nothing; any place will do, but not all in one.
-        keyless = F.lit(False)
-        for name in on:
-            keyless = keyless | F.col(name).isNull()
-        salt = F.when(keyless, salt_of(spread_by, F.lit(1024))).otherwise(salt)
+    if spread:
+        salt = F.when(keyless, salt_of(spread_by, F.lit(_KEYLESS_SALTS))).otherwise(salt)
     left = facts.join(hot, on, "left").withColumn(_SALT, salt).drop(_SALTS)
     right = dims.join(hot, on, "left").withColumn(_SALT, all_salts(one)).drop(_SALTS)
     return left.join(right, [*on, _SALT], how).drop(_SALT)

@@ -6,6 +6,7 @@ column as cluster; the density queries and the two chains compute their own site
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -13,8 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripweave.operators import communities, density, graph, mcl, rank, routes, sites, sparse, trips
-from tripweave.plans.lineage import cut_lineage, shared_folder
+from tripweave.plans.lineage import cut_lineage, owns_copies, shared_folder
 from tripweave.plans.ranking import compact_ids
+from tripweave.queries.fixture import checkins_from_events, spoiled
+from tripweave.queries.folders import name_folder
 from tripweave.sources import checkins as source
 from tripweave.sources import stages
 
@@ -24,8 +27,15 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
-    return build
+    """Register ``build``; what it copies and its result does not read is removed at once."""
+
+    @functools.wraps(build)
+    def named(spark: SparkSession, folder: str) -> DataFrame:
+        name_folder(spark)
+        return owns_copies(build)(spark, folder)
+
+    QUERIES[build.__name__] = named
+    return named
 
 
 # --- inputs -------------------------------------------------------------------------
@@ -33,7 +43,7 @@ def query(build: Query) -> Query:
 
 def _checkins(spark: SparkSession, folder: str) -> DataFrame:
     events = stages.read_stage(spark, folder, "events.parquet")
-    return source.checkins_from_events(spark, events)
+    return checkins_from_events(spark, events)
 
 
 def _clustered(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,6 +114,13 @@ def dbscan_minpts5(spark, folder):
     return _found(spark, folder, 5).select("event_id", "cluster")
 
 
+@query
+def dbscan_dirty(spark, folder):
+    """Unusable coordinates are noise and leave the other sites as they are."""
+    dirty = spoiled(source.project_checkins(_checkins(spark, folder), ["event_id"]))
+    return density.dbscan(dirty, spread_by=["event_id"]).select("event_id", "cluster")
+
+
 @query
 def dbscan_denoised(spark, folder):
     return sites.drop_noise(_found(spark, folder)).select("event_id", "user", "cluster")
@@ -143,8 +160,7 @@ def trip_segments(spark, folder):
     return trips.segment_trips(_clustered(spark, folder)).select("event_id", "user", "gap", "trip")
 
 
-@query
-def trip_histories(spark, folder):
+def _histories(spark, folder, **options):
     def stop(s: Column) -> Column:
         return F.concat_ws(
             "@",
@@ -155,11 +171,21 @@ def trip_histories(spark, folder):
         )
 
     text = F.array_join(F.transform("trips", lambda t: F.array_join(F.transform(t, stop), ",")), "|")
-    return trips.trip_histories(_clustered(spark, folder)).select(
+    return trips.trip_histories(_clustered(spark, folder), **options).select(
         "user", "part", "first_trip", F.size("trips").alias("num_trips"), text.alias("trips")
     )
 
 
+@query
+def trip_histories(spark, folder):
+    return _histories(spark, folder)
+
+
+@query
+def trip_histories_paged(spark, folder):
+    return _histories(spark, folder, max_stops=7)
+
+
 @query
 def trips_unnested(spark, folder):
     histories = trips.trip_histories(_clustered(spark, folder))
@@ -201,6 +227,12 @@ def edges_struct(spark, folder):
     return _edges(spark, folder, "struct")
 
 
+@query
+def edges_no_id(spark, folder):
+    """Check-ins as they come without an event number."""
+    return graph.transition_edges(_clustered(spark, folder).drop("event_id"))
+
+
 @query
 def site_in_strength(spark, folder):
     return graph.in_strength(_edges(spark, folder))
@@ -218,9 +250,10 @@ def vertex_strength(spark, folder):
 
 @query
 def graph_dangling_check(spark, folder):
-    """Ends of time-order edges that the struct-order graph does not know."""
-    known = graph.vertex_table(_edges(spark, folder, "struct"))
-    return graph.SiteGraph(known, _edges(spark, folder)).dangling_ends()
+    """Ends of all edges that the vertices of a subgraph lack."""
+    whole = _graph(spark, folder)
+    inner = graph.induced_subgraph(whole, lambda site: site < 100)
+    return graph.SiteGraph(inner.vertices, whole.edges).dangling_ends()
 
 
 @query
@@ -303,6 +336,11 @@ def mat_power3(spark, folder):
     return sparse.power(_matrix(spark, folder), 3)
 
 
+@query
+def mat_gram_power3(spark, folder):
+    return sparse.power(_matrix(spark, folder), 3, product="gram")
+
+
 @query
 def mat_normalize(spark, folder):
     return sparse.normalize(_matrix(spark, folder))
@@ -318,6 +356,12 @@ def mat_prune(spark, folder):
     return sparse.prune(sparse.inflate(_matrix(spark, folder), 2), 0.001)
 
 
+@query
+def mat_prune_tight(spark, folder):
+    """A threshold that drops most entries at every scale."""
+    return sparse.prune(sparse.inflate(_matrix(spark, folder), 2), 0.02)
+
+
 @query
 def mat_converged(spark, folder):
     m = cut_lineage(sparse.normalize(_matrix(spark, folder)))
@@ -360,9 +404,24 @@ def mcl_struct_gram_5(spark, folder):
     return _listed(mcl.mcl(_matrix(spark, folder, "struct"), iterations=5, **_RAW_GRAM))
 
 
+@query
+def mcl_default(spark, folder):
+    """All defaults: loops of one, and passes until nothing moves."""
+    return _listed(mcl.mcl(_matrix(spark, folder)))
+
+
+@query
+def mcl_clusters_paged(spark, folder):
+    return _listed(mcl.mcl(_matrix(spark, folder), max_members=3, iterations=5, **_TEXTBOOK))
+
+
+def _popular(edges):
+    flow = mcl.mcl_matrix(sparse.as_matrix(edges), iterations=5, **_TEXTBOOK)
+    return routes.route_graph(mcl.attractor_members(flow), edges)
+
+
 def _routes(spark, folder):
-    edges = cut_lineage(_edges(spark, folder))
-    return routes.route_graph(mcl.mcl(sparse.as_matrix(edges), iterations=5, **_TEXTBOOK), edges)
+    return _popular(cut_lineage(_edges(spark, folder)))
 
 
 @query
@@ -388,6 +447,34 @@ def site_transitions(spark, folder):
 @query
 def popular_routes(spark, folder):
     """Check-ins to popular routes."""
+    return routes.sort_routes(_popular(cut_lineage(graph.transition_edges(_at_sites(spark, folder)))))
+
+
+@query
+def subgraph_routes(spark, folder):
+    """Markov clustering of an induced subgraph of the sites found, and its popular routes."""
+    whole = graph.site_graph(cut_lineage(graph.transition_edges(_at_sites(spark, folder))))
+    inner = graph.induced_subgraph(whole, lambda site: site < 60)
+    return _popular(cut_lineage(inner.edges))
+
+
+@query
+def site_profile(spark, folder):
+    """All that is told of a site found: strength, rank, check-ins and community."""
+    found = _at_sites(spark, folder)
+    whole = graph.site_graph(cut_lineage(graph.transition_edges(found, "struct")))
+    ranked = rank.pagerank(whole, tol=None, max_iter=20)
+    counted = graph.enrich_vertices(ranked, sites.points_per_site(found))
+    labelled = compact_ids(communities.label_propagation(whole).select("id", "label"), "label", ["id"])
+    return counted.join(labelled.select("id", "label"), "id").select(
+        "id", "normal", F.round("pagerank", 6).alias("pagerank"), "num_points", "label"
+    )
+
+
+@query
+def edge_profile(spark, folder):
+    """All that is told of an edge between sites found: moves, out-share and probability."""
     edges = cut_lineage(graph.transition_edges(_at_sites(spark, folder)))
-    clusters = mcl.mcl(sparse.as_matrix(edges), iterations=5, **_TEXTBOOK)
-    return routes.sort_routes(routes.route_graph(clusters, edges))
+    return graph.transition_probabilities(graph.out_share(edges)).select(
+        "src", "dst", "normal", "out_share", "transfer_prob"
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tripweave.queries.fixture import SPOILED
+
 _CHECKINS = """
 e AS (
   SELECT event_id, user_id, ts,
@@ -23,13 +25,15 @@ _STAND_IN = _CHECKINS + """,
 stops AS (SELECT event_id, "user", "checkinTime", site AS cluster, latitude, longitude FROM checkins)"""
 
 
-def _density(min_pts: int) -> str:
-    """All-pairs DBSCAN; ``found`` has every check-in with its site or null."""
+def _density(min_pts: int, without: str = "false") -> str:
+    """All-pairs DBSCAN; ``found`` has every check-in with its site or null.  Check-ins for which
+    ``without`` holds are left out, and so are not in ``found``."""
     return _CHECKINS + f""",
+usable AS (SELECT * FROM checkins WHERE NOT ({without})),
 positions AS (
   SELECT latitude AS lat, longitude AS lon, count(*) AS m,
     row_number() OVER (ORDER BY latitude, longitude) AS pid
-  FROM checkins GROUP BY latitude, longitude),
+  FROM usable GROUP BY latitude, longitude),
 pairs AS MATERIALIZED (
   SELECT a.pid AS p, b.pid AS q, b.m
   FROM positions a JOIN positions b ON b.lat BETWEEN a.lat - 0.004 AND a.lat + 0.004
@@ -52,7 +56,7 @@ labels AS (
   WHERE x.p NOT IN (SELECT pid FROM core) GROUP BY x.p),
 found AS MATERIALIZED (
   SELECT c.event_id, c."user", c."checkinTime", c.latitude, c.longitude, CAST(l.site AS INTEGER) AS cluster
-  FROM checkins c
+  FROM usable c
   JOIN positions s ON s.lat = c.latitude AND s.lon = c.longitude
   LEFT JOIN labels l ON l.pid = s.pid)"""
 
@@ -106,7 +110,7 @@ lines AS MATERIALIZED (
   SELECT e.src, e.dst, 1.0::DOUBLE / d.degree AS part FROM edges e JOIN degrees d ON d.src = e.src
   UNION ALL SELECT id, id, 0.0::DOUBLE FROM vertices)"""
 
-_RANK_20 = _edges() + _VERTICES + _RANK_LINES + """,
+_RANKED_20 = """,
 pr(step, id, r) AS (
   SELECT 0, id, 1.0::DOUBLE FROM vertices
   UNION ALL
@@ -115,6 +119,7 @@ pr(step, id, r) AS (
 ranked AS (
   SELECT id, r * (SELECT count(*) FROM vertices) / (SELECT sum(r) FROM pr WHERE step = 20) AS pagerank
   FROM pr WHERE step = 20)"""
+_RANK_20 = _edges() + _VERTICES + _RANK_LINES + _RANKED_20
 
 _RANK_TOL = _edges() + _VERTICES + _RANK_LINES + """,
 pr(step, id, r, moved) AS (
@@ -129,8 +134,8 @@ ranked AS (
   SELECT id, r * count(*) OVER () / sum(r) OVER () AS pagerank
   FROM pr WHERE step = (SELECT max(step) FROM pr))"""
 
-_LABELS = _edges() + _VERTICES + """,
-lines AS MATERIALIZED (
+_LABELLED = """,
+ties AS MATERIALIZED (
   SELECT src, dst, 1 AS votes FROM edges
   UNION ALL SELECT dst, src, 1 FROM edges
   UNION ALL SELECT id, id, 0 FROM vertices),
@@ -140,9 +145,10 @@ lp(step, id, label) AS (
   SELECT step, id, label FROM (
     SELECT p.step + 1 AS step, l.dst AS id, p.label,
       row_number() OVER (PARTITION BY l.dst ORDER BY sum(l.votes) DESC, p.label) AS place
-    FROM lp p JOIN lines l ON l.src = p.id WHERE p.step < 10 GROUP BY p.step, l.dst, p.label)
+    FROM lp p JOIN ties l ON l.src = p.id WHERE p.step < 10 GROUP BY p.step, l.dst, p.label)
   WHERE place = 1),
 labelled AS (SELECT id, label FROM lp WHERE step = 10)"""
+_LABELS = _edges() + _VERTICES + _LABELLED
 
 _MATRIX = """,
 a0 AS (SELECT CAST(src AS BIGINT) AS i, CAST(dst AS BIGINT) AS j, CAST(normal AS DOUBLE) AS v FROM edges)"""
@@ -186,6 +192,16 @@ members AS (
   WHERE i IN (SELECT i FROM m{last} WHERE i = j AND v > 0))"""
 
 
+_LOOPED_ONE = """,
+looped AS (
+  SELECT i, j, sum(v) AS v FROM (
+    SELECT * FROM a0 UNION ALL SELECT k, k, 1.0::DOUBLE FROM (SELECT i AS k FROM a0 UNION SELECT j FROM a0))
+  GROUP BY i, j),
+m0 AS MATERIALIZED (SELECT i, j, v / sum(v) OVER (PARTITION BY j) AS v FROM looped)"""
+
+# Passes after nothing moves any more change nothing, so there may be too many.
+_DEFAULT_PASSES = 40
+_DEFAULT = _MATRIX + _LOOPED_ONE + _passes(_DEFAULT_PASSES, "power") + _members(_DEFAULT_PASSES)
 _TEXTBOOK = _MATRIX + _LOOPED + _passes(5, "power") + _members(5)
 _RAW_GRAM = _MATRIX + _UNLOOPED + _passes(5, "gram") + _members(5)
 
@@ -194,6 +210,14 @@ SELECT dense_rank() OVER (ORDER BY attractor) - 1 AS cluster_id, attractor, CAST
   string_agg(CAST(member AS VARCHAR), ',' ORDER BY member) AS members
 FROM members GROUP BY attractor"""
 
+_PAGED = """
+SELECT dense_rank() OVER (ORDER BY attractor) - 1 AS cluster_id, attractor, part,
+  string_agg(CAST(member AS VARCHAR), ',' ORDER BY member) AS members
+FROM (
+  SELECT *, CAST(floor((row_number() OVER (PARTITION BY attractor ORDER BY member) - 1) / 3) AS INTEGER) AS part
+  FROM members)
+GROUP BY attractor, part"""
+
 _ROUTES = """,
 routes AS (
   SELECT e.src, e.dst, e.normal AS weight
@@ -217,6 +241,11 @@ ORACLES: dict[str, str] = {
     ),
     "dbscan_sites": _with(_density(2), "SELECT event_id, cluster FROM found"),
     "dbscan_minpts5": _with(_density(5), "SELECT event_id, cluster FROM found"),
+    "dbscan_dirty": _with(
+        _density(2, SPOILED),
+        f"""SELECT event_id, cluster FROM found
+        UNION ALL SELECT event_id, NULL FROM checkins WHERE {SPOILED}""",
+    ),
     "dbscan_denoised": _with(
         _density(2), 'SELECT event_id, "user", cluster FROM found WHERE cluster IS NOT NULL'
     ),
@@ -240,18 +269,25 @@ ORACLES: dict[str, str] = {
         _STAND_IN, "SELECT cluster, CAST(count(*) AS INTEGER) AS num_points FROM stops GROUP BY cluster"
     ),
     "trip_segments": _with(_STAND_IN + _TRIPS, 'SELECT event_id, "user", gap, trip FROM trips'),
-    "trip_histories": _with(
-        _STAND_IN + _TRIPS,
-        """SELECT "user", CAST(0 AS INTEGER) AS part, CAST(0 AS BIGINT) AS first_trip,
-          CAST(count(*) AS INTEGER) AS num_trips, string_agg(stops, '|' ORDER BY trip) AS trips
-        FROM (
-          SELECT "user", trip, string_agg(
-            concat_ws('@', cluster, strftime("checkinTime", '%Y-%m-%d %H:%M:%S'),
-              CAST(round(latitude * 1000000) AS BIGINT), CAST(round(longitude * 1000000) AS BIGINT)),
-            ',' ORDER BY "checkinTime", event_id) AS stops
-          FROM trips GROUP BY "user", trip)
-        GROUP BY "user" """,
-    ),
+    **{
+        name: _with(
+            _STAND_IN + _TRIPS,
+            f"""SELECT "user", part, min(trip) AS first_trip,
+              CAST(count(*) AS INTEGER) AS num_trips, string_agg(stops, '|' ORDER BY trip) AS trips
+            FROM (
+              SELECT "user", part, trip, string_agg(
+                concat_ws('@', cluster, strftime("checkinTime", '%Y-%m-%d %H:%M:%S'),
+                  CAST(round(latitude * 1000000) AS BIGINT), CAST(round(longitude * 1000000) AS BIGINT)),
+                ',' ORDER BY "checkinTime", event_id) AS stops
+              FROM (
+                SELECT *, CAST(floor((row_number() OVER (
+                    PARTITION BY "user" ORDER BY "checkinTime", event_id) - 1) / {page}) AS INTEGER) AS part
+                FROM trips)
+              GROUP BY "user", part, trip)
+            GROUP BY "user", part""",
+        )
+        for name, page in (("trip_histories", 1_000_000), ("trip_histories_paged", 7))
+    },
     "trips_unnested": _with(
         _STAND_IN + _TRIPS, 'SELECT "user", trip, cluster, "checkinTime" FROM trips'
     ),
@@ -265,6 +301,7 @@ ORACLES: dict[str, str] = {
         for name, order in (("previous_stop", "time"), ("previous_stop_struct", "struct"))
     },
     "edges_time": _with(_edges(), "SELECT src, dst, normal FROM edges"),
+    "edges_no_id": _with(_edges(), "SELECT src, dst, normal FROM edges"),
     "edges_struct": _with(_edges("struct"), "SELECT src, dst, normal FROM edges"),
     "site_in_strength": _with(
         _edges(), "SELECT dst, CAST(sum(normal) AS BIGINT) AS incoming_weight FROM edges GROUP BY dst"
@@ -274,17 +311,7 @@ ORACLES: dict[str, str] = {
     ),
     "vertex_strength": _with(_edges() + _VERTICES, "SELECT id, normal FROM vertices"),
     "graph_dangling_check": _with(
-        _edges()
-        + """,
-struct_moves AS (
-  SELECT lag(cluster) OVER (
-      PARTITION BY "user", trip ORDER BY cluster, latitude, longitude, "checkinTime", event_id) AS src,
-    cluster AS dst
-  FROM trips),
-known AS (
-  SELECT src AS id FROM struct_moves WHERE src <> dst UNION SELECT dst FROM struct_moves WHERE src <> dst)""",
-        """SELECT id FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)
-        WHERE id NOT IN (SELECT id FROM known)""",
+        _edges(), "SELECT id FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) WHERE id >= 100"
     ),
     "edge_out_share": _with(
         _edges(), "SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS out_share FROM edges"
@@ -327,9 +354,17 @@ known AS (
 a2 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM a0 a JOIN a0 b ON a.j = b.i GROUP BY a.i, b.j)""",
         "SELECT a.i, b.j, sum(a.v * b.v) AS v FROM a2 a JOIN a0 b ON a.j = b.i GROUP BY a.i, b.j",
     ),
+    "mat_gram_power3": _with(
+        _edges()
+        + _MATRIX
+        + """,
+a2 AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM a0 a JOIN a0 b ON a.j = b.j GROUP BY a.i, b.i)""",
+        "SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM a2 a JOIN a0 b ON a.j = b.j GROUP BY a.i, b.i",
+    ),
     "mat_normalize": _with(_edges() + _MATRIX + _NORMALIZED, "SELECT i, j, v FROM n0"),
     "mat_inflate": _with(_edges() + _MATRIX + _INFLATED, "SELECT i, j, v FROM n0"),
     "mat_prune": _with(_edges() + _MATRIX + _INFLATED, "SELECT i, j, v FROM n0 WHERE v > 0.001"),
+    "mat_prune_tight": _with(_edges() + _MATRIX + _INFLATED, "SELECT i, j, v FROM n0 WHERE v > 0.02"),
     "mat_converged": _with(
         _edges()
         + _MATRIX
@@ -350,6 +385,8 @@ cases AS (
     "mcl_power_5": _with(_edges() + _TEXTBOOK, _LISTED),
     "mcl_gram_5": _with(_edges() + _RAW_GRAM, _LISTED),
     "mcl_struct_gram_5": _with(_edges("struct") + _RAW_GRAM, _LISTED),
+    "mcl_default": _with(_edges() + _DEFAULT, _LISTED),
+    "mcl_clusters_paged": _with(_edges() + _TEXTBOOK, _PAGED),
     "route_graph": _with(_edges() + _TEXTBOOK + _ROUTES, "SELECT src, dst, weight FROM routes"),
     "routes_sorted": _with(
         _edges() + _TEXTBOOK + _ROUTES, "SELECT src, dst, weight FROM routes ORDER BY weight, src, dst"
@@ -359,4 +396,23 @@ cases AS (
         _edges(stops=_FOUND_STOPS) + _TEXTBOOK + _ROUTES,
         "SELECT src, dst, weight FROM routes ORDER BY weight, src, dst",
     ),
+    "subgraph_routes": _with(
+        _edges(stops=_FOUND_STOPS).replace("edges AS MATERIALIZED", "whole AS MATERIALIZED")
+        + ",\nedges AS (SELECT * FROM whole WHERE src < 60 AND dst < 60)"
+        + _TEXTBOOK
+        + _ROUTES,
+        "SELECT src, dst, weight FROM routes",
+    ),
+    "site_profile": _with(
+        _edges("struct", _FOUND_STOPS) + _VERTICES + _RANK_LINES + _RANKED_20 + _LABELLED,
+        """SELECT v.id, v.normal, round(r.pagerank, 6) AS pagerank, c.num_points, l.label
+        FROM vertices v JOIN ranked r USING (id)
+        JOIN (SELECT cluster AS id, CAST(count(*) AS INTEGER) AS num_points FROM stops GROUP BY cluster) c USING (id)
+        JOIN (SELECT id, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS label FROM labelled) l USING (id)""",
+    ),
+    "edge_profile": _with(
+        _edges(stops=_FOUND_STOPS),
+        """SELECT src, dst, normal, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS out_share,
+          normal / CAST(sum(normal) OVER (PARTITION BY src) AS DOUBLE) AS transfer_prob FROM edges""",
+    ),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from tripweave.operators.graph import SiteGraph
 
@@ -17,7 +17,7 @@ def write_table(df: DataFrame, name: str, fmt: str = "parquet") -> None:
 
     Spark tables other than Delta cannot be overwritten by a plan that reads them.
     """
-    df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").saveAsTable(name)
+    _overwriting(df, fmt).saveAsTable(name)
 
 
 def read_stage(spark: SparkSession, root: str, name: str, fmt: str = "parquet") -> DataFrame:
@@ -29,7 +29,7 @@ def write_stage(df: DataFrame, root: str, name: str, fmt: str = "parquet") -> Da
 
     A stage must not be overwritten by a plan that reads it: give the new one a new name.
     """
-    df.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").save(f"{root}/{name}")
+    _overwriting(df, fmt).save(f"{root}/{name}")
     return df.sparkSession.read.schema(df.schema).format(fmt).load(f"{root}/{name}")
 
 
@@ -44,3 +44,9 @@ def write_graph(graph: SiteGraph, root: str, fmt: str = "parquet") -> SiteGraph:
         write_stage(graph.vertices, root, "graph_vertices", fmt),
         write_stage(graph.edges, root, "graph_edges", fmt),
     )
+
+
+def _overwriting(df: DataFrame, fmt: str) -> DataFrameWriter:
+    """Delta keeps a table's old schema unless told otherwise; other formats know no such option."""
+    writer = df.write.format(fmt).mode("overwrite")
+    return writer.option("overwriteSchema", "true") if fmt == "delta" else writer
