@@ -156,5 +156,5 @@ def test_unusable_coordinates_are_noise(spark):
         (5, nan, nan), (6, nan, nan), (7, inf, 0.0), (8, 0.0, -inf), (9, None, 1.0), (10, 1.0, nan), (11, 1.0, nan),
     ]
     frame = spark.createDataFrame(rows, "id long, latitude double, longitude double")
-    got = {r["id"]: r["cluster"] for r in density.dbscan(frame, spread_by=["id"]).collect()}
+    got = {r["id"]: r["cluster"] for r in dbscan(frame, spread_by=["id"]).collect()}
     assert got == {1: 1, 2: 1} | dict.fromkeys(range(3, 12))

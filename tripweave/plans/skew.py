@@ -91,7 +91,9 @@ def spread_join(
         if not spread:
             return facts.join(dims, on, how)
         salt = F.when(keyless, salt_of(spread_by, F.lit(_KEYLESS_SALTS))).otherwise(0)
-        left, right = facts.withColumn(_SALT, salt), dims.withColumn(_SALT, F.lit(0))
+        # Always 0, but no literal: with one the optimizer would drop the salt from the join keys.
+        none = F.pmod(F.hash(*on), F.lit(1))
+        left, right = facts.withColumn(_SALT, salt), dims.withColumn(_SALT, none)
         return left.join(right, [*on, _SALT], how).drop(_SALT)
     hot = F.broadcast(hot)
     one = F.coalesce(F.col(_SALTS), F.lit(1))
