@@ -164,3 +164,17 @@ def test_routes(spark):
     )
     found = routes.sort_routes(routes.route_graph(members, edges)).collect()
     assert [tuple(r) for r in found] == [(4, 6, 1), (7, 4, 1), (4, 5, 9)]
+
+
+@pytest.mark.parametrize("hot_rows", [2, 1_000_000])
+def test_equal_clusters_merge(spark, hot_rows):
+    m = matrix(spark, [(i, j, 0.5) for i in (2, 5) for j in (2, 5, 9)] + [(7, 7, 1.0), (7, 9, 1.0), (8, 8, 1.0)])
+    found = mcl.attractor_clusters(m, hot_rows=hot_rows, merge_equal=True).orderBy("cluster_id").collect()
+    assert [(r["attractor"], r["members"]) for r in found] == [(2, [2, 5, 9]), (7, [7, 9]), (8, [8])]
+
+
+def test_strict_convergence_sees_what_vanished(spark):
+    old, new = matrix(spark, [(0, 0, 1.0), (0, 1, 0.5)]), matrix(spark, [(0, 0, 1.0)])
+    assert sparse.converged(old, new).first()[0]
+    assert not sparse.converged(old, new, strict=True).first()[0]
+    assert sparse.converged(old, old, strict=True).first()[0]

@@ -68,10 +68,12 @@ def out_share(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def transition_probabilities(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``transfer_prob``: the edge's part of all moves leaving ``src``."""
-    return _with_source_totals(edges, hot_rows).select(
-        *edges.columns, (F.col("normal") / F.col("_total")).alias("transfer_prob")
+def transition_probabilities(
+    edges: DataFrame, hot_rows: int = HOT_ROWS, weight: str = "normal"
+) -> DataFrame:
+    """Add ``transfer_prob``: the edge's part of all ``weight`` leaving ``src``."""
+    return _with_source_totals(edges, hot_rows, weight).select(
+        *edges.columns, (F.col(weight) / F.col("_total")).alias("transfer_prob")
     )
 
 
@@ -101,10 +103,10 @@ def top_k(df: DataFrame, by: str, k: int, then: str = "id") -> DataFrame:
     return df.orderBy(F.col(by).desc(), then).limit(k)
 
 
-def _with_source_totals(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _with_source_totals(edges: DataFrame, hot_rows: int, weight: str = "normal") -> DataFrame:
     # A window over src would put all edges of a hub in one task.
     totals = edges.groupBy("src").agg(
-        F.sum("normal").alias("_total"), F.count(F.lit(1)).alias("_degree")
+        F.sum(weight).alias("_total"), F.count(F.lit(1)).alias("_degree")
     )
     return spread_join(
         edges, totals, ["src"], ["dst"], hot_keys(totals, ["src"], "_degree", hot_rows)

@@ -13,6 +13,7 @@ from tripweave.plans.skew import (
     HOT_ROWS,
     group_sizes,
     hot_keys,
+    hot_keys_if_any,
     spread_join,
 )
 
@@ -101,14 +102,36 @@ def attractor_members(m: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def merged_equal(pairs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``pairs`` of :func:`attractor_members` with one attractor, the smallest, for each set of
+    members.  Sets are told apart by their size and two hashes over their members."""
+    hashed = F.xxhash64("member")
+    sets = cut_lineage(
+        pairs.groupBy("attractor").agg(
+            F.count(F.lit(1)).alias("_rows"),
+            F.bit_xor(hashed).alias("_xor"),
+            F.sum(F.hash("member", hashed).cast("long")).alias("_sum"),
+        )
+    )
+    kept = sets.groupBy("_rows", "_xor", "_sum").agg(F.min("attractor").alias("attractor"))
+    hot = hot_keys_if_any(sets, ["attractor"], hot_rows=hot_rows)
+    return spread_join(pairs, kept.select("attractor"), ["attractor"], ["member"], hot)
+
+
 def attractor_clusters(
-    m: DataFrame, max_members: int = MAX_MEMBERS, hot_rows: int = HOT_ROWS
+    m: DataFrame,
+    max_members: int = MAX_MEMBERS,
+    hot_rows: int = HOT_ROWS,
+    merge_equal: bool = False,
 ) -> DataFrame:
     """``cluster_id`` (from 0, by attractor), ``attractor`` and its sorted ``members``.
 
     Members are paged by rank: ``part`` 0 holds the first ``max_members``, ``part`` 1 the next.
+    ``merge_equal`` lists attractors with the same members once.
     """
     pairs = attractor_members(m, hot_rows)
+    if merge_equal:
+        pairs = merged_equal(pairs, hot_rows)
     placed = (
         OrderedScan(pairs, ["attractor"], ["member"], hot_rows)
         .derive(_one=F.lit(1))

@@ -97,17 +97,18 @@ def prune(m: DataFrame, threshold: float) -> DataFrame:
     return m.filter(F.col("v") > threshold)
 
 
-def converged(old: DataFrame, new: DataFrame) -> DataFrame:
+def converged(old: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
     """One row, ``converged``: every entry of ``new`` is close to that of ``old``.
 
     An entry missing from ``old`` counts as 0; entries that vanished are not looked at, so an
-    empty ``new`` has converged.  Close means |old - new| <= 1e-8 + 1e-5 |new|.
+    empty ``new`` has converged.  ``strict`` looks at them too, as 0 in ``new``.  Close means
+    |old - new| <= 1e-8 + 1e-5 |new|.
     """
-    before = F.coalesce("_old", F.lit(0.0))
-    close = F.abs(before - F.col("v")) <= 1e-8 + 1e-5 * F.abs("v")
-    return (
-        new.join(old.select("i", "j", F.col("v").alias("_old")), ["i", "j"], "left")
-        .agg(F.coalesce(F.bool_and(close), F.lit(True)).alias("converged"))
+    before, after = F.coalesce("_old", F.lit(0.0)), F.coalesce("v", F.lit(0.0))
+    close = F.abs(before - after) <= 1e-8 + 1e-5 * F.abs(after)
+    was = old.select("i", "j", F.col("v").alias("_old"))
+    return new.join(was, ["i", "j"], "full" if strict else "left").agg(
+        F.coalesce(F.bool_and(close), F.lit(True)).alias("converged")
     )
 
 
