@@ -526,7 +526,8 @@ def score(
 
     # Parcels of one shard, then of one chunk, come together; there are as many as the other
     # kind has members, and each is bounded by a chunk's or shard's share.
-    asked = map_arrow(rows, ask, _PARCEL).repartition(shards, "dest").sortWithinPartitions("dest", "part")
+    # More partitions than shards, so that few shards meet in one by their hash.
+    asked = map_arrow(rows, ask, _PARCEL).repartition(4 * shards, "dest").sortWithinPartitions("dest", "part")
     answered = map_arrow(asked, answer, _PARCEL).repartition("dest").sortWithinPartitions("dest", "part")
     return map_arrow(
         answered,
