@@ -45,8 +45,8 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Drop documents that the base rules or the repetition rules reject."""
-    return rules.passing(docs.filter(F.col("doc_id").isNotNull()))
+    """Drop documents that the base rules or the repetition rules reject, by the query's limits."""
+    return rules.passing(docs.filter(F.col("doc_id").isNotNull()), **rules.LIMITS)
 
 
 @_stage

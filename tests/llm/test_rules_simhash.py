@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tripweave.llm import rules, simhash
+from tripweave.llm.queries import QUERIES
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,6 +82,32 @@ def test_repeated_passages_fail_and_are_located(spark):
     assert got[2]["longest_repeat"] == 60 and got[2]["n_covered_words"] == 120
 
 
+def test_each_limit_rejects_what_the_base_rule_keeps(spark, tmp_path):
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, four = fresh(30), [fresh(12) for _ in range(4)]
+    texts = [
+        fresh(300),
+        # Four repeats of 12 words: 96 of 340 words are covered, the longest is 0.035 of them.
+        [w for p in four * 2 for w in p + fresh(5)] + fresh(204),
+        # One repeat of 30 in 330 words: 0.18 are covered, the longest is 0.09.
+        fresh(100) + passage + fresh(100) + passage + fresh(70),
+        # Short repeats stay.
+        fresh(150) + passage[:11] + fresh(150) + passage[:11],
+    ]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op9_quality_rules"](spark, str(tmp_path)).collect()}
+    for i, words in enumerate(texts):
+        longest = longest_repeats(words)
+        inside = {i + j for i, n in enumerate(longest) if n >= 10 for j in range(n)}
+        over = len(inside) > 0.2 * len(words), max(longest) > 0.08 * len(words)
+        assert over == [(False, False), (True, False), (False, True), (False, False)][i]
+        assert (got[i]["n_covered_words"], got[i]["longest_repeat"]) == (len(inside), max(longest))
+        assert not got[i]["base_failed"] and got[i]["kept"] == (not any(over))
+    assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, frame, "").collect()} == {0, 3}
+
+
 # --- fingerprints -------------------------------------------------------------------
 
 

@@ -248,7 +248,7 @@ def op8_quality_classifier(spark, folder):
 
 @query
 def op9_quality_rules(spark, folder):
-    return rules.repetition(table(spark, folder, "documents"))
+    return rules.repetition(table(spark, folder, "documents"), **rules.LIMITS)
 
 
 @query

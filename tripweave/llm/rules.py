@@ -23,6 +23,10 @@ from tripweave.llm.common import key_and_text, map_arrow
 #: Words sorted together; a longer text is sorted alone.
 TOGETHER = 300_000
 SYMBOLS = "#*$%&|<>"
+#: Limits of the query and the pipeline.  Each rejects texts that the base rule, half of the words
+#: in 3-word repeats, lets pass: many repeats of ten words over a fifth of the words, or one repeat
+#: over 0.08 of them, whose two copies cover less than that fifth up to 0.1.
+LIMITS = {"repeat_words": 10, "most_covered": 0.2, "longest_share": 0.08}
 
 
 def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +116,7 @@ def repetition(
     text: str = "text",
     repeat_words: int = 10,
     most_covered: float = 0.5,
-    longest_share: float = 0.3,
+    longest_share: float = 0.08,
     with_spans: bool = False,
 ) -> DataFrame:
     """Statistics and verdict per row of ``docs``: doc_id, n_words, word_chars, n_symbols,
@@ -125,6 +129,10 @@ def repetition(
     or if one repeat is longer than ``longest_share`` of them.  ``with_spans`` adds spans, the
     union of those repeats as (start, end) in words.
 
+    Repeats of ten words lie within repeats of three, so ``most_covered`` of one half, the default,
+    adds nothing to base_failed; a ``longest_share`` of over a quarter would hardly either.  The
+    query and the pipeline take :data:`LIMITS`, where both add to it.
+
     Null and empty texts have no words and fail.  Each row is judged alone, so repeated rows
     repeat their results and an empty table gives none; other columns are not read.  A text is
     sorted whole whatever its length, in about 40 bytes a word and doubling round.
@@ -156,7 +164,7 @@ def passing(
     text: str = "text",
     repeat_words: int = 10,
     most_covered: float = 0.5,
-    longest_share: float = 0.3,
+    longest_share: float = 0.08,
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that :func:`repetition` keeps; no shuffle."""
 
