@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tripweave.llm import lm, quality, toxicity
 from tripweave.llm.eliasfano import EliasFano
+from tripweave.llm.queries import QUERIES, held_out
 
 
 def invented(rng, words, toxic):
@@ -176,3 +177,14 @@ def test_model_without_training_rows(spark, odd, nothing):
     assert len(rows) == odd.count() and {(r["score"], r["base_score"], r["n_known"]) for r in rows} == {(0.0, 0.0, 0)}
     assert lm.score(odd, F.lit(True), shards=3).filter("score > 0").count() == 0
     assert lm.score(nothing, F.lit(True)).count() == 0
+
+
+def test_query_looks_at_two_words_of_context(spark, tmp_path):
+    ids = spark.range(400).select("id", held_out(5, 1, "id").alias("out")).collect()
+    taught, asked = ([r["id"] for r in ids if r["out"] == out] for out in (False, True))
+    rows = [(i, ("go a x b", "go c x d")[k % 2]) for k, i in enumerate(taught[: len(taught) // 2 * 2])]
+    rows += [(asked[0], "go a x b"), (asked[1], "go a x d"), (asked[2], "go c x d"), (asked[3], "go c x b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op2_lm_scoring"](spark, str(tmp_path)).collect()}
+    # One word of context gives b and d the same probability after x.
+    assert got[asked[0]] > got[asked[1]] + 1 and got[asked[2]] > got[asked[3]] + 1

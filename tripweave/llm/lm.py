@@ -325,7 +325,8 @@ def _replies(shard: int, requests: dict[int, list[tuple]], places: Places):
                 if len(trie.totals):
                     exact[0] = np.where(own >= 0, trie.totals[own], 0)
                     exact[1] = np.where(own >= 0, trie.masses[own], 0)
-                yield (r[1], shard, part, alpha.tobytes(), gamma.tobytes(), books, exact.tobytes())
+                codes = (zlib.compress(c.tobytes(), 1) for c in (alpha, gamma))
+                yield (r[1], shard, part, *codes, books, exact.tobytes())
             del trie
 
 
@@ -373,8 +374,8 @@ def _scores(parcels: list[tuple], places: Places, order: int) -> dict[str, np.nd
             first, length = _runs(owner[own])
             asked = owner[own[first]] if len(own) else np.zeros(0, np.int64)
             books = np.frombuffer(r[5], "<f8")
-            alpha[own] = books[:256][np.frombuffer(r[3], np.uint8)]
-            found = books[256:][np.frombuffer(r[4], np.uint8)]
+            alpha[own] = books[:256][np.frombuffer(zlib.decompress(r[3]), np.uint8)]
+            found = books[256:][np.frombuffer(zlib.decompress(r[4]), np.uint8)]
             hot = spreads[asked] > 1
             gamma[asked[~hot]] = found[~hot]
             exact = np.frombuffer(r[6], np.float64).reshape(2, -1)
@@ -418,9 +419,12 @@ def _grouped(batches, at: int):
         yield held
 
 
-def _hot_contexts(rows: DataFrame, shards: int, documents: int, wanted: int = 2_000) -> dict[int, int]:
-    """Words that take over an eighth of a shard's share of a sample of documents, with the
-    number of shards to spread them over.  Only where n-grams are kept depends on the sample."""
+def _hot_contexts(
+    rows: DataFrame, shards: int, documents: int, order: int, wanted: int = 2_000
+) -> dict[int, int]:
+    """Contexts of up to order - 1 words that take over an eighth of a shard's share of a sample
+    of documents, with the number of shards to spread them over.  Only where n-grams are kept
+    depends on the sample."""
 
     def leaders(batches):
         seen: dict[bytes, int] = {}
@@ -429,9 +433,11 @@ def _hot_contexts(rows: DataFrame, shards: int, documents: int, wanted: int = 2_
             for text in batch.column("text").to_pylist():
                 words = text.encode().split()
                 n += len(words) + 1
-                for w in words:
-                    seen[w] = seen.get(w, 0) + 1
-                seen[b"\n begin"] = seen.get(b"\n begin", 0) + 1
+                begun = [b"\n begin", *words]
+                for length in range(1, order):
+                    for i in range(len(begun) - length + 1):
+                        w = b"\t".join(begun[i : i + length])
+                        seen[w] = seen.get(w, 0) + 1
         found = [(w, c) for w, c in seen.items() if c * 16 * shards >= n]
         yield pa.RecordBatch.from_pydict(
             {
@@ -442,12 +448,19 @@ def _hot_contexts(rows: DataFrame, shards: int, documents: int, wanted: int = 2_
 
     sample = rows.sample(min(1.0, wanted / max(1, documents)), seed=3).select("text").coalesce(8)
     found = map_arrow(sample, leaders, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = {bytes(r["word"]): r["n"] for r in found.orderBy(F.col("n").desc()).limit(8 * shards + 1).collect()}
+    most = 8 * shards * max(1, order - 1) + 1
+    counts = {bytes(r["word"]): r["n"] for r in found.orderBy(F.col("n").desc()).limit(most).collect()}
     total = counts.pop(b"", 0)
+
+    def hashed(context: bytes) -> int:
+        first, *others = (np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in context.split(b"\t"))
+        found = _mixed(first, np.uint64(2))
+        for word in others:
+            found = _mixed(found, word)
+        return int(found[0])
+
     return {
-        int(_mixed(np.array([xxhash.xxh64_intdigest(w)], np.uint64), np.uint64(2))[0]): min(
-            shards, -(-4 * n * shards // total)
-        )
+        hashed(w): min(shards, -(-4 * n * shards // total))
         for w, n in counts.items()
         if n * 8 * shards >= total
     }
@@ -480,7 +493,7 @@ def score(
     # Lower-casing leaves sizes as they are, so the sizes are read without it.
     size = docs.agg(F.sum(F.octet_length(F.col(text))).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
     shards = shards or max(1, -(-(size["bytes"] or 0) // SHARD_BYTES))
-    places = Places(shards, _hot_contexts(rows, shards, size["n"]) if shards > 1 else {})
+    places = Places(shards, _hot_contexts(rows, shards, size["n"], order) if shards > 1 else {})
 
     def ask(batches):
         part, number = TaskContext.get().partitionId(), 0

@@ -50,7 +50,7 @@ def op1_best_fit_packing(spark, folder):
 
 @query
 def op2_lm_scoring(spark, folder):
-    scored = lm.score(table(spark, folder, "documents"), train=~held_out(5, 1), order=2)
+    scored = lm.score(table(spark, folder, "documents"), train=~held_out(5, 1), order=3)
     return scored.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
