@@ -172,6 +172,34 @@ def test_model_against_brute_force(spark, spoken, order, shards, chunk):
     assert np.allclose([g[7] for g in got], [w[7] for w in want], rtol=loose)
 
 
+def differences(spark, docs, order, shards, chunk):
+    frame = spark.createDataFrame(docs, "doc_id long, text string, train boolean")
+    rows = lm.score(frame, F.col("train"), order, shards=shards, chunk=chunk).collect()
+    got = sorted((r[0] is None, r[0] or 0, *r[1:]) for r in rows)
+    return np.array([abs(g[7] / w[7] - 1) for g, w in zip(got, brute(docs, order), strict=True)])
+
+
+def test_shards_share_one_discount(spark, spoken):
+    # So few different counts that every code is exact.
+    for order, shards, chunk in ((2, 4, 90), (3, 5, 200), (3, 13, 10**6)):
+        assert differences(spark, spoken, order, shards, chunk).max() < 1e-9
+
+
+def test_many_counts_differ_by_quantisation_only(spark):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(20, 200, 1_500)
+    words = [f"w{i}" for i in rng.zipf(1.25, lengths.sum()) % 5_000]
+    ends = np.cumsum(lengths)
+    docs = [(i, " ".join(words[e - n : e]), i % 5 != 1) for i, (e, n) in enumerate(zip(ends.tolist(), lengths, strict=True))]
+    grams = Counter(g for _, t, train in docs if train for g in zip(t.split(), t.split()[1:], strict=False))
+    totals = Counter()
+    for (a, _), c in grams.items():
+        totals[a] += c
+    assert len({(c, totals[a]) for (a, _), c in grams.items()}) > 4 * 255
+    for shards in (1, 4):
+        assert differences(spark, docs, 3, shards, 20_000).max() < 0.01
+
+
 def test_model_without_training_rows(spark, odd, nothing):
     rows = lm.score(odd, F.lit(None).cast("boolean")).collect()
     assert len(rows) == odd.count() and {(r["score"], r["base_score"], r["n_known"]) for r in rows} == {(0.0, 0.0, 0)}

@@ -3,8 +3,8 @@
 The n-grams of the training rows are dealt out to shards by their context, a hot context by
 ranges of its successors as well.  A shard builds a trie of what it got: the contexts, for each
 a pointer to where its successors begin, and the successors, each coded relative to its
-context, all as Elias-Fano sequences; and for every successor and context a quantised
-probability.  The levels are written to a file and mapped.  A successor is looked up by a
+context, all as Elias-Fano sequences; and for every successor and context quantised counts,
+which make its probability.  The levels are written to a file and mapped.  A successor is looked up by a
 search for the least number not below context and word.
 
 Documents are scored in chunks.  A chunk asks each shard once for the different n-grams it has,
@@ -14,8 +14,11 @@ training counts, so the same exchange builds the model and asks it:
     documents -> chunks (requests to shards) -> shards (trie, replies) -> chunks (scores)
 
 Probabilities interpolate absolute discounting down to unigrams, where all words that training
-has not seen are one: P(w | u) = max(c(uw) - D, 0) / c(u) + D n(u) / c(u) P(w).  Each shard
-estimates the discount D of its n-grams, so scores depend a little on their number.
+has not seen are one: P(w | u) = max(c(uw) - D, 0) / c(u) + D n(u) / c(u) P(w).  There is one
+discount D for each order, from how many n-grams of the whole corpus occur once and twice: shards
+report theirs with every reply, and a code stands for counts, to which the chunk applies D.  A
+shard has a book of 255 counts for its codes; only where it needs more do scores depend, a little,
+on how n-grams are dealt out.
 """
 
 from __future__ import annotations
@@ -57,7 +60,8 @@ def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 class Places:
     """Which shard holds a successor of a context.  ``spread`` gives hot contexts their number
-    of ranges; it only evens out the shards and any values give the same scores."""
+    of ranges; it only evens out the shards.  Scores depend on it only through quantisation, as a
+    shard of many different counts rounds them to those in its book."""
 
     def __init__(self, shards: int, spread: dict[int, int]):
         self.shards = shards
@@ -136,6 +140,19 @@ class Chunk:
         order = np.argsort(shard, kind="stable")
         return order, np.searchsorted(shard[order], np.arange(places.shards + 1))
 
+    def shared(self, level: dict, places: Places) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts that several shards hold, once for each such shard, in order of shard, and
+        where each shard's begin: their sums come from all, also where the chunk has no successor."""
+        owner = np.unique(level["owner"])
+        spreads = places.spreads(level["hashes"][owner]).astype(np.int64)
+        owner, spreads = owner[spreads > 1], spreads[spreads > 1]
+        step = np.arange(spreads.sum()) - np.repeat(np.cumsum(spreads) - spreads, spreads)
+        owner = np.repeat(owner, spreads)
+        base = level["hashes"][owner] >> np.uint64(20)
+        shard = ((base + step.astype(np.uint64)) % np.uint64(places.shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return owner[order], np.searchsorted(shard[order], np.arange(places.shards + 1))
+
     def dealt_words(self, places: Places) -> tuple[np.ndarray, np.ndarray]:
         shard = places.of_words(self.words)
         order = np.argsort(shard, kind="stable")
@@ -183,10 +200,13 @@ def _requests(docs: list[tuple], vocabulary: dict[bytes, int], label: int, place
         seen = np.bincount(own, minlength=len(level["owner"]))
         by, bounds = chunk.dealt(level, places)
         child = chunk.children(level)
+        others, begin = chunk.shared(level, places)
         for shard in range(places.shards):
             own = by[bounds[shard] : bounds[shard + 1]]
             first, length = _runs(level["owner"][own])
-            contexts = level["hashes"][level["owner"][own[first]]] if len(own) else np.zeros(0, np.uint64)
+            more = others[begin[shard] : begin[shard + 1]]
+            contexts = level["hashes"][np.append(level["owner"][own[first]], more)]
+            length = np.append(length, np.zeros(len(more), np.int64))
             five = child[own].view(np.uint8).reshape(-1, 8)[:, : CHILD_BITS // 8]
             rows.append(
                 (shard, label, n, contexts.tobytes(), _pack(length), np.ascontiguousarray(five).tobytes(), _pack(seen[own]))
@@ -197,23 +217,37 @@ def _requests(docs: list[tuple], vocabulary: dict[bytes, int], label: int, place
 # --- shards -------------------------------------------------------------------------
 
 
-def discount(counts: np.ndarray) -> float:
+def discount(once: int, twice: int) -> float:
     """Absolute discount from how many n-grams occur once and twice."""
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes from 1 and their book of 256 (0: nothing); a code stands for the least of its
-    values, so quantised probabilities do not add up to more than the exact ones."""
-    book = np.zeros(256)
-    if not len(values):
+def _quantised(parts: np.ndarray, wholes: np.ndarray, less: float) -> tuple[np.ndarray, np.ndarray]:
+    """Codes from 1 for pairs of counts, and their book of 256 pairs (0: nothing).
+
+    Up to 255 different pairs stand for themselves.  Of more, a code stands for the pair of the
+    least (part - less) / whole among its own, so quantised probabilities hardly add up to more
+    than the exact ones.  ``less`` decides only which pairs share a code.
+    """
+    book = np.zeros((2, 256))
+    book[1] = 1
+    if not len(parts):
         return np.zeros(0, np.uint8), book
-    different = np.unique(values)
-    if len(different) > 255:
-        different = np.unique(np.sort(values)[np.linspace(0, len(values) - 1, 256).astype(np.int64)[:255]])
-    book[1 : len(different) + 1] = different
-    return np.searchsorted(different, values, side="right").astype(np.uint8), book
+    different, rank = _unique(wholes.astype(np.int64))
+    coded, of = _unique(parts.astype(np.int64) * len(different) + rank)
+    pairs = np.stack([coded // len(different), different[coded % len(different)]])
+    codes = np.arange(1, pairs.shape[1] + 1)
+    if pairs.shape[1] > 255:
+        values = np.log((pairs[0] - less) / pairs[1])
+        by = np.argsort(values, kind="stable")
+        # Steps of one ratio, so that no probability is far off, however rare such n-grams are.
+        low, high = values[by[0]], values[by[-1]]
+        group = np.minimum((values[by] - low) * (255 / max(high - low, 1e-9)), 254).astype(np.int64)
+        first, length = _runs(group)
+        codes[by] = np.repeat(np.arange(1, len(first) + 1), length)
+        pairs = pairs[:, by[first]]
+    book[:, 1 : pairs.shape[1] + 1] = pairs
+    return codes[of].astype(np.uint8), book
 
 
 class Trie:
@@ -227,7 +261,7 @@ class Trie:
             setattr(self, part, EliasFano(*(load(f"{part}-{f}") for f in EliasFano.FIELDS)))
         self.alpha, self.gamma = load("alpha"), load("gamma")
         self.alpha_book, self.gamma_book = load("alpha-book"), load("gamma-book")
-        self.totals, self.masses = load("totals"), load("masses")
+        self.totals, self.kinds, self.sums = load("totals"), load("kinds"), load("sums")
 
     @staticmethod
     def write(folder: str, contexts: np.ndarray, children: np.ndarray, counts: np.ndarray) -> None:
@@ -241,10 +275,10 @@ class Trie:
         owner = (coded >> np.uint64(CHILD_BITS)).astype(np.int64)
         pointers = np.searchsorted(owner, np.arange(len(hashes) + 1))
         totals = np.bincount(owner, counts, minlength=len(hashes))
-        less = discount(counts)
-        masses = less * np.diff(pointers)
-        alpha, alpha_book = _quantised((counts - less) / totals[owner])
-        gamma, gamma_book = _quantised(masses / np.maximum(totals, 1))
+        kinds = np.diff(pointers)
+        sums = np.array([(counts == 1).sum(), (counts == 2).sum()], np.int64)
+        alpha, alpha_book = _quantised(counts, totals[owner], discount(*map(int, sums)))
+        gamma, gamma_book = _quantised(kinds, totals, 0.0)
         save = lambda name, values: np.save(Path(folder, f"{name}.npy"), values)
         for part, values in zip(Trie.PARTS, (hashes, pointers, coded), strict=True):
             sequence = EliasFano.of(values)
@@ -255,7 +289,8 @@ class Trie:
         save("alpha-book", alpha_book)
         save("gamma-book", gamma_book)
         save("totals", totals.astype(np.float64))
-        save("masses", masses.astype(np.float64))
+        save("kinds", kinds.astype(np.float64))
+        save("sums", sums)
 
     def find_contexts(self, hashes: np.ndarray) -> np.ndarray:
         return self.contexts.find(hashes)
@@ -288,7 +323,8 @@ def _replies(shard: int, requests: dict[int, list[tuple]], places: Places):
     """Answers of one shard, a parcel per chunk and part.
 
     Part 1 gets counts of words, and the shard's sums that make up those of the corpus.  Part n
-    gets codes and books, and exact sums of those contexts that several shards share.
+    gets codes and books, exact sums of those contexts that several shards share, and how many
+    n-grams the shard has once and twice.
     """
     for part, rows in sorted(requests.items()):
         if part == 1:
@@ -312,7 +348,7 @@ def _replies(shard: int, requests: dict[int, list[tuple]], places: Places):
             Trie.write(folder, np.concatenate(contexts), np.concatenate(children), np.concatenate(counts))
             del contexts, children, counts
             trie = Trie(folder)
-            books = np.concatenate([trie.alpha_book, trie.gamma_book]).astype("<f8").tobytes()
+            books = np.concatenate([trie.alpha_book, trie.gamma_book, trie.sums], axis=None).astype("<f8").tobytes()
             for r in rows:
                 asked = np.frombuffer(r[3], np.uint64)
                 context = trie.find_contexts(asked)
@@ -324,7 +360,7 @@ def _replies(shard: int, requests: dict[int, list[tuple]], places: Places):
                 exact = np.zeros((2, len(hot)))
                 if len(trie.totals):
                     exact[0] = np.where(own >= 0, trie.totals[own], 0)
-                    exact[1] = np.where(own >= 0, trie.masses[own], 0)
+                    exact[1] = np.where(own >= 0, trie.kinds[own], 0)
                 codes = (zlib.compress(c.tobytes(), 1) for c in (alpha, gamma))
                 yield (r[1], shard, part, *codes, books, exact.tobytes())
             del trie
@@ -356,7 +392,7 @@ def _scores(parcels: list[tuple], places: Places, order: int) -> dict[str, np.nd
         counts[by[bounds[shard] : bounds[shard + 1]]] = np.frombuffer(zlib.decompress(p[3]), "<i8")
         sums += np.frombuffer(p[4], np.int64)
     tokens, different, once, twice = map(int, sums)
-    less = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+    less = discount(once, twice)
     if tokens:
         single = np.where(counts > 0, (counts - less) / tokens, less * different / tokens)
     else:
@@ -366,27 +402,31 @@ def _scores(parcels: list[tuple], places: Places, order: int) -> dict[str, np.nd
         owner = level["owner"]
         alpha, share = np.zeros(len(owner)), np.ones(len(owner))
         contexts = len(level["hashes"])
-        gamma, total, mass = np.zeros(contexts), np.zeros(contexts), np.zeros(contexts)
+        gamma, total, kinds = np.zeros(contexts), np.zeros(contexts), np.zeros(contexts)
         spreads = places.spreads(level["hashes"])
         by, bounds = chunk.dealt(level, places)
+        others, begin = chunk.shared(level, places)
+        books = {shard: np.frombuffer(r[5], "<f8") for shard, r in replies[n].items()}
+        less = discount(*(int(sum(b[1024 + i] for b in books.values())) for i in range(2)))
         for shard, r in replies[n].items():
             own = by[bounds[shard] : bounds[shard + 1]]
             first, length = _runs(owner[own])
-            asked = owner[own[first]] if len(own) else np.zeros(0, np.int64)
-            books = np.frombuffer(r[5], "<f8")
-            alpha[own] = books[:256][np.frombuffer(zlib.decompress(r[3]), np.uint8)]
-            found = books[256:][np.frombuffer(zlib.decompress(r[4]), np.uint8)]
+            asked = owner[own[first]]
+            more = others[begin[shard] : begin[shard + 1]]
+            count, whole, kind, context = books[shard][:1024].reshape(4, 256)
+            alpha[own] = (np.maximum(count - less, 0) / whole)[np.frombuffer(zlib.decompress(r[3]), np.uint8)]
+            found = (less * kind / context)[np.frombuffer(zlib.decompress(r[4]), np.uint8)]
             hot = spreads[asked] > 1
-            gamma[asked[~hot]] = found[~hot]
+            gamma[asked[~hot]] = found[: len(asked)][~hot]
             exact = np.frombuffer(r[6], np.float64).reshape(2, -1)
-            total[asked[hot]] += exact[0]
-            mass[asked[hot]] += exact[1]
+            total[more] += exact[0, hot.sum() :]
+            kinds[more] += exact[1, hot.sum() :]
             # What a shard divides by is its own part of a shared context's count.
             within = np.ones(len(asked))
-            within[hot] = exact[0]
+            within[hot] = exact[0, : hot.sum()]
             share[own] = np.repeat(within, length)
         shared = spreads > 1
-        gamma[shared] = mass[shared] / np.maximum(total[shared], 1)
+        gamma[shared] = less * kinds[shared] / np.maximum(total[shared], 1)
         known = gamma > 0
         scale = np.where(shared, np.maximum(total, 1), 1.0)
         pair_alpha = alpha * share / scale[owner]
