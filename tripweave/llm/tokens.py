@@ -67,11 +67,12 @@ def _measure(model: sentencepiece.SentencePieceProcessor, pretokens: list[str])
 
 
 def frequent_pretokens(docs: DataFrame, entries: int = 65_536, per_task: int = 4_096) -> DataFrame:
-    """The ``entries`` most frequent pre-tokens with their counts, over all documents.
+    """About the ``entries`` most frequent pre-tokens over all documents, to be broadcast.
 
     Each task counts its own and hands on its ``per_task`` largest, so what is summed is
-    bounded per task, and no pre-token of the text is shuffled.  A pre-token missing here
-    costs time and never a wrong count.
+    bounded per task, and no pre-token of the text is shuffled.  So n is a lower bound, and it and
+    the order depend on partitioning: they serve only to choose what is broadcast.  A pre-token
+    missing here costs time and never a wrong token count.
     """
 
     def leaders(batches):
