@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.llm import decontam, lm, packing, quality, rules, sharding, simhash, tokens, toxicity, warc
+from tripweave.llm import (
+    covertree,
+    decontam,
+    lexical,
+    lm,
+    packing,
+    quality,
+    rules,
+    sharding,
+    simhash,
+    tokens,
+    topk,
+    toxicity,
+    warc,
+)
 from tripweave.llm.common import remainder
 from tripweave.plans.lineage import owns_copies
 from tripweave.queries.folders import name_folder
@@ -255,3 +269,103 @@ def op9_quality_rules(spark, folder):
 def op10_token_counts(spark, folder):
     counted = tokens.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query
+def op11_exact_top_k(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    return topk.exact_top_k(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+#: Vectors without null or non-finite components, scaled to whole numbers kept in doubles.
+_VECTORS = """
+SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+ORACLES["op11_exact_top_k"] = f"""
+WITH v AS ({_VECTORS}),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+
+@query
+def op12_ranked_search(spark, folder):
+    return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+ORACLES["op12_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+held AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), whole),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term), whole GROUP BY ALL),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
+@query
+def op13_cover_tree_codes(spark, folder):
+    codes, books = covertree.fit_codes(table(spark, folder, "embeddings"), parts=4, entries=256, rounds=4)
+    return covertree.with_label_errors(codes).select(
+        "vec_id", "code", "error", "label_error", F.lit(covertree.books_digest(books)).alias("codebooks_sha256")
+    )
+
+
+def _lloyd_sql(parts: int, entries: int, rounds: int) -> str:
+    """Plain rounds: every part against every entry."""
+    square = "list_inner_product(x.p, x.p) - 2 * list_inner_product(x.p, c.p) + list_inner_product(c.p, c.p)"
+
+    def assigned(name: str, book: str) -> str:
+        nearest = f"min({{'d': CAST({square} AS BIGINT), 'entry': c.entry}})"
+        return f"{name} AS MATERIALIZED (SELECT x.vec_id, x.part, {nearest} AS near FROM cut x JOIN {book} c USING (part) GROUP BY ALL)"
+
+    steps = [
+        f"v AS MATERIALIZED ({_VECTORS})",
+        f"""cut AS MATERIALIZED (
+  SELECT vec_id, part, e[part * len(e) // {parts} + 1 : (part + 1) * len(e) // {parts}] AS p FROM v, range({parts}) r(part))""",
+        f"first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries})",
+        "b0 AS MATERIALIZED (SELECT part, entry, p FROM cut JOIN first USING (vec_id))",
+    ]
+    for r in range(rounds):
+        steps += [
+            assigned(f"a{r}", f"b{r}"),
+            f"""m{r} AS (
+  SELECT part, entry, list(mean ORDER BY pos) AS p FROM (
+    SELECT part, near.entry AS entry, pos, floor(sum(p[pos]) / count(*)) AS mean
+    FROM a{r} JOIN cut USING (vec_id, part), LATERAL (SELECT unnest(range(1, len(p) + 1)) AS pos) GROUP BY ALL)
+  GROUP BY ALL)""",
+            f"b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.p, b{r}.p) AS p FROM b{r} LEFT JOIN m{r} USING (part, entry))",
+        ]
+    steps += [
+        assigned("final", f"b{rounds}"),
+        """coded AS (
+  SELECT vec_id, string_agg(printf('%02x', near.entry), '' ORDER BY part) AS code, CAST(sum(near.d) AS BIGINT) AS error
+  FROM final GROUP BY vec_id)""",
+        f"""digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(p, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS s
+  FROM b{rounds})""",
+    ]
+    return "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, s AS codebooks_sha256
+FROM coded JOIN v USING (vec_id), digest"""
+
+
+ORACLES["op13_cover_tree_codes"] = _lloyd_sql(4, 256, 4)
