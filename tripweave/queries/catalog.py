@@ -101,6 +101,21 @@ def stage_roundtrip(spark, folder):
     ).select("src", "dst", "normal", "dst_normal")
 
 
+@query
+def stage_rewrite(spark, folder):
+    """Edges get a column and then another, each time as a new version of the stage they are
+    read from; vertices likewise."""
+    root = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    clustered = _clustered(spark, folder)
+    stages.write_graph(graph.site_graph(cut_lineage(graph.transition_edges(clustered))), root)
+    stages.publish_stage(graph.out_share(stages.read_graph(spark, root).edges), root, "graph_edges")
+    stages.publish_stage(graph.transition_probabilities(stages.read_graph(spark, root).edges), root, "graph_edges")
+    counted = graph.enrich_vertices(stages.read_graph(spark, root).vertices, sites.points_per_site(clustered))
+    stages.publish_stage(counted, root, "graph_vertices")
+    back = stages.read_graph(spark, root)
+    return back.edges.join(back.vertices.select(F.col("id").alias("dst"), "num_points"), "dst")
+
+
 # --- sites --------------------------------------------------------------------------
 
 

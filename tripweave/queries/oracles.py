@@ -239,6 +239,13 @@ ORACLES: dict[str, str] = {
         _edges() + _VERTICES,
         "SELECT e.src, e.dst, e.normal, v.normal AS dst_normal FROM edges e JOIN vertices v ON v.id = e.dst",
     ),
+    "stage_rewrite": _with(
+        _edges(),
+        """SELECT e.dst, e.src, e.normal, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS out_share,
+          e.normal / CAST(sum(e.normal) OVER (PARTITION BY src) AS DOUBLE) AS transfer_prob, c.num_points
+        FROM edges e
+        JOIN (SELECT cluster, CAST(count(*) AS INTEGER) AS num_points FROM stops GROUP BY cluster) c ON c.cluster = e.dst""",
+    ),
     "dbscan_sites": _with(_density(2), "SELECT event_id, cluster FROM found"),
     "dbscan_minpts5": _with(_density(5), "SELECT event_id, cluster FROM found"),
     "dbscan_dirty": _with(
