@@ -72,7 +72,7 @@ def dbscan(
     """
     on = ["_site_lat", "_site_lon"]
     sites, largest = cut_measured(
-        position_sites(checkins, lat, lon, eps_m, min_pts, hot_rows, pair_budget, kind).toDF(*on, "_m", out),
+        position_sites(checkins, lat, lon, eps_m, min_pts, hot_rows, pair_budget, kind).drop("core").toDF(*on, "_m", out),
         "_m",
     )
     known = usable(F.col(lat), F.col(lon))
@@ -106,15 +106,15 @@ def position_sites(
     pair_budget: int = PAIR_BUDGET,
     kind: str = "int",
 ) -> DataFrame:
-    """The positions of sites: ``_lat, _lon``, multiplicity ``m`` and ``site`` number.
+    """The positions of sites: ``_lat, _lon``, multiplicity ``m``, ``site`` number and whether it is
+    ``core``.
 
     Noise is left out.  A position repeated ``min_pts`` times is core, so what is left out
     is never a hot key of a later join.
     """
     chord = chord_of(eps_m)
     limit = F.lit(chord * chord)
-    # A hair under chord/sqrt(3), so that rounding cannot part two positions of one cube.
-    side = chord / math.sqrt(3.0) * (1.0 - 1e-9)
+    side = cube_side(chord)
 
     positions = dense_ranks(
         checkins.filter(usable(F.col(lat), F.col(lon)))
@@ -185,11 +185,19 @@ def position_sites(
             )
         )
     )
-    in_sparse = points.filter(~dense).join(
-        candidates.join(named, "node").groupBy("pid").agg(F.min("site").alias("site")), "pid"
+    in_sparse = (
+        points.filter(~dense)
+        .join(candidates.join(named, "node").groupBy("pid").agg(F.min("site").alias("site")), "pid")
+        .join(sparse.select("pid", "core"), "pid")
     )
-    columns = ["_lat", "_lon", "m", "site"]
-    return in_dense.select(*columns).unionByName(in_sparse.select(*columns))
+    columns = ["_lat", "_lon", "m", "site", "core"]
+    return in_dense.withColumn("core", F.lit(True)).select(*columns).unionByName(in_sparse.select(*columns))
+
+
+def cube_side(chord: float) -> float:
+    """Side of cubes whose positions are all within ``chord`` of each other: a hair under
+    chord/sqrt(3), so that rounding cannot part two positions of one cube."""
+    return chord / math.sqrt(3.0) * (1.0 - 1e-9)
 
 
 def _into_cells(
@@ -224,33 +232,40 @@ def _boxes(points: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def _adjacent(cells: DataFrame, side: float) -> DataFrame:
-    """Each pair of occupied cubes close enough to hold neighbours, once.
+    """Each pair of occupied cubes close enough to hold neighbours, once."""
+    cube = ["cx", "cy", "cz"]
+    # Only names travel through this join; boxes are fetched for the pairs it finds.
+    pairs = (
+        cubes_within(cells.select(F.col("cell").alias("a_cell"), *cube), cells.select(F.col("cell").alias("b_cell"), *cube), side)
+        .filter("a_cell < b_cell")
+        .select("a_cell", "b_cell")
+    )
+    for end in ("a_", "b_"):
+        pairs = pairs.join(cells.select(*[F.col(c).alias(end + c) for c in _carried()]), end + "cell")
+    return pairs
+
+
+def cubes_within(left: DataFrame, right: DataFrame, side: float) -> DataFrame:
+    """Each pair of cubes (cx, cy, cz) that may hold neighbours, with the place of the left one
+    and the other columns of both.
 
     Such cubes are at most two steps apart on every axis.  Cubes are gathered in blocks of
     ``_BLOCK`` per axis: one side joins by its own block, the other by every block within two
     steps.  A block holds at most ``_BLOCK`` cubed cubes, so no group of the join can grow.
     """
-    around = cells.select("cell", "cx", "cy", "cz")
+    around = right.withColumnsRenamed({f"c{axis}": f"_c{axis}" for axis in AXES})
     for axis in AXES:
-        low, high = (f"floor((c{axis} {way} 2) / {_BLOCK})" for way in "-+")
-        around = around.withColumn("b" + axis, F.expr(f"explode(array_distinct(array({low}, {high})))"))
-    block = ["bx", "by", "bz"]
-    here = cells.selectExpr(
-        "cell AS a_cell",
-        *[f"c{axis} AS a{axis}" for axis in AXES],
-        *[f"floor(c{axis} / {_BLOCK}) AS b{axis}" for axis in AXES],
-    )
-    steps = " AND ".join(f"abs(a{axis} - c{axis}) <= 2" for axis in AXES)
-    # Only names travel through this join; boxes are fetched for the pairs it finds.
-    pairs = (
+        low, high = (f"floor((_c{axis} {way} 2) / {_BLOCK})" for way in "-+")
+        around = around.withColumn("_b" + axis, F.expr(f"explode(array_distinct(array({low}, {high})))"))
+    block = [f"_b{axis}" for axis in AXES]
+    here = left.withColumns({f"_b{axis}": F.expr(f"floor(c{axis} / {_BLOCK})") for axis in AXES})
+    steps = " AND ".join(f"abs(c{axis} - _c{axis}) <= 2" for axis in AXES)
+    return (
         here.hint("shuffle_hash")
-        .join(around.filter(_meets_sphere("b", side * _BLOCK)), block)
-        .filter(f"a_cell < cell AND {steps}")
-        .select("a_cell", F.col("cell").alias("b_cell"))
+        .join(around.filter(_meets_sphere("_b", side * _BLOCK)), block)
+        .filter(steps)
+        .drop(*block, *[f"_c{axis}" for axis in AXES])
     )
-    for end in ("a_", "b_"):
-        pairs = pairs.join(cells.select(*[F.col(c).alias(end + c) for c in _carried()]), end + "cell")
-    return pairs
 
 
 def _carried() -> list[str]:

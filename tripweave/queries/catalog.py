@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripweave.operators import communities, density, graph, mcl, rank, routes, sites, sparse, trips
+from tripweave.operators import communities, density, graph, mcl, rank, routes, sitemodel, sites, sparse, trips
 from tripweave.plans.lineage import cut_lineage, owns_copies, shared_folder
 from tripweave.plans.ranking import compact_ids
 from tripweave.queries.fixture import checkins_from_events, spoiled
@@ -136,6 +136,23 @@ def dbscan_dirty(spark, folder):
     return density.dbscan(dirty, spread_by=["event_id"]).select("event_id", "cluster")
 
 
+@query
+def dbscan_transform(spark, folder):
+    """Sites of two check-ins in three, saved as a model, label all check-ins moved a little north
+    and east; the steps leave no check-in midway between two positions."""
+    checkins = source.project_checkins(_checkins(spark, folder), ["event_id"])
+    model = sitemodel.fit_sites(checkins.filter(F.col("event_id") % 3 != 0))
+    saved = model.save(f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}")
+    event = F.col("event_id")
+    moved = checkins.withColumns(
+        {
+            "latitude": F.col("latitude") + (event % 7) * F.lit(0.00047) + F.lit(0.00011),
+            "longitude": F.col("longitude") + (event % 5) * F.lit(0.00031) + F.lit(0.00013),
+        }
+    )
+    return sitemodel.label_sites(saved, moved, spread_by=["event_id"]).select("event_id", "cluster")
+
+
 @query
 def dbscan_denoised(spark, folder):
     return sites.drop_noise(_found(spark, folder)).select("event_id", "user", "cluster")

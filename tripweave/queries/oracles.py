@@ -61,6 +61,23 @@ found AS MATERIALIZED (
   LEFT JOIN labels l ON l.pid = s.pid)"""
 
 
+_MODEL_LABELS = _density(2, "event_id % 3 = 0") + """,
+moved AS (
+  SELECT event_id, latitude + (event_id % 7) * 0.00047::DOUBLE + 0.00011::DOUBLE AS lat,
+    longitude + (event_id % 5) * 0.00031::DOUBLE + 0.00013::DOUBLE AS lon
+  FROM checkins),
+nearest AS (
+  SELECT a.lat, a.lon, min({'away': power(sin(radians(b.lat - a.lat) / 2), 2)
+      + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2),
+    'pid': b.pid, 'site': n.site}) AS best
+  FROM (SELECT DISTINCT lat, lon FROM moved) a
+  JOIN positions b ON b.lat BETWEEN a.lat - 0.004 AND a.lat + 0.004
+  JOIN numbered n ON n.pid = b.pid
+  GROUP BY a.lat, a.lon),
+labelled AS (
+  SELECT lat, lon, best.site AS site FROM nearest
+  WHERE 2 * 6371008.8 * asin(sqrt(least(1.0, best.away))) <= 400)"""
+
 # Site numbers are dense as they come.
 _FOUND_STOPS = _density(2) + """,
 stops AS (SELECT * FROM found WHERE cluster IS NOT NULL)"""
@@ -253,6 +270,10 @@ ORACLES: dict[str, str] = {
         f"""SELECT event_id, cluster FROM found
         UNION ALL SELECT event_id, NULL FROM checkins WHERE {SPOILED}""",
     ),
+    "dbscan_transform": _with(
+        _MODEL_LABELS,
+        "SELECT event_id, CAST(site AS INTEGER) AS cluster FROM moved LEFT JOIN labelled USING (lat, lon)",
+    ),
     "dbscan_denoised": _with(
         _density(2), 'SELECT event_id, "user", cluster FROM found WHERE cluster IS NOT NULL'
     ),
