@@ -2,8 +2,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tripweave.operators import communities, graph, rank, sites
+from tripweave.plans.skew import group_sizes, hot_keys, spread_join
 
 G6 = [(1, 2), (1, 3), (2, 3), (3, 1), (3, 4), (5, 3), (6, 4)]
 
@@ -164,3 +166,74 @@ def test_sites(spark, hot_rows):
         (1, 3),
         (2, 1),
     }
+
+
+def _centroid(spark, rows, on):
+    df = spark.createDataFrame([(1, *r) for r in rows], "cluster int, latitude double, longitude double")
+    row = sites.site_centroids(df, on=on).first()
+    return row["latitude"], row["longitude"], row["num_points"]
+
+
+@pytest.mark.parametrize("on", ["plane", "sphere"])
+def test_centroids_across_the_date_line_and_turns(spark, on):
+    lat, lon, n = _centroid(spark, [(1.0, 179.9995), (1.0, -179.9995)], on)
+    assert np.isclose(lat, 1.0, atol=1e-6) and np.isclose(abs(lon), 180.0) and n == 2
+    lat, lon, _ = _centroid(spark, [(50.0, 10.0), (50.0, 370.0), (50.0, -350.0)], on)
+    assert np.allclose((lat, lon), (50.0, 10.0))
+    lat, lon, _ = _centroid(spark, [(0.0, 179.9), (0.0, -179.7)], on)
+    assert np.allclose((lat, lon), (0.0, -179.9))
+    lat, lon, _ = _centroid(spark, [(0.0, -0.1), (0.0, 0.3), (0.0, 360.1)], on)
+    assert np.allclose((lat, lon), (0.0, 0.1), atol=1e-9)
+    # A position that is none counts, and moves nothing.
+    unusable = [(50.0, 10.0), (None, 10.0), (91.0, 90.0), (50.0, float("nan")), (float("nan"), 10.0)]
+    lat, lon, n = _centroid(spark, unusable, on)
+    assert np.allclose((lat, lon), (50.0, 10.0)) and n == 5
+
+
+def test_centroids_on_the_sphere(spark):
+    lat, _, _ = _centroid(spark, [(89.999, 0.0), (89.999, 90.0), (89.999, 180.0), (89.999, -90.0)], "sphere")
+    assert np.isclose(lat, 90.0)
+    assert _centroid(spark, [(0.0, 0.0), (0.0, 180.0)], "sphere") == (None, None, 2)
+
+
+@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
+def test_subgraph_by_any_column(spark, hot_rows):
+    # Vertex 0 is a hub at both ends.
+    pairs = random_pairs(8, 40, 150) + [(0, i) for i in range(1, 40)] + [(i, 0) for i in range(1, 40)]
+    pairs = sorted(set(pairs))
+    names = spark.createDataFrame([(i, f"v{i % 3}", None if i == 5 else i) for i in range(40)], "id long, kind string, w long")
+    whole = graph.SiteGraph(names, weighted(spark, pairs))
+    inner = graph.vertex_subgraph(whole, (F.col("kind") != "v1") & (F.col("w") < 30), hot_rows)
+    kept = {i for i in range(30) if i % 3 != 1 and i != 5}
+    assert {r["id"] for r in inner.vertices.collect()} == kept
+    assert inner.edges.columns == whole.edges.columns
+    assert sorted((r["src"], r["dst"]) for r in inner.edges.collect()) == [p for p in pairs if set(p) <= kept]
+    assert graph.vertex_subgraph(whole, "id < 0").edges.count() == 0
+
+
+def test_hub_edges_are_dealt_to_several_tasks(spark):
+    """With no broadcast, the edges that leave and enter a hub meet its id in more than one task."""
+    pairs = [(0, i) for i in range(1, 401)] + [(i, 0) for i in range(401, 801)]
+    whole = graph.SiteGraph(spark.range(801), weighted(spark, pairs))
+    keep = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in keep}
+    for name, value in keep.items():
+        spark.conf.set(name, value)
+    try:
+        def spread(hot_rows, end, pairs):
+            ids = spark.range(801).toDF(end)
+            sizes = group_sizes(weighted(spark, pairs), [end])
+            hot = hot_keys(sizes, [end], hot_rows=hot_rows)
+            other = "dst" if end == "src" else "src"
+            met = spread_join(weighted(spark, pairs), ids, [end], [other], hot, "left_semi")
+            rows = met.filter(F.col(end) == 0).groupBy(F.spark_partition_id()).count().collect()
+            return sorted(r["count"] for r in rows)
+
+        assert spread(1_000_000, "src", pairs[:400]) == [400]
+        for end, own in (("src", pairs[:400]), ("dst", pairs[400:])):
+            dealt = spread(20, end, own)
+            assert len(dealt) == 4 and max(dealt) < 200 and sum(dealt) == 400
+        assert graph.vertex_subgraph(whole, "id < 500", hot_rows=20).edges.count() == 499
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

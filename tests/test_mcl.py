@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave.operators import mcl, routes, sparse
+from tripweave.sources import stages
 
 RECT = [(1, 2, 3.0), (1, 3, 1.0), (2, 3, 2.0), (3, 5, 4.0), (2, 5, 1.0)]
 
@@ -178,3 +179,17 @@ def test_strict_convergence_sees_what_vanished(spark):
     assert sparse.converged(old, new).first()[0]
     assert not sparse.converged(old, new, strict=True).first()[0]
     assert sparse.converged(old, old, strict=True).first()[0]
+
+
+def test_routes_from_saved_clusters(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2, 5), (1, 3, 7), (2, 1, 9), (4, 5, 1)], "src long, dst long, normal long")
+    clusters = spark.createDataFrame(
+        [(0, 1, 0, [1, 2]), (0, 1, 1, [3]), (1, 4, 0, [4, 5]), (1, 4, 1, [5]), (2, 9, 0, []), (3, 8, 0, None)],
+        "cluster_id long, attractor long, part int, members array<long>",
+    )
+    saved = stages.write_stage(clusters, str(tmp_path), "clusters")
+    rows = routes.route_graph(routes.listed_members(saved), edges).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 2, 5), (1, 3, 7), (4, 5, 1)]
+    nested = clusters.select("cluster_id", F.struct(F.col("attractor").alias("src"), F.col("members").alias("value")).alias("nodes"))
+    pairs = routes.listed_members(nested, "nodes.src", "nodes.value")
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 1), (1, 2), (1, 3), (4, 4), (4, 5)]

@@ -29,6 +29,7 @@ from tripweave.functions.geo import (
     squared_reach,
     sum_of_squares,
     unit_sphere,
+    usable,
 )
 from tripweave.operators.components import connected_components
 from tripweave.plans.lineage import cut_lineage, cut_measured, owns_copies
@@ -87,15 +88,6 @@ def dbscan(
     ).select(*checkins.columns, out)
 
 
-def usable(lat: Column, lon: Column) -> Column:
-    """Whether both coordinates are finite and the latitude is within 90 degrees; never null.
-
-    A longitude may be any number: 370 degrees is 10.
-    """
-    known = (F.abs(lat) <= 90) & (F.abs(lon) < F.lit(float("inf")))
-    return F.coalesce(known, F.lit(False))
-
-
 def position_sites(
     checkins: DataFrame,
     lat: str,

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.operators.trips import TRIP_GAP_S, trip_moves
-from tripweave.plans.skew import HOT_ROWS, hot_keys, spread_join
+from tripweave.plans.lineage import cut_lineage
+from tripweave.plans.skew import HOT_ROWS, group_sizes, hot_keys, hot_keys_if_any, spread_join
 
 
 @dataclass(frozen=True)
@@ -98,6 +99,25 @@ def induced_subgraph(graph: SiteGraph, keep: Callable[[Column], Column]) -> Site
     )
 
 
+def vertex_subgraph(graph: SiteGraph, where: Column | str, hot_rows: int = HOT_ROWS) -> SiteGraph:
+    """The vertices for which ``where`` holds, a condition on any of their columns, and the edges
+    between them.
+
+    The edges meet the kept ids twice, by sender and by receiver.  The ids are written first, so
+    Spark knows their size and broadcasts them if, and only if, its threshold allows; else the
+    edges of a hub, at either end, are split.  For a condition on the id alone
+    :func:`induced_subgraph` needs no join.
+    """
+    kept = cut_lineage(graph.vertices.filter(where))
+    edges = graph.edges
+    for end, other in (("src", "dst"), ("dst", "src")):
+        ids = kept.select(F.col("id").alias(end))
+        sizes = cut_lineage(group_sizes(edges, [end]))
+        hot = hot_keys_if_any(sizes, [end], hot_rows=hot_rows)
+        edges = spread_join(edges, ids, [end], [other], hot, "left_semi")
+    return SiteGraph(kept, edges.select(*graph.edges.columns))
+
+
 def top_k(df: DataFrame, by: str, k: int, then: str = "id") -> DataFrame:
     """The ``k`` rows with the largest ``by``, ties by ``then``."""
     return df.orderBy(F.col(by).desc(), then).limit(k)

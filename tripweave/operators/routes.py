@@ -16,5 +16,15 @@ def route_graph(members: DataFrame, edges: DataFrame, weight: str = "normal") ->
     return pairs.join(edges.select("src", "dst", F.col(weight).alias("weight")), ["src", "dst"])
 
 
+def listed_members(clusters: DataFrame, attractor: str = "attractor", members: str = "members") -> DataFrame:
+    """The pairs of :func:`route_graph` from a table of clusters with an array of members each, as
+    Markov clustering exports it: all pages of an attractor, in any order.
+
+    Both names may lead into a struct (``nodes.src``, ``nodes.value``).  A cluster without members
+    gives no pair, and a pair listed more than once counts once.
+    """
+    return clusters.select(F.col(attractor).alias("attractor"), F.explode(members).alias("member")).distinct()
+
+
 def sort_routes(routes: DataFrame) -> DataFrame:
     return routes.orderBy("weight", "src", "dst")

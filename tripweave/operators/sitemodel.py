@@ -28,6 +28,7 @@ from tripweave.functions.geo import (
     squared_gap,
     squared_reach,
     unit_sphere,
+    usable,
 )
 from tripweave.operators import density
 from tripweave.plans.lineage import cut_lineage, cut_measured, owns_copies
@@ -185,7 +186,7 @@ def label_sites(
     between sites may differ: clustering gives it the site of the smallest number in reach.
     """
     on = ["_site_lat", "_site_lon"]
-    known = density.usable(F.col(lat), F.col(lon))
+    known = usable(F.col(lat), F.col(lon))
     keyed = checkins.withColumns({on[0]: F.when(known, F.col(lat)), on[1]: F.when(known, F.col(lon))})
     positions, largest = cut_measured(
         group_sizes(keyed.filter(known).select(*on), on, "_m"), "_m"

@@ -165,6 +165,28 @@ def site_centroids(spark, folder):
     )
 
 
+def _at_date_line(checkins: DataFrame) -> DataFrame:
+    """The sites found, moved east until some lie across 180 degrees, and some of their check-ins
+    a turn away."""
+    moved = F.col("longitude") + F.lit(301.705)
+    wrapped = F.when(moved >= 180, moved - 360).otherwise(moved)
+    return checkins.withColumn("longitude", wrapped + 360 * (F.col("event_id") % 3 - 1))
+
+
+@query
+def site_centroids_turned(spark, folder):
+    return sites.site_centroids(_at_date_line(_at_sites(spark, folder))).select(
+        "cluster", _degrees("latitude"), _degrees("longitude"), "num_points"
+    )
+
+
+@query
+def site_centroids_sphere(spark, folder):
+    return sites.site_centroids(_at_date_line(_at_sites(spark, folder)), on="sphere").select(
+        "cluster", _degrees("latitude"), _degrees("longitude"), "num_points"
+    )
+
+
 @query
 def snap_to_sites(spark, folder):
     kept = _at_sites(spark, folder)
@@ -313,6 +335,16 @@ def subgraph_edges(spark, folder):
     return inner.edges
 
 
+@query
+def subgraph_by_rank(spark, folder):
+    """Edges between the sites of more than average rank, with what both ends are worth."""
+    whole = _graph(spark, folder)
+    ranked = graph.SiteGraph(rank.pagerank(whole, tol=None, max_iter=20), whole.edges)
+    inner = graph.vertex_subgraph(ranked, (F.col("pagerank") > 1) & (F.col("normal") > 50))
+    ends = inner.vertices.select("id", "normal")
+    return inner.edges.join(ends.toDF("src", "src_normal"), "src").join(ends.toDF("dst", "dst_normal"), "dst")
+
+
 @query
 def pagerank_20(spark, folder):
     ranked = rank.pagerank(_graph(spark, folder), tol=None, max_iter=20)
@@ -461,6 +493,15 @@ def route_graph(spark, folder):
     return _routes(spark, folder)
 
 
+@query
+def routes_from_table(spark, folder):
+    """Routes from clusters that were saved, in pages of three members, and read back."""
+    edges = cut_lineage(_edges(spark, folder))
+    clusters = mcl.mcl(sparse.as_matrix(edges), max_members=3, iterations=5, **_TEXTBOOK)
+    saved = stages.write_stage(clusters, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}", "mcl_clusters")
+    return routes.route_graph(routes.listed_members(saved), edges)
+
+
 @query
 def routes_sorted(spark, folder):
     return routes.sort_routes(_routes(spark, folder))

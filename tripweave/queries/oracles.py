@@ -87,6 +87,11 @@ centroids AS (
   SELECT cluster, avg(latitude) AS latitude, avg(longitude) AS longitude
   FROM found WHERE cluster IS NOT NULL GROUP BY cluster)"""
 
+_AT_DATE_LINE = """,
+moved AS (
+  SELECT cluster, latitude, CASE WHEN longitude + 301.705 >= 180 THEN longitude + 301.705 - 360 ELSE longitude + 301.705 END AS turned
+  FROM found WHERE cluster IS NOT NULL)"""
+
 _TRIPS = """,
 timed AS (
   SELECT *, CAST(floor(epoch_us("checkinTime") / 1000000) AS BIGINT) AS s FROM stops),
@@ -282,6 +287,22 @@ ORACLES: dict[str, str] = {
         """SELECT cluster, round(latitude + 1e-9, 6) AS latitude, round(longitude + 1e-9, 6) AS longitude
         FROM centroids""",
     ),
+    "site_centroids_turned": _with(
+        _density(2) + _AT_DATE_LINE,
+        """SELECT cluster, round(avg(latitude) + 1e-9, 6) AS latitude,
+          round(CASE WHEN avg(around) >= 180 THEN avg(around) - 360 ELSE avg(around) END + 1e-9, 6) AS longitude,
+          count(*) AS num_points
+        FROM (SELECT *, CASE WHEN turned < 0 THEN turned + 360 ELSE turned END AS around FROM moved) GROUP BY cluster""",
+    ),
+    "site_centroids_sphere": _with(
+        _density(2) + _AT_DATE_LINE,
+        """SELECT cluster, round(degrees(atan2(z, sqrt(x * x + y * y))) + 1e-9, 6) AS latitude,
+          round(degrees(atan2(y, x)) + 1e-9, 6) AS longitude, num_points
+        FROM (
+          SELECT cluster, count(*) AS num_points, avg(sin(radians(latitude))) AS z,
+            avg(cos(radians(latitude)) * cos(radians(turned))) AS x, avg(cos(radians(latitude)) * sin(radians(turned))) AS y
+          FROM moved GROUP BY cluster)""",
+    ),
     "snap_to_sites": _with(
         _density(2) + _CENTROIDS,
         """SELECT f.event_id, f."user", f."checkinTime", f.cluster,
@@ -352,6 +373,11 @@ ORACLES: dict[str, str] = {
           ON v.id = c.cluster""",
     ),
     "subgraph_edges": _with(_edges(), "SELECT src, dst, normal FROM edges WHERE src < 100 AND dst < 100"),
+    "subgraph_by_rank": _with(
+        _RANK_20 + ",\nkept AS (SELECT id, normal FROM vertices JOIN ranked USING (id) WHERE pagerank > 1 AND normal > 50)",
+        """SELECT e.src, e.dst, e.normal, s.normal AS src_normal, d.normal AS dst_normal
+        FROM edges e JOIN kept s ON s.id = e.src JOIN kept d ON d.id = e.dst""",
+    ),
     "pagerank_20": _with(_RANK_20, "SELECT id, round(pagerank, 6) AS pagerank FROM ranked"),
     "pagerank_converged": _with(_RANK_TOL, "SELECT id, round(pagerank, 6) AS pagerank FROM ranked"),
     "pagerank_top6": _with(
@@ -416,6 +442,7 @@ cases AS (
     "mcl_default": _with(_edges() + _DEFAULT, _LISTED),
     "mcl_clusters_paged": _with(_edges() + _TEXTBOOK, _PAGED),
     "route_graph": _with(_edges() + _TEXTBOOK + _ROUTES, "SELECT src, dst, weight FROM routes"),
+    "routes_from_table": _with(_edges() + _TEXTBOOK + _ROUTES, "SELECT src, dst, weight FROM routes"),
     "routes_sorted": _with(
         _edges() + _TEXTBOOK + _ROUTES, "SELECT src, dst, weight FROM routes ORDER BY weight, src, dst"
     ),
