@@ -140,6 +140,28 @@ def test_revisits(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], RECORD)).count() == 0
 
 
+def test_repeated_fields_and_partial_responses(spark):
+    page = "http://example.org/a"
+    rows = [
+        (1, page, at(1), 200, "t", None, {"Age": "0", "age": "1", "Vary": "a", "VARY": "a", "Content-Type": "x", "content-type": None}, "d1", None),
+        # A part, and answers without a body, stand for nothing.
+        (2, page, at(2), 206, "t", None, {"Content-Range": "1-2"}, "part", None),
+        (3, page, at(3), 204, "other", None, None, "none", None),
+        (4, page, at(4), 304, "t", None, {"AGE": "8", "Age": "9", "X": None}, None, None),
+        (5, page, at(5), 203, "t", None, None, "d5", None),
+        (6, page, at(6), 304, "t", None, None, None, None),
+        (7, "http://example.org/b", at(1), 206, "t", None, None, "part", None),
+        (8, "http://example.org/b", at(2), 304, "t", None, None, None, None),
+        (9, page, at(7), None, "t", None, None, "nothing", None),
+    ]
+    got = {r["record_id"]: r for r in warc.resolve_revisits(spark.createDataFrame(rows, RECORD)).collect()}
+    assert {i: (r["outcome"], r["response_digest"]) for i, r in got.items()} == {
+        4: ("resolved", "d1"), 6: ("resolved", "d5"), 8: ("orphan", None)
+    }
+    assert got[4]["headers"] == {"age": "8, 9", "vary": "a", "content-type": "x", "x": None}
+    assert got[6]["headers"] == {}
+
+
 def test_a_hot_url_spreads_over_ranges(spark):
     rows = [
         (i, "http://a.org/x", at(0) + dt.timedelta(seconds=i), 200 if i % 50 == 0 else 304, f"t{i // 50}", None, None, f"d{i}", None)

@@ -30,6 +30,21 @@ def test_ids_equal_the_library_of_the_file():
         assert np.frombuffer(ours.ids(text), "<u4").tolist() == want, repr(text)
 
 
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def test_long_runs_equal_the_library():
+    library, ours = Tokenizer.from_file(BYTES), packing.Encoder(BYTES)
+    runs = [own * 1_500 for own in SPACES] + [" \n" * 800, "\t " * 700 + "\xa0", "\x1c" * 2_000, " " * 999, " " * 1_000]
+    cases = [text for run in runs for text in (run, "a" + run, run + "b", f"a{run}b{run}.{run[:-1]}\n1", run + "<|endoftext|>" + run)]
+    cases += ["x" * 10_000_000, "." * 1_000_000, "7" * 1_000_000, "é" * 500_000]
+    for n in (1_000_000, 2_000_000, 5_000_000):
+        cases += [" " * n, "a" + "\n" * n + "b", "one" + " " * n + "two"]
+    for text in cases:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ours.ids(text), "<u4").tolist() == want, repr(text[:20])
+
+
 def test_pretoken_lengths_add_up_to_the_library():
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for text in texts(4000):

@@ -140,14 +140,11 @@ def distances(points: np.ndarray, entries: np.ndarray) -> np.ndarray:
     return (points * points).sum(axis=1)[:, None] - 2 * (points @ entries.T) + (entries * entries).sum(axis=1)
 
 
-def _sized(values: np.ndarray) -> np.ndarray:
+def _sized(values: np.ndarray, parts: int) -> np.ndarray:
     """Integers in the smallest type that holds them."""
-    for kind in ("<i2", "<i4"):
-        if largest(values) <= np.iinfo(kind).max:
-            return values.astype(kind)
-    if largest(values) >= 2.0**31 * 0.7:
+    if 4.0 * largest(values) ** 2 * values.shape[1] / parts >= 2.0**63:
         raise OverflowError("squared distances of these vectors may exceed 64 bits")
-    return values.astype("<i8")
+    return values.astype("<i2" if largest(values) <= np.iinfo("<i2").max else "<i4")
 
 
 def _chunk_points(row: dict) -> np.ndarray:
@@ -167,7 +164,7 @@ def chunk_trees(vectors: DataFrame, width: int, parts: int, scale: float, chunk:
     def build(batches):
         for table in regrouped(batches, chunk):
             points = matrix(table.column("vector").combine_chunks(), scale, width)
-            stored = _sized(points)
+            stored = _sized(points, parts)
             points = stored.astype(np.int64)
             trees = [CoverTree.build(part).packed() for part in np.split(points, parts, axis=1)]
             row = {

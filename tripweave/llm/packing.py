@@ -11,6 +11,7 @@ learns its rank among the pieces of its length, and the rank its place.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -30,6 +31,9 @@ from tripweave.plans.lineage import cut_lineage
 #: Split of a text before the merges, as the byte-level vocabularies of this family fix it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: White space as the pattern has it, in runs too long for its look-ahead, which would need a
+#: stack as deep as the run.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _ROW_BITS = 40
 _CACHES: dict[str, dict[str, bytes]] = {}
 
@@ -69,7 +73,8 @@ class Encoder:
 
     Where every white space is one space or line feed between two other characters, no
     pre-token crosses it, so a text falls into short stretches that are encoded once per
-    worker.  Any other text is encoded in one go.
+    worker.  Any other text is encoded in one go, but for very long runs of white space: all of
+    a run but its last character is one pre-token, and at the end of a text the whole run.
     """
 
     def __init__(self, path: str):
@@ -98,7 +103,13 @@ class Encoder:
         return ids
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
+        ids, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            to = run.end() - (run.end() < len(text))
+            ids += self._bpe.encode_ordinary(text[at : run.start()])
+            ids += self._bpe._encode_single_piece(text[run.start() : to])
+            at = to
+        return np.array(ids + self._bpe.encode_ordinary(text[at:]), "<u4").tobytes()
 
 
 def token_pieces(
@@ -112,8 +123,8 @@ def token_pieces(
 ) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, part, nth[, ids]), a piece each.
 
-    A document is its token ids and ``end_id``; a null or empty text is ``end_id`` alone.  A
-    document over ``capacity`` is cut into full pieces, its first piece being the shorter one.
+    A document is its token ids and ``end_id``; a null or empty text is ``end_id`` alone.  Texts may
+    be of any length and hold runs of any length, of white space too.  A document over ``capacity`` is cut into full pieces, its first piece being the shorter one.
     ``part`` is the task that made a piece and ``nth`` its place among the pieces of the same
     length there, so write the result before using them twice.
     """

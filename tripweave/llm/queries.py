@@ -154,7 +154,8 @@ SELECT doc_id, slot, 'shard-' || lpad(held[slot + 1], 3, '0') AS shard FROM plac
 
 def crawl_records(pages: DataFrame) -> DataFrame:
     """The pages as a crawl: a 200 response each, and for three in four one to three later
-    304 answers.  Times, validators and headers follow from page_id and html by integer rules."""
+    answers, most of them 304, some 204 or 206.  Times, validators and headers, some of them
+    repeated in another spelling, follow from page_id and html by integer rules."""
     at = (F.col("page_id") * 7919) % 1_000_003
     tag = F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     records = pages.select(
@@ -163,12 +164,13 @@ def crawl_records(pages: DataFrame) -> DataFrame:
     first = F.col("visit") == 0
     # A later visit names another tag (a changed page), or none and only a time, or nothing.
     kind = (F.col("page_id") + F.col("visit")) % 7
+    part = (F.col("page_id") + F.col("visit")) % 11
     stamp = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
     return records.select(
         (F.col("page_id") * 4 + F.col("visit")).alias("record_id"),
         "url",
         stamp(F.col("at") + F.col("visit") * 86_400).alias("captured_at"),
-        F.when(first, 200).otherwise(304).alias("status"),
+        F.when(first, 200).when(part == 3, 206).when(part == 5, 204).otherwise(304).alias("status"),
         F.when(first | (kind < 4), F.col("tag")).when(kind == 4, F.concat(F.lit("x"), "tag")).alias("etag"),
         F.when(first | (kind == 5), stamp(F.col("at") - 3_600)).alias("last_modified"),
         F.when(
@@ -179,7 +181,7 @@ def crawl_records(pages: DataFrame) -> DataFrame:
         )
         .otherwise(
             F.create_map(
-                F.lit("age"), F.col("visit").cast("string"), F.lit("Content-Length"), F.lit("0"), F.lit("X-Visit"), kind.cast("string")
+                F.lit("Age"), F.lit("7"), F.lit("age"), F.col("visit").cast("string"), F.lit("Content-Length"), F.lit("0"), F.lit("X-Visit"), kind.cast("string")
             )
         )
         .alias("headers"),
@@ -222,7 +224,7 @@ parts AS (
   FROM bare),
 records AS (
   SELECT page_id * 4 + visit AS record_id, place || CASE WHEN q = '' THEN '' ELSE '?' || q END AS canonical,
-    1700000000 + at_s + visit * 86400 AS captured_s, visit, (page_id + visit) % 7 AS kind, tag, at_s
+    1700000000 + at_s + visit * 86400 AS captured_s, page_id, visit, (page_id + visit) % 7 AS kind, tag, at_s
   FROM parts, range(0, 4) r(visit) WHERE visit <= page_id % 4),
 known AS (
   SELECT *,
@@ -236,13 +238,13 @@ judged AS (
     WHEN etag IS NOT NULL AND etag = stored.tag THEN 'resolved'
     WHEN etag IS NULL AND modified IS NOT NULL AND modified = stored.modified THEN 'resolved'
     ELSE 'changed' END AS outcome
-  FROM known WHERE visit > 0 AND canonical IS NOT NULL)
+  FROM known WHERE visit > 0 AND canonical IS NOT NULL AND (page_id + visit) % 11 NOT IN (3, 5))
 SELECT record_id, canonical, captured_s,
   CASE WHEN outcome = 'resolved' THEN stored.id END AS response_id,
   CASE WHEN outcome = 'resolved' THEN stored.tag END AS response_digest,
   CASE WHEN outcome = 'resolved'
-    THEN 'age=' || visit || ';content-length=32;content-type=text/html;x-visit=' || kind
-    ELSE 'Content-Length=0;X-Visit=' || kind || ';age=' || visit END AS headers,
+    THEN 'age=7, ' || visit || ';content-length=32;content-type=text/html;x-visit=' || kind
+    ELSE 'Age=7;Content-Length=0;X-Visit=' || kind || ';age=' || visit END AS headers,
   outcome
 FROM judged"""
 

@@ -7,6 +7,8 @@ response's body holds, with its headers updated by those of the 304 that may cha
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ FIXED_HEADERS = (
     "transfer-encoding",
     "upgrade",
 )
+#: Statuses of a full response: the body as the server has it, or as a proxy has changed it.
+FULL = (200, 203)
 #: Query parameters that only say where a visitor came from.
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
 
@@ -57,40 +61,52 @@ def _same_validators(stored_etag: Column, stored_modified: Column) -> Column:
     )
 
 
+def _one_spelling(headers: Column) -> Column:
+    fields = F.array_sort(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))))
+    names = F.array_distinct(F.transform(fields, lambda f: F.lower(f["key"])))
+
+    def field(name: Column) -> Column:
+        own = F.filter(fields, lambda f: F.lower(f["key"]) == name)
+        values = F.array_distinct(F.array_compact(F.transform(own, lambda f: f["value"])))
+        return F.struct(name, F.when(F.size(values) > 0, F.array_join(values, ", ")))
+
+    return F.map_from_entries(F.transform(names, field))
+
+
 def merge_headers(stored: Column, update: Column) -> Column:
     """``stored`` with the fields of ``update`` put over it, except the fixed ones; names in
-    lower case.  A null side counts as having no fields."""
-    none = F.create_map().cast("map<string,string>")
-    lower = lambda m: F.transform_keys(F.coalesce(m, none), lambda k, _: F.lower(k))
-    stored, update = lower(stored), lower(update)
+    lower case.  A null side counts as having no fields.  Fields whose names differ in case only
+    are one field: its different values in the order of the names, joined by ", "."""
+    stored, update = _one_spelling(stored), _one_spelling(update)
     allowed = F.map_filter(update, lambda k, _: ~k.isin(*FIXED_HEADERS))
     kept = F.map_filter(stored, lambda k, _: ~F.map_contains_key(allowed, k))
     return F.map_concat(kept, allowed)
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
-    """Each 304 record with the response it stands for.
+def resolve_revisits(records: DataFrame, full: Sequence[int] = FULL) -> DataFrame:
+    """Each 304 record with the response it stands for, a record of a status in ``full``.
 
     ``records`` has record_id (long, orders records of one time), url, captured_at, status
     (int), etag, last_modified, headers (map of strings) and digest (of the body); other columns
     are ignored.  Returned per revisit: record_id, canonical (URL), captured_at, response_id
     and response_digest (null unless resolved), headers (merged if resolved, else its own) and
     outcome: ``resolved``, ``changed`` (the latest earlier response has other validators) or
-    ``orphan`` (no earlier response, or no URL or time).  A response at the same time counts as
+    ``orphan`` (no earlier response, or no URL or time).  Records of other statuses, such as parts
+    (206) and answers without a body (204, 205), are no responses to stand for.  A response at the same time counts as
     earlier if its record_id is lower.  Equal rows give equal results, one for each.
 
     Rows are dealt by ranges of (URL, time, id), so a hot URL spreads over several tasks; what
     a task lacks from before its range comes from a summary of one row per URL and task.
     """
     order = ("captured_at", "record_id")
-    full = F.col("status").between(200, 299)
+    complete = F.coalesce(F.col("status").isin(*full), F.lit(False))
     shared = ["record_id", "captured_at", "etag", "last_modified", "headers"]
     rows = records.select(
         *shared,
         "digest",
         canonical_url(F.col("url")).alias("canonical"),
-        full.alias("_full"),
-    ).filter(full | (F.col("status") == 304))
+        complete.alias("_full"),
+    ).filter(complete | (F.col("status") == 304))
     placed = F.col("canonical").isNotNull() & F.col("captured_at").isNotNull() & F.col("record_id").isNotNull()
     response = F.when(
         F.col("_full"),
