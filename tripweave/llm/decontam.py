@@ -101,6 +101,11 @@ def item_windows(items: DataFrame, window: int = 13, item: str = "item_id", text
     return rows.withColumn("length", F.least(F.size("hashes"), F.lit(window)))
 
 
+def text_hash(text: str = "text") -> Column:
+    """Tells rows of one key apart; null and empty texts are alike."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -111,8 +116,8 @@ def contamination(
     item_text: str = "text",
     block: int = BLOCK,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted item ids as strings)
-    and spans (disjoint (start, end) of the words hit).
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted item ids as strings),
+    spans (disjoint (start, end) of the words hit) and text_hash (:func:`text_hash` of the text).
 
     A window is ``window`` neighbouring words of an item; an item of fewer words, but not none,
     is one window.  A document word within an occurrence of a window is hit.  Null and empty
@@ -140,7 +145,7 @@ def contamination(
 
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
+        text_hash(text).alias("text_hash"),
         _winnowed(F.coalesce(F.col(text), F.lit("")), k, shortest).alias("w"),
     ).select("doc_id", "text_hash", "w.hashes", "w.grams", "w.kept")
     met = None
@@ -230,6 +235,7 @@ def contamination(
         F.size(found).cast("long").alias("n_items"),
         found.alias("items"),
         spans.alias("spans"),
+        "text_hash",
     )
 
 

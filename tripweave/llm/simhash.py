@@ -308,8 +308,9 @@ def near_duplicates(
     distance: int = 3,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Rows (doc_id, fp, component_id): the smallest doc_id that links of at most ``distance``
-    differing bits reach from the row, itself included.
+    """Rows (doc_id, fp, component, component_id): the smallest doc_id that links of at most
+    ``distance`` differing bits reach from the row, itself included, and the smallest fingerprint,
+    which names the component where doc_ids repeat or are missing.
 
     Null, empty and blank texts have fingerprint 0, linked like any other; a text of fewer words
     than a shingle is one shingle.  Repeated rows share fingerprint and component; where no row
@@ -322,8 +323,14 @@ def near_duplicates(
     )
     joined = cut_lineage(links(different.select("fp"), distance))
     members = connected_components(different.select(F.col("fp").alias("node")), joined)
-    named = different.join(members.withColumnRenamed("node", "fp"), "fp")
-    least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
-    placed = cut_lineage(named.select("fp", "component", "_rows").join(least, "component").select("fp", "component_id", "_rows"))
+    named = cut_lineage(different.join(members.withColumnRenamed("node", "fp"), "fp"))
+    least = named.groupBy("component").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_rows"))
+    least = cut_lineage(least)
+    # A component of very many fingerprints is split.
+    crowded = hot_keys_if_any(least, ["component"], "_rows", hot_rows)
+    fields = named.select("fp", "component", "_rows")
+    placed = cut_lineage(spread_join(fields, least.drop("_rows"), ["component"], ["fp"], crowded))
     hot = hot_keys_if_any(placed, ["fp"], "_rows", hot_rows)
-    return spread_join(hashed, placed.drop("_rows"), ["fp"], ["doc_id"], hot)
+    return spread_join(hashed, placed.drop("_rows"), ["fp"], ["doc_id"], hot).select(
+        "doc_id", "fp", "component", "component_id"
+    )
