@@ -219,3 +219,48 @@ def test_pipeline_keeps_one_row_of_repeated_ids(spark, sf_dir, odd):
     once = corpus_pipeline.near_duplicates(spark, odd, sf_dir)
     assert sorted(r["doc_id"] for r in once.filter("doc_id in (1, 5)").collect()) == [1]
     assert once.columns == odd.columns
+
+
+LONG = {x: f"{x} is a text of its own " + " ".join(f"{x}{i}" for i in range(80)) for x in "ABCDE"}
+
+
+@pytest.mark.parametrize(
+    "rows, kept",
+    [
+        # Doc 5 has two texts; that one goes as a copy of 2 takes nothing from the other's group.
+        ([(5, "A"), (5, "B"), (2, "B"), (7, "A"), (8, "A")], [(2, "B"), (5, "A")]),
+        ([(5, "A"), (5, "B"), (5, "A")], [(5, "A"), (5, "B")]),
+        ([(None, "A"), (None, "A"), (None, "B"), (4, "B"), (None, "C")], [(None, "A"), (None, "C"), (4, "B")]),
+        ([(1, "A"), (2, "A"), (3, "B")], [(1, "A"), (3, "B")]),
+        ([(None, "D"), (None, "D")], [(None, "D")]),
+    ],
+)
+def test_one_row_of_each_group_of_copies_stays(spark, sf_dir, rows, kept):
+    docs = spark.createDataFrame([(d, LONG[t], "x", i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, component string, fp int")
+    found = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert found.columns == docs.columns
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["text"][0]) for r in found.collect()), key=order) == sorted(kept, key=order)
+
+
+def test_decontamination_stage_decides_by_row(spark, sf_dir):
+    passage = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    rows = [(1, passage), (1, LONG["A"]), (None, passage), (None, LONG["B"]), (2, None), (3, ""), (4, LONG["C"] * 300)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, text_hash string")
+    found = corpus_pipeline.decontaminated(spark, docs, sf_dir)
+    want = Counter((d, t) for d, t in rows if t != passage)
+    assert found.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in found.collect()) == want
+
+
+def test_stages_of_odd_rows_and_of_none(spark, sf_dir, odd, nothing):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf_dir).collect() == [], name
+    toxic = corpus_pipeline.toxic_documents(spark, odd, sf_dir)
+    assert toxic.columns == odd.columns and {None, 1, 2, 3, 4, 5, 8} >= {r["doc_id"] for r in toxic.collect()} - {7} >= {2, 3}
+    pieces = corpus_pipeline.packed(spark, odd, sf_dir).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == Counter(r["doc_id"] for r in odd.collect())
+    places = Counter()
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == places[r["sequence_id"]]
+        places[r["sequence_id"]] += r["length"]
+    assert max(places.values()) <= 1024
