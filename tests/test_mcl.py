@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave.operators import mcl, routes, sparse
+from tripweave.plans.lineage import cut_bucketed, cut_lineage
 from tripweave.sources import stages
 
 RECT = [(1, 2, 3.0), (1, 3, 1.0), (2, 3, 2.0), (3, 5, 4.0), (2, 5, 1.0)]
@@ -193,3 +194,60 @@ def test_routes_from_saved_clusters(spark, tmp_path):
     nested = clusters.select("cluster_id", F.struct(F.col("attractor").alias("src"), F.col("members").alias("value")).alias("nodes"))
     pairs = routes.listed_members(nested, "nodes.src", "nodes.value")
     assert sorted(tuple(r) for r in pairs.collect()) == [(1, 1), (1, 2), (1, 3), (4, 4), (4, 5)]
+
+
+@pytest.mark.parametrize("side_entries", [2, 3, 1000])
+def test_half_of_a_symmetric_product(spark, side_entries):
+    """A · Aᵀ equals numpy's, by about half the pairs of the plain product."""
+    a, entries = random_entries(5, 18, 0.25)
+    m, copy = matrix(spark, entries), matrix(spark, entries)
+    assert np.array_equal(dense(sparse.multiply_transposed(m, m, side_entries), 18), a @ a.T)
+    assert np.array_equal(dense(sparse.multiply_transposed(m, m, side_entries, balanced=True), 18), a @ a.T)
+
+    def pairs(right):
+        met = []
+        summed = sparse._summed
+        sparse._summed = lambda frame: met.append(frame.count()) or summed(frame)
+        try:
+            sparse.multiply_transposed(m, right, side_entries)
+        finally:
+            sparse._summed = summed
+        return met[0]
+
+    both = sum(int(n) ** 2 for n in (a != 0).sum(axis=0))
+    assert pairs(copy) == both and pairs(m) == (both + len(entries)) // 2
+
+
+def _exchanges(df):
+    return str(df._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("product, most", [("power", 3), ("gram", 2)])
+def test_a_pass_reads_its_matrix_as_it_lies(spark, product, most):
+    """With copies that lie by column a pass needs two exchanges fewer than from plain copies."""
+    a, entries = random_entries(6, 30, 0.2)
+    keep = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in keep}
+    for name, value in keep.items():
+        spark.conf.set(name, value)
+    try:
+        plain = cut_lineage(matrix(spark, entries))
+        laid = cut_bucketed(matrix(spark, entries), "j")
+        one = lambda m: mcl._pass(m, 2, 2, product, True, True, 10**6, 0.001)
+        assert _exchanges(one(laid)) == most and _exchanges(one(plain)) > most
+        assert np.allclose(dense(one(laid), 30), reference_passes(a, 1, product))
+        assert _exchanges(sparse.extent(laid)) < _exchanges(sparse.extent(plain))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_bucketed_copies_leave_no_tables(spark):
+    def ours():
+        return {t.name for t in spark.catalog.listTables() if t.name.startswith("cut_")}
+
+    kept = ours()
+    _, entries = random_entries(8, 12, 0.3)
+    flow = mcl.mcl_matrix(matrix(spark, entries), iterations=4)
+    # The last copy is the result; the one before goes as well.
+    assert len(ours() - kept) == 1 and flow.count() > 0

@@ -49,17 +49,14 @@ def mcl_matrix(
         current = sparse.with_loops(current, loop_value)
     if normalize_input:
         current = sparse.normalize(current, hot_rows)
-    cut = RollingCut()
-    if loop_value or normalize_input:
-        current = cut(current)
+    # Copies lie by column: that is how the next product, its sums and its sizes read them.
+    cut = RollingCut("j")
+    current = cut(current)
     known = sparse.Extent(**sparse.extent(current).first().asDict())
     for done in range(iterations):
         light, even = _bounds(known, expansion, product, hot_rows)
-        grown = sparse.power(current, expansion, product, balanced=light)
-        following = sparse.inflate(grown, inflation, hot_rows, balanced=even)
-        if done % pruning_frequency == 0:
-            following = sparse.prune(following, pruning_threshold)
-        following = cut(following)
+        prunes = done % pruning_frequency == 0
+        following = cut(_pass(current, expansion, inflation, product, light, even, hot_rows, pruning_threshold if prunes else None))
         # The convergence test and the sizes for the next pass in one job of one row.
         told = sparse.extent(following)
         if done % convergence_check_frequency == 0:
@@ -72,6 +69,16 @@ def mcl_matrix(
     return current
 
 
+def _pass(
+    current: DataFrame, expansion: int, inflation: float, product: str, light: bool, even: bool, hot_rows: int, threshold: float | None
+) -> DataFrame:
+    """One pass as a plan.  Of entries that lie by column a balanced pass moves one side of the
+    product (none of ``gram``), its sums, and the sums again by column."""
+    grown = sparse.power(current, expansion, product, balanced=light)
+    following = sparse.inflate(grown, inflation, hot_rows, balanced=even)
+    return following if threshold is None else sparse.prune(following, threshold)
+
+
 def _bounds(
     known: sparse.Extent, expansion: int, product: str, hot_rows: int
 ) -> tuple[bool, bool]:

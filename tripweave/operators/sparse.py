@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripweave.plans.lineage import cut_lineage
@@ -50,9 +50,10 @@ def multiply(
 def multiply_transposed(
     a: DataFrame, b: DataFrame, side_entries: int = SIDE_ENTRIES, balanced: bool = False
 ) -> DataFrame:
-    """A · Bᵀ.  ``balanced`` as in :func:`multiply`."""
+    """A · Bᵀ.  ``balanced`` as in :func:`multiply`.  Of A · Aᵀ, which is symmetric, one half is
+    computed and mirrored."""
     right = b.select(F.col("j").alias("k"), F.col("i").alias("c"), "v")
-    return _product(a, right, side_entries, balanced)
+    return _product(a, right, side_entries, balanced, symmetric=a is b)
 
 
 def power(
@@ -75,10 +76,14 @@ def power(
 def normalize(m: DataFrame, hot_rows: int = HOT_ROWS, balanced: bool = False) -> DataFrame:
     """Divide each entry by the sum of its column.
 
-    ``balanced``: the caller knows that no column has more than ``hot_rows`` entries.
+    ``balanced``: the caller knows that no column has more than ``hot_rows`` entries.  Then one
+    window reads the entries once, and leaves them dealt by column.
     """
+    if balanced:
+        whole = F.sum("v").over(Window.partitionBy("j"))
+        return m.select("i", "j", (F.col("v") / whole).alias("v"))
     sums = m.groupBy("j").agg(F.sum("v").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
-    hot = None if balanced else hot_keys(sums, ["j"], hot_rows=hot_rows)
+    hot = hot_keys(sums, ["j"], hot_rows=hot_rows)
     return spread_join(m, sums.drop("_rows"), ["j"], ["i"], hot).select(
         "i", "j", (F.col("v") / F.col("_sum")).alias("v")
     )
@@ -139,17 +144,21 @@ def with_loops(m: DataFrame, value: float | str) -> DataFrame:
     return m.unionByName(loops).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
-def _product(a: DataFrame, b: DataFrame, side_entries: int, balanced: bool) -> DataFrame:
+def _product(a: DataFrame, b: DataFrame, side_entries: int, balanced: bool, symmetric: bool = False) -> DataFrame:
     """Sum of a.v * b.v over the shared inner index: A's column, B's ``k``.
 
     All entries of A's column k meet all entries of B's row k; that is what the product is.
     Where this is many pairs, both sides are cut: A's part p meets B's part q in task
     (k, p, q), and A is copied once per q, B once per p.
+
+    ``symmetric``: both sides are the same entries, so a pair and its mirror image add the same.
+    Only parts p <= q meet then, and inside one part only rows i <= c.
     """
     left = a.select(F.col("j").alias("k"), "i", F.col("v").alias("_a"))
     right = b.select("k", "c", F.col("v").alias("_b"))
     if balanced:
-        return _summed(left.join(right, "k"))
+        pairs = left.join(right, "k")
+        return _mirrored(pairs.filter("i <= c")) if symmetric else _summed(pairs)
     met = (
         group_sizes(left, ["k"], "_an")
         .join(group_sizes(right, ["k"], "_bn"), "k")
@@ -163,19 +172,15 @@ def _product(a: DataFrame, b: DataFrame, side_entries: int, balanced: bool) -> D
         )
     )
     ps, qs = F.coalesce("_ps", F.lit(1)), F.coalesce("_qs", F.lit(1))
-    left = (
-        left.join(hubs, "k", "left")
-        .withColumn("_p", salt_of(["i"], ps))
-        .withColumn("_q", all_salts(qs))
-        .drop("_ps", "_qs")
-    )
-    right = (
-        right.join(hubs, "k", "left")
-        .withColumn("_q", salt_of(["c"], qs))
-        .withColumn("_p", all_salts(ps))
-        .drop("_ps", "_qs")
-    )
-    return _summed(left.join(right, ["k", "_p", "_q"]))
+    left = left.join(hubs, "k", "left").withColumn("_p", salt_of(["i"], ps))
+    right = right.join(hubs, "k", "left").withColumn("_q", salt_of(["c"], qs))
+    if symmetric:
+        left = left.withColumn("_q", F.explode(F.sequence("_p", qs - 1)))
+        right = right.withColumn("_p", F.explode(F.sequence(F.lit(0), "_q")))
+    else:
+        left, right = left.withColumn("_q", all_salts(qs)), right.withColumn("_p", all_salts(ps))
+    pairs = left.drop("_ps", "_qs").join(right.drop("_ps", "_qs"), ["k", "_p", "_q"])
+    return _mirrored(pairs.filter("_p < _q OR i <= c")) if symmetric else _summed(pairs)
 
 
 def _summed(pairs: DataFrame) -> DataFrame:
@@ -184,3 +189,13 @@ def _summed(pairs: DataFrame) -> DataFrame:
         .agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
         .filter(F.col("v") != 0)
     )
+
+
+def _mirrored(pairs: DataFrame) -> DataFrame:
+    """Sums of one half of a symmetric matrix, and their images across the diagonal."""
+    half = _summed(pairs.select(F.least("i", "c").alias("i"), F.greatest("i", "c").alias("c"), "_a", "_b"))
+    one = F.struct("i", "j")
+    both = F.when(F.col("i") == F.col("j"), F.array(one)).otherwise(
+        F.array(one, F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    )
+    return half.select(F.explode(both).alias("at"), "v").select("at.i", "at.j", "v")

@@ -84,17 +84,31 @@ def owns_copies(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return owning
 
 
+def cut_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """:func:`cut_lineage` that keeps the rows dealt by ``key``: a join, window or aggregation by
+    it reads the copy as it lies, with no exchange.
+
+    There are as many buckets as the session has shuffle partitions, so the other side of a join
+    is dealt alike.  Where ``df`` is dealt by ``key`` already, each task writes its own buckets.
+    Spark knows buckets of catalog tables only, so the copy has an entry in the current database,
+    under its own name, until it is removed.
+    """
+    return _written(df, key)[1]
+
+
 class RollingCut:
-    """:func:`cut_lineage` for the rounds of a loop; only the last two copies are kept.
+    """:func:`cut_lineage` for the rounds of a loop, or :func:`cut_bucketed` where a key is named;
+    only the last two copies are kept.
 
     A round may read the copies of the round before and of its own, nothing older.
     """
 
-    def __init__(self):
+    def __init__(self, key: str | None = None):
+        self._key = key
         self._paths: list[str] = []
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        path, copy = _written(df)
+        path, copy = _written(df, self._key)
         self._paths.append(path)
         if len(self._paths) > 2:
             _remove(df.sparkSession, self._paths.pop(0))
@@ -105,19 +119,30 @@ def _copies_read(df: DataFrame) -> set[str]:
     return {found[1] for file in df.inputFiles() if (found := _COPY.search(file))}
 
 
-def _written(df: DataFrame) -> tuple[str, DataFrame]:
+def _written(df: DataFrame, key: str | None = None) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     name = f"cut-{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
+    if key is None:
+        df.write.parquet(path)
+    else:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(_table(path))
     if _owners.stack:
         _owners.stack[-1][name] = path
     place, system = _place(spark, path)
     system.deleteOnExit(place)
-    return path, spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path) if key is None else spark.table(_table(path))
+
+
+def _table(path: str) -> str:
+    """Catalog name of a bucketed copy."""
+    return path.rsplit("/", 1)[-1].replace("-", "_")
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    if spark.catalog.tableExists(_table(path)):
+        spark.sql(f"DROP TABLE IF EXISTS {_table(path)}")
     place, system = _place(spark, path)
     system.delete(place, True)
     system.cancelDeleteOnExit(place)
