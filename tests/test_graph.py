@@ -237,3 +237,57 @@ def test_hub_edges_are_dealt_to_several_tasks(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("hot_rows", [4, 1_000_000])
+def test_vertices_at_rest_send_nothing(spark, hot_rows):
+    """A chain that leads into a cycle: vertices come to rest one after the other."""
+    pairs = [(i, i + 1) for i in range(30)] + [(30, 31), (31, 32), (32, 30), (31, 30), (40, 30), (41, 42)]
+    vertices = spark.range(45)
+    a = np.zeros((45, 45))
+    for s, d in pairs:
+        a[d, s] = 1
+    a = a / np.maximum(a.sum(axis=0), 1)
+    r, rounds = np.ones(45), 0
+    while True:
+        old, r, rounds = r, 0.15 + 0.85 * a @ r, rounds + 1
+        if abs(r - old).max() <= 1e-6:
+            break
+    told = []
+    whole = graph.SiteGraph(vertices, weighted(spark, pairs))
+    got = rank.pagerank(whole, tol=1e-6, hot_rows=hot_rows, on_round=lambda n, sent: told.append((n, sent))).collect()
+    ranks = np.array([x["pagerank"] for x in sorted(got, key=lambda x: x["id"])])
+    # All deviations together stay within the slack of the tolerance.
+    assert abs(ranks - r * 45 / r.sum()).sum() <= 2 * 1e-3 * 1e-6
+    assert [n for n, _ in told] == list(range(1, rounds + 1))
+    sent = [m for _, m in told]
+    assert sent[0] == len(pairs) and max(sent[1:]) <= 5
+    exact = rank.pagerank(whole, tol=1e-6, hot_rows=hot_rows, slack=0.0, max_iter=rounds).collect()
+    assert np.allclose([x["pagerank"] for x in sorted(exact, key=lambda x: x["id"])], r * 45 / r.sum(), rtol=1e-12)
+    assert rank.pagerank(whole, tol=1e-6, max_iter=3).count() == 45
+    assert rank.pagerank(graph.SiteGraph(vertices.limit(0), weighted(spark, pairs).limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2, 3, 5, 9])
+def test_changed_labels_alone_give_the_full_rounds(spark, rounds):
+    n, pairs = 60, random_pairs(rounds, 60, 90)
+    pairs = [p for p in pairs if 0 not in p] + [(50, 51), (51, 50)]
+    told = []
+    whole = graph.SiteGraph(spark.range(n + 1), weighted(spark, pairs))
+    got = communities.label_propagation(whole, rounds, on_round=lambda i, sent: told.append(sent)).collect()
+    assert {r["id"]: r["label"] for r in got} == propagate(n + 1, pairs, rounds)
+    assert len(told) <= rounds and told[:1] == [2 * len(pairs)][:rounds]
+    assert all(sent <= 2 * len(pairs) for sent in told)
+
+
+def test_labels_that_swing_and_labels_at_rest(spark):
+    # 1 and 2 swing for ever; 10 to 13 are at rest after two rounds, and then send nothing.
+    swing, rest = [(1, 2)], [(a, b) for a in range(10, 14) for b in range(10, 14) if a < b]
+    for pairs, last in ((swing, 2), (rest, None), (swing + rest, 2)):
+        told = []
+        whole = graph.site_graph(weighted(spark, pairs))
+        got = communities.label_propagation(whole, 7, on_round=lambda i, sent: told.append(sent)).collect()
+        want = propagate(14, pairs, 7)
+        assert {r["id"]: r["label"] for r in got} == {i: want[i] for p in pairs for i in p}
+        assert (told[-1] == last and len(told) == 7) if last else len(told) < 5
+    assert communities.label_propagation(graph.SiteGraph(spark.range(0), weighted(spark, rest).limit(0))).collect() == []

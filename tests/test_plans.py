@@ -1,11 +1,13 @@
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tripweave.operators import graph, trips
-from tripweave.plans.lineage import RollingCut, cut_lineage, cut_measured, owns_copies, shared_folder
+from tripweave.plans import ordered
+from tripweave.plans.lineage import RollingCut, cut_lineage, cut_measured, is_scan, owns_copies, shared_folder
 from tripweave.plans.ordered import OrderedScan
 from tripweave.plans.ranking import compact_ids
 from tripweave.plans.skew import group_sizes, hot_keys, hot_keys_if_any, sized_join, spread_join
@@ -212,3 +214,57 @@ def test_the_source_is_read_once(spark, sf_dir, name):
         order = "struct" if name.endswith("struct") else "time"
         trips.previous_stop(trips.segment_trips(clustered), order).count()
     assert rows.value == events.count()
+
+
+@pytest.mark.parametrize("counters", [1, 3, 1 << 22])
+def test_crowded_keys_are_complete_and_exact(spark, monkeypatch, counters):
+    monkeypatch.setattr(ordered, "_SKETCH", counters)
+    rng = random.Random(counters)
+    keys = [rng.choice(["a"] * 12 + [None] * 9 + [f"k{i}" for i in range(30)]) for _ in range(600)]
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, id int")
+    found = ordered.crowded_keys(df, ["k"], 50)
+    want = {(k, n) for k, n in Counter(keys).items() if n > 50}
+    assert {tuple(r) for r in found.collect()} == want and {k for k, _ in want} == {"a", None}
+    assert ordered.crowded_keys(df, ["k"], 600) is None
+    assert ordered.crowded_keys(df.limit(0), ["k"], 0) is None
+
+
+def test_scan_writes_rows_of_crowded_keys_only(spark, monkeypatch):
+    rows = [("hot" if i % 3 == 0 else f"u{i % 50}", i, "x" * 9) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t int, wide string")
+    written = []
+    monkeypatch.setattr(ordered, "cut_lineage", lambda frame: written.append(frame) or cut_lineage(frame))
+    for hot_rows, copied in ((20, 100), (1000, 0)):
+        written.clear()
+        scan = OrderedScan(df, ["k"], ["t"], hot_rows).previous(["t"], "p").frame()
+        wide = [frame for frame in written if "wide" in frame.columns]
+        assert sum(frame.count() for frame in wide) == copied and len(written) > len(wide)
+        last: dict = {}
+        want = set()
+        for k, t, _ in rows:
+            want.add((k, t, last.get(k)))
+            last[k] = t
+        assert {(r["k"], r["t"], r["p"] and r["p"]["t"]) for r in scan.collect()} == want
+
+
+def test_what_is_a_scan(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    checkins = checkins_from_events(spark, events)
+    assert is_scan(checkins) and is_scan(checkins.filter("event_id > 5").unionByName(checkins))
+    assert is_scan(cut_lineage(checkins.distinct())) and is_scan(spark.createDataFrame([(1,)], "id int"))
+    assert not is_scan(checkins.distinct()) and not is_scan(checkins.join(events, "event_id"))
+    assert not is_scan(checkins.mapInArrow(lambda batches: batches, checkins.schema))
+
+
+def test_crowded_keys_read_the_key_columns_only(spark, sf_dir, monkeypatch):
+    plans = []
+
+    def recorded(frame):
+        plans.append(str(frame._jdf.queryExecution().executedPlan()))
+        return cut_lineage(frame)
+
+    monkeypatch.setattr(ordered, "cut_lineage", recorded)
+    checkins = checkins_from_events(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+    trips.segment_trips(checkins.withColumnRenamed("site", "cluster")).count()
+    scans = [plan for plan in plans if "FileScan parquet [" in plan and "user_id" in plan]
+    assert scans and all("ReadSchema: struct<user_id:bigint>" in plan for plan in scans)

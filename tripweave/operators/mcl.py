@@ -66,7 +66,7 @@ def mcl_matrix(
         if told.pop("converged", False):
             break
         known = sparse.Extent(**told)
-    return current
+    return cut.plain(current)
 
 
 def _pass(

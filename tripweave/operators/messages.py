@@ -28,7 +28,9 @@ class EdgeLayout:
 
     def __init__(self, edges: DataFrame, hot_rows: int = HOT_ROWS):
         edges = cut_lineage(edges)
-        sizes = group_sizes(edges, ["id"])
+        #: The edges as they came, and the number each sender has.
+        self.edges, self.sizes = edges, group_sizes(edges, ["id"])
+        sizes = self.sizes
         self._hot = None
         self._on = ["id"]
         if (largest(sizes, "_rows") or 0) > hot_rows:
@@ -45,6 +47,11 @@ class EdgeLayout:
         width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self._edges = edges.repartition(width, *self._on).persist()
 
+    @property
+    def crowded(self) -> bool:
+        """Whether a vertex has more than ``hot_rows`` edges."""
+        return self._hot is not None
+
     def __enter__(self) -> EdgeLayout:
         return self
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 _COPY = re.compile(r"/(cut-[0-9a-f]{32})(?:/|$)")
 
+# The name of the node in a line of a printed plan.
+_NODE = re.compile(r"[\s:+-]*([A-Za-z]\w*)")
+
 
 class _Owners(threading.local):
     """Copies made so far, by the operators now at work in this thread, innermost last."""
@@ -60,6 +63,14 @@ def cut_measured(df: DataFrame, size: str) -> tuple[DataFrame, int]:
     return copy, seen.get["largest"] or 0
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether the rows come straight from tables, by projections, filters and unions: reading them
+    again costs no more than reading the tables again, and fewer columns cost less."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {found[1] for line in plan.splitlines() if (found := _NODE.match(line))}
+    return nodes <= {"Project", "Filter", "Union", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "Range"}
+
+
 def owns_copies(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Remove the copies that ``operator`` has made once it returns, but for those its result
     still reads; these pass to the operator around it, or stay until the session ends."""
@@ -107,6 +118,11 @@ class RollingCut:
         self._key = key
         self._paths: list[str] = []
 
+    def plain(self, copy: DataFrame) -> DataFrame:
+        """The last copy with no mention of buckets, for results: what others do with them (a union
+        of two, say) is then planned like any table."""
+        return copy.sparkSession.read.schema(copy.schema).parquet(self._paths[-1])
+
     def __call__(self, df: DataFrame) -> DataFrame:
         path, copy = _written(df, self._key)
         self._paths.append(path)

@@ -12,10 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripweave.plans.lineage import cut_lineage
+from tripweave.plans.lineage import cut_lineage, is_scan
 from tripweave.plans.skew import HOT_ROWS, group_sizes, threshold
 
 _BLOCK = "_scan_block"
+# Counters of the pass that looks for crowded keys; over four a key that could be crowded.
+_SKETCH = 1 << 22
 
 
 class OrderedScan:
@@ -23,6 +25,10 @@ class OrderedScan:
 
     ``order`` must tell any two different rows of a group apart, or the answer would
     depend on how rows were placed.
+
+    Of rows that come straight from tables (:func:`is_scan`) crowded keys are found in a pass over
+    the key columns alone: rows are read in full by the scan only, and only rows of crowded keys
+    are written.  Other rows are written once, and counted and scanned from there.
     """
 
     def __init__(
@@ -35,14 +41,12 @@ class OrderedScan:
         self._keys = list(keys)
         self._order = list(order)
         self._names = df.columns
-        # One copy serves the count and the scan, so what made the rows runs once.
-        df = cut_lineage(df)
-        sizes = group_sizes(df, self._keys, "_scan_rows")
-        crowded = cut_lineage(sizes.filter(F.col("_scan_rows") > threshold(sizes, "_scan_rows", hot_rows)))
-        rows = crowded.agg(F.sum("_scan_rows")).first()[0]
-        if rows is None:
+        df = df if is_scan(df) else cut_lineage(df)
+        crowded = crowded_keys(df, self._keys, hot_rows)
+        if crowded is None:
             self._plain, self._blocked = df, None
             return
+        rows = crowded.agg(F.sum("_scan_rows")).first()[0]
         listed = F.broadcast(crowded.select(*self._keys))
         self._plain = _same_keys(df, listed, self._keys, "left_anti")
         self._blocked = cut_lineage(
@@ -123,6 +127,26 @@ class OrderedScan:
         return Window.partitionBy(*self._keys).orderBy(_BLOCK)
 
 
+def crowded_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Every key with more rows than the threshold and their number, ``_scan_rows``; None if there
+    is none.
+
+    Keys are first counted together by hash, ``_SKETCH`` counters in all: each task hands on its
+    own counters, however many keys there are.  A crowded key makes its counter crowded, so the
+    keys of crowded counters, counted one by one, are all there can be.
+    """
+    counter = F.pmod(F.xxhash64(*keys), F.lit(_SKETCH)).alias("_scan_counter")
+    counters = cut_lineage(df.select(counter).groupBy("_scan_counter").agg(F.count(F.lit(1)).alias("_scan_rows")))
+    over = F.col("_scan_rows") > threshold(counters, "_scan_rows", hot_rows)
+    heavy = cut_lineage(counters.filter(over).select("_scan_counter"))
+    if heavy.isEmpty():
+        return None
+    # Fewer than a million short rows, as the threshold is over a millionth of all.
+    likely = df.select(*keys, counter).join(F.broadcast(heavy), "_scan_counter", "left_semi")
+    crowded = cut_lineage(group_sizes(likely, keys, "_scan_rows").filter(over))
+    return None if crowded.isEmpty() else crowded
+
+
 def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys, where null equals null: rows without a key are a group too."""
     right = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
