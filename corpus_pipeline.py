@@ -70,11 +70,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     first = cut_lineage(found.groupBy("component").agg(F.min(place).alias("first")).select("component", "first.*"))
     counted = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     shared = cut_lineage(counted.filter((F.col("n") > 1) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("_shared")))
-    own = first.select(F.col("doc_id").alias("_own")).filter("_own IS NOT NULL")
+    # Of ids with one row it names those to drop: they are far fewer than those that stay.
+    own = first.select(F.col("doc_id").alias("_own")).join(shared, F.col("_own") == F.col("_shared"), "left_anti")
+    ids = found.select(F.col("doc_id").alias("_bad")).filter("_bad IS NOT NULL").distinct()
+    bad = cut_lineage(ids.join(own, F.col("_bad") == F.col("_own"), "left_anti"))
+    kept = docs.filter(docs["doc_id"].isNotNull()).join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
     if shared.isEmpty():
-        return docs.join(own, docs["doc_id"] == own["_own"], "left_semi")
-    alone = cut_lineage(own.join(shared, F.col("_own") == F.col("_shared"), "left_anti"))
-    kept = docs.join(alone, docs["doc_id"] == alone["_own"], "left_semi")
+        return kept
 
     # Rows whose doc_id does not tell which they are: found again by their text.
     open_rows = docs.join(shared, docs["doc_id"].eqNullSafe(shared["_shared"]), "left_semi").select(
