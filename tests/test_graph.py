@@ -129,8 +129,9 @@ def test_label_propagation(spark, hot_rows):
     n, pairs = 40, random_pairs(4, 40, 60)
     edges = weighted(spark, pairs)
     vertices = spark.range(n + 1)
-    got = communities.label_propagation(graph.SiteGraph(vertices, edges), 6, hot_rows).collect()
-    assert {r["id"]: r["label"] for r in got} == propagate(n + 1, pairs, 6)
+    for few in (0, communities.FEW_EDGES):
+        got = communities.label_propagation(graph.SiteGraph(vertices, edges), 6, hot_rows, few_edges=few).collect()
+        assert {r["id"]: r["label"] for r in got} == propagate(n + 1, pairs, 6)
 
 
 def test_opposite_edges_vote_twice(spark):
@@ -274,7 +275,7 @@ def test_changed_labels_alone_give_the_full_rounds(spark, rounds):
     pairs = [p for p in pairs if 0 not in p] + [(50, 51), (51, 50)]
     told = []
     whole = graph.SiteGraph(spark.range(n + 1), weighted(spark, pairs))
-    got = communities.label_propagation(whole, rounds, on_round=lambda i, sent: told.append(sent)).collect()
+    got = communities.label_propagation(whole, rounds, on_round=lambda i, sent: told.append(sent), few_edges=0).collect()
     assert {r["id"]: r["label"] for r in got} == propagate(n + 1, pairs, rounds)
     assert len(told) <= rounds and told[:1] == [2 * len(pairs)][:rounds]
     assert all(sent <= 2 * len(pairs) for sent in told)
@@ -286,7 +287,7 @@ def test_labels_that_swing_and_labels_at_rest(spark):
     for pairs, last in ((swing, 2), (rest, None), (swing + rest, 2)):
         told = []
         whole = graph.site_graph(weighted(spark, pairs))
-        got = communities.label_propagation(whole, 7, on_round=lambda i, sent: told.append(sent)).collect()
+        got = communities.label_propagation(whole, 7, on_round=lambda i, sent: told.append(sent), few_edges=0).collect()
         want = propagate(14, pairs, 7)
         assert {r["id"]: r["label"] for r in got} == {i: want[i] for p in pairs for i in p}
         assert (told[-1] == last and len(told) == 7) if last else len(told) < 5

@@ -14,6 +14,8 @@ from tripweave.plans.lineage import RollingCut, cut_bucketed, owns_copies
 from tripweave.plans.skew import HOT_ROWS
 
 _ROUNDS_PER_CUT = 5
+#: Edges, both ways, up to which every vertex votes in every round.
+FEW_EDGES = 1_000_000
 
 OnRound = Callable[[int, int], None]
 
@@ -23,7 +25,8 @@ def label_propagation(
     graph: SiteGraph,
     max_iter: int = 10,
     hot_rows: int = HOT_ROWS,
-    on_round: Callable[[int, int], None] | None = None,
+    on_round: OnRound | None = None,
+    few_edges: int = FEW_EDGES,
 ) -> DataFrame:
     """Add ``label`` to the vertices after ``max_iter`` rounds.
 
@@ -38,13 +41,15 @@ def label_propagation(
     edges along which something was sent.
 
     Where a vertex has more than ``hot_rows`` votes they cannot lie in one place; then all
-    vertices vote in every round, and hubs are split.
+    vertices vote in every round, and hubs are split.  They all vote as well where an edge and its
+    reverse number ``few_edges`` at most: several rounds then make one job, and starting jobs is
+    what takes the time.
     """
     ids = graph.vertices.select("id")
     ends = graph.edges.select("src", "dst")
     lines = ends.toDF("id", "to").unionByName(ends.toDF("to", "id"))
     with EdgeLayout(lines, hot_rows) as layout:
-        rounds = _full_rounds if layout.crowded else _changes
+        rounds = _full_rounds if layout.crowded or layout.total <= few_edges else _changes
         labels = rounds(layout, ids, max_iter, on_round)
     return graph.vertices.join(labels, "id")
 
@@ -52,7 +57,7 @@ def label_propagation(
 def _full_rounds(layout: EdgeLayout, ids: DataFrame, max_iter: int, on_round: OnRound | None) -> DataFrame:
     cut = RollingCut()
     labels = ids.select("id", F.col("id").alias("label"))
-    messages = layout.edges.count() if on_round else 0
+    messages = layout.total
     for done in range(1, max_iter + 1):
         votes = layout.send(labels).groupBy(F.col("to").alias("id"), "label").agg(F.count(F.lit(1)).alias("votes"))
         # A vertex that hears nobody keeps its label.
@@ -82,7 +87,7 @@ def _changes(layout: EdgeLayout, ids: DataFrame, max_iter: int, on_round: OnRoun
     changes = None
     state, sent = _relabelled(cut, state, _most_voted(votes))
     if on_round:
-        on_round(1, layout.edges.count())
+        on_round(1, layout.total)
     for done in range(2, max_iter + 1):
         if not sent:
             break

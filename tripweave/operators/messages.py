@@ -15,7 +15,6 @@ from tripweave.plans.skew import (
     all_salts,
     group_sizes,
     hot_keys,
-    largest,
     salt_of,
 )
 
@@ -33,7 +32,10 @@ class EdgeLayout:
         sizes = self.sizes
         self._hot = None
         self._on = ["id"]
-        if (largest(sizes, "_rows") or 0) > hot_rows:
+        told = sizes.agg(F.max("_rows").alias("most"), F.sum("_rows").alias("all")).first()
+        #: Number of edges.
+        self.total = told["all"] or 0
+        if (told["most"] or 0) > hot_rows:
             self._on = ["id", "_salt"]
             self._hot = cut_lineage(hot_keys(sizes, ["id"], hot_rows=hot_rows))
             self._one = F.coalesce("_salts", F.lit(1))
