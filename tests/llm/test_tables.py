@@ -60,6 +60,15 @@ def test_contamination(spark, short, alphabet):
     assert decontam.contamination(left, right.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_a_short_item_leaves_other_fingerprints_alone(spark):
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(60))) for i in range(20)]
+    prints = lambda rows: decontam.fingerprints(decontam.item_windows(spark.createDataFrame(rows, "item_id long, text string")), 13)
+    alone = {r["print"] for r in prints(items).collect()}
+    more = {r["print"] for r in prints([*items, (90, "w1"), (91, "w2 w3 w4")]).collect()}
+    assert alone == more and len(alone) < 0.4 * 20 * 56
+
+
 def test_contamination_of_odd_rows(spark, odd):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog. " * 2)], "item_id long, text string")
     rows = decontam.contamination(odd, items).collect()

@@ -61,6 +61,19 @@ def test_token_counts(documents, odd, nothing):
     assert tokens.token_counts(nothing, PIECES).count() == 0
 
 
+def test_counts_take_no_exchange_and_keep_two_tiers(documents):
+    counted = tokens.token_counts(documents, PIECES)
+    assert "Exchange" not in str(counted._jdf.queryExecution().executedPlan())
+    table = tokens.frequent_pretokens(documents, entries=50, sample=20)
+    assert len(table) == len(set(table)) == 50
+    assert len(tokens.frequent_pretokens(documents)) > 50 and tokens.frequent_pretokens(documents.limit(0)) == []
+    known = tokens._Known({"a": 1})
+    known.cache = {"b": 2}
+    assert [known["a"], known["b"]] == [1, 2] and "b" not in known
+    with pytest.raises(KeyError):
+        known["c"]
+
+
 def test_frequent_pretokens_are_a_cache_only(documents):
     few = sorted(map(tuple, tokens.token_counts(documents, PIECES, entries=1).collect()))
     assert few == sorted(map(tuple, tokens.token_counts(documents, PIECES).collect()))

@@ -71,14 +71,14 @@ def _kept(grams: Column, width: int) -> Column:
     return F.when(last >= 0, places).otherwise(F.array().cast("array<int>"))
 
 
-def _winnowed(text: Column, k: int, reach: int) -> Column:
+def _winnowed(hashes: Column, k: int, reach: int) -> Column:
     """Struct of the word hashes, the k-word hashes and the places of the fingerprints."""
     return _let(
-        _hashes(_words(text)),
-        lambda hashes: _let(
-            _grams(hashes, k),
+        hashes,
+        lambda own: _let(
+            _grams(own, k),
             lambda grams: F.struct(
-                hashes.alias("hashes"), grams.alias("grams"), _kept(grams, reach - k + 1).alias("kept")
+                own.alias("hashes"), grams.alias("grams"), _kept(grams, reach - k + 1).alias("kept")
             ),
         ),
     )
@@ -101,6 +101,14 @@ def item_windows(items: DataFrame, window: int = 13, item: str = "item_id", text
     return rows.withColumn("length", F.least(F.size("hashes"), F.lit(window)))
 
 
+def fingerprints(windows: DataFrame, length: int) -> DataFrame:
+    """The different fingerprints (``print``) of the items whose windows have ``length`` words.
+    Any such window holds one, whatever other items there are."""
+    own = windows.filter(F.col("length") == length).select(_winnowed(F.col("hashes"), min(K, length), length).alias("w"))
+    places = own.select(F.explode("w.kept").alias("place"), "w.grams")
+    return places.select(F.get("grams", F.col("place")).alias("print")).distinct()
+
+
 def text_hash(text: str = "text") -> Column:
     """Tells rows of one key apart; null and empty texts are alike."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -126,64 +134,24 @@ def contamination(
     other columns are not read.
 
     The fingerprints of the benchmark are broadcast ``block`` at a time, so their size has a
-    bound; one block is one pass over the documents.
+    bound; one block is one pass over the documents.  So is each length of items shorter than a
+    window, of which there are fewer than ``window``.
     """
-    spark = docs.sparkSession
     windows = item_windows(items, window, item, item_text)
-    shortest = windows.agg(F.min("length")).first()[0] or window
-    # Any window shares its fingerprint, so the shortest decides how many hashes are kept.
-    k = min(K, shortest)
-    lengths = sorted({window, *(r["length"] for r in windows.select("length").distinct().collect())})
-    kept = items.select(_winnowed(F.coalesce(F.col(item_text), F.lit("")), k, shortest).alias("w"))
-    prints = cut_lineage(
-        kept.select(F.explode("w.kept").alias("place"), "w.grams")
-        .select(F.get("grams", F.col("place")).alias("print"))
-        .distinct()
-    )
-    blocks = max(1, -(-prints.count() // block))
-    mark = spark.range(1).select(F.lit(_MARK).cast("long").alias("print"))
-
-    rows = docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        text_hash(text).alias("text_hash"),
-        _winnowed(F.coalesce(F.col(text), F.lit("")), k, shortest).alias("w"),
-    ).select("doc_id", "text_hash", "w.hashes", "w.grams", "w.kept")
-    met = None
-    for number in range(blocks):
-        own = prints.filter(F.pmod(F.col("print"), F.lit(blocks)) == number)
-        places = F.col("kept")
-        if number == 0:
-            own, places = own.unionByName(mark).distinct(), F.concat(F.array(F.lit(WHOLE)), places)
-        place = F.col("place")
-        found = (
-            rows.select("doc_id", "text_hash", "hashes", "grams", F.explode(places).alias("place"))
-            .withColumn("print", F.when(place < 0, F.lit(_MARK)).otherwise(F.get("grams", place)))
-            # At most ``block`` longs, as counted above.
-            .join(F.broadcast(own), "print")
-            .select(
-                "doc_id",
-                "text_hash",
-                "place",
-                F.size("hashes").cast("long").alias("n_words"),
-                F.greatest(place - (window - k), F.lit(0)).alias("first"),
-                F.when(
-                    place >= 0,
-                    F.slice(
-                        "hashes",
-                        F.greatest(place - (window - k), F.lit(0)) + 1,
-                        F.lit(2 * window - k),
-                    ),
-                ).alias("around"),
-            )
-        )
-        met = found if met is None else met.unionByName(found)
+    # Items shorter than a window are winnowed apart, by their own length, so a short one does not
+    # make the others' fingerprints any denser.
+    short = {r["length"] for r in windows.select("length").distinct().collect()} - {window}
+    met = _meetings(docs, cut_lineage(fingerprints(windows, window)), window, key, text, block, whole=True)
+    for length in sorted(short):
+        prints = cut_lineage(fingerprints(windows, length))
+        met = met.unionByName(_meetings(docs, prints, length, key, text, block, whole=False))
     met = cut_lineage(met)
 
     # Extension: every window of the words around a meeting place that an item has as well.
     length = F.col("length")
     near = (
         met.filter(F.col("place") >= 0)
-        .select("doc_id", "text_hash", "first", "around", F.explode(F.array(*map(F.lit, lengths))).alias("length"))
+        .select("doc_id", "text_hash", "first", "around", "length")
         .filter(F.size("around") >= length)
         .select(
             "doc_id",
@@ -221,12 +189,12 @@ def contamination(
     per_text = per_text.select(
         F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"), _union(F.col("_runs")).alias("spans"), "items"
     )
-    whole = met.filter(F.col("place") == WHOLE).select("doc_id", "text_hash", "n_words")
+    every = met.filter(F.col("place") == WHOLE).select("doc_id", "text_hash", "n_words")
     none = F.array().cast("array<struct<start: int, end: int>>")
     spans = F.coalesce("spans", none)
     found = F.coalesce("items", F.array().cast("array<string>"))
     covered = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
-    return whole.join(
+    return every.join(
         per_text, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")), "left"
     ).select(
         "doc_id",
@@ -239,6 +207,46 @@ def contamination(
     )
 
 
+def _meetings(
+    docs: DataFrame, prints: DataFrame, length: int, key: str, text: str, block: int, whole: bool
+) -> DataFrame:
+    """Where documents have one of ``prints``: the place, and the words around it that a window of
+    ``length`` words can take up.  With ``whole`` every document has a row at ``WHOLE`` as well."""
+    k = min(K, length)
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"),
+        text_hash(text).alias("text_hash"),
+        _winnowed(_hashes(_words(F.coalesce(F.col(text), F.lit("")))), k, length).alias("w"),
+    ).select("doc_id", "text_hash", "w.hashes", "w.grams", "w.kept")
+    mark = docs.sparkSession.range(1).select(F.lit(_MARK).cast("long").alias("print"))
+    blocks = max(1, -(-prints.count() // block))
+    met = None
+    for number in range(blocks):
+        own = prints.filter(F.pmod(F.col("print"), F.lit(blocks)) == number)
+        places = F.col("kept")
+        if whole and number == 0:
+            own, places = own.unionByName(mark).distinct(), F.concat(F.array(F.lit(WHOLE)), places)
+        place = F.col("place")
+        first = F.greatest(place - (length - k), F.lit(0))
+        found = (
+            rows.select("doc_id", "text_hash", "hashes", "grams", F.explode(places).alias("place"))
+            .withColumn("print", F.when(place < 0, F.lit(_MARK)).otherwise(F.get("grams", place)))
+            # At most ``block`` longs, as counted above.
+            .join(F.broadcast(own), "print")
+            .select(
+                "doc_id",
+                "text_hash",
+                "place",
+                F.lit(length).alias("length"),
+                F.size("hashes").cast("long").alias("n_words"),
+                first.alias("first"),
+                F.when(place >= 0, F.slice("hashes", first + 1, F.lit(2 * length - k))).alias("around"),
+            )
+        )
+        met = found if met is None else met.unionByName(found)
+    return met
+
+
 def _union(runs: Column) -> Column:
     """Disjoint spans that cover what ``runs`` cover, in order.
 

@@ -22,6 +22,8 @@ from tripweave.llm.common import WORKER_CACHE, key_and_text, map_arrow
 
 #: Bytes of the longest pre-token that the broadcast table takes up.
 LONGEST = 48
+#: Pre-tokens that one sampled document hands on.
+PER_TEXT = 4_096
 _SPACED = re.compile(" *[^ ]+| +")
 #: Per vocabulary file: lengths this worker knows, kept from task to task.
 _CACHES: dict[str, dict[str, int]] = {}
@@ -66,34 +68,40 @@ def _measure(model: sentencepiece.SentencePieceProcessor, pretokens: list[str])
     }
 
 
-def frequent_pretokens(docs: DataFrame, entries: int = 65_536, per_task: int = 4_096) -> DataFrame:
-    """About the ``entries`` most frequent pre-tokens over all documents, to be broadcast.
+class _Known(dict):
+    """Lengths by pre-token, in two tiers: what it holds itself is the broadcast table, what that
+    lacks is looked up in the worker's cache."""
 
-    Each task counts its own and hands on its ``per_task`` largest, so what is summed is
-    bounded per task, and no pre-token of the text is shuffled.  So n is a lower bound, and it and
-    the order depend on partitioning: they serve only to choose what is broadcast.  A pre-token
-    missing here costs time and never a wrong token count.
+    cache: dict[str, int]
+
+    def __missing__(self, word: str) -> int:
+        return self.cache[word]
+
+
+def frequent_pretokens(docs: DataFrame, entries: int = 65_536, sample: int = 4_000) -> list[str]:
+    """The ``entries`` most frequent pre-tokens of about ``sample`` documents, drawn from all of
+    them with equal chances.
+
+    They decide what is broadcast and nothing else: a pre-token missing here costs time and never a
+    wrong count.  Nothing of the other documents is split, and nothing shuffled; what reaches the
+    driver is bounded by the sample.
     """
+    rows = docs.count()
+    drawn = key_and_text(docs).select("text").sample(min(1.0, sample / max(rows, 1)), seed=1)
 
-    def leaders(batches):
-        seen: Counter = Counter()
+    def counted(batches):
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(pretokens(text) or ())
-            if len(seen) > WORKER_CACHE:
-                seen = Counter(dict(seen.most_common(WORKER_CACHE // 2)))
-        found = [(w, n) for w, n in seen.most_common(per_task) if len(w.encode()) <= LONGEST]
-        yield pa.RecordBatch.from_pydict(
-            {"pretoken": pa.array([w for w, _ in found], pa.string()), "n": pa.array([n for _, n in found], pa.int64())}
-        )
-
-    return (
-        map_arrow(key_and_text(docs).select("text"), leaders, "pretoken string, n long")
-        .groupBy("pretoken")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.col("n").desc(), "pretoken")
-        .limit(entries)
-    )
+                # A text of very many different pre-tokens hands on the first of them by number.
+                own = Counter(w for w in pretokens(text) or () if len(w.encode()) <= LONGEST).most_common(PER_TEXT)
+                yield pa.RecordBatch.from_pydict(
+                    {"pretoken": pa.array([w for w, _ in own], pa.string()), "n": pa.array([n for _, n in own], pa.int64())}
+                )
+
+    total: Counter = Counter()
+    for word, n in map_arrow(drawn, counted, "pretoken string, n long").toLocalIterator():
+        total[word] += n
+    return [word for word, _ in sorted(total.items(), key=lambda e: (-e[1], e[0]))[:entries]]
 
 
 def token_counts(
@@ -108,13 +116,11 @@ def token_counts(
     spark = docs.sparkSession
     rows = key_and_text(docs, key, text)
     model = _model(model_path)
-    leading = [r["pretoken"] for r in frequent_pretokens(rows, entries).collect()]
-    table = spark.sparkContext.broadcast(_measure(model, leading))
+    table = spark.sparkContext.broadcast(_measure(model, frequent_pretokens(rows, entries)))
 
     def count(batches):
-        model, frequent = _model(model_path), table.value
-        cache = _CACHES.setdefault(model_path, {})
-        cache.update(frequent)
+        model, known = _model(model_path), _Known(table.value)
+        cache = known.cache = _CACHES.setdefault(model_path, {})
         for batch in batches:
             texts = batch.column("text").to_pylist()
             lengths = []
@@ -124,12 +130,12 @@ def token_counts(
                     lengths.append(len(model.encode(text)))
                     continue
                 try:
-                    lengths.append(sum(map(cache.__getitem__, parts)))
+                    lengths.append(sum(map(known.__getitem__, parts)))
                 except KeyError:
-                    missed = _measure(model, list({w for w in parts if w not in cache}))
-                    if len(cache) + len(missed) <= len(frequent) + WORKER_CACHE:
+                    missed = _measure(model, list({w for w in parts if w not in known and w not in cache}))
+                    if len(cache) + len(missed) <= WORKER_CACHE:
                         cache.update((w, n) for w, n in missed.items() if len(w) <= LONGEST)
-                    lengths.append(sum(cache[w] if w in cache else missed[w] for w in parts))
+                    lengths.append(sum(missed[w] if w in missed else known[w] for w in parts))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
