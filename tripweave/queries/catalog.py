@@ -64,8 +64,8 @@ def _edges(spark: SparkSession, folder: str, order: str = "time") -> DataFrame:
     return graph.transition_edges(_clustered(spark, folder), order)
 
 
-def _graph(spark: SparkSession, folder: str) -> graph.SiteGraph:
-    return graph.site_graph(cut_lineage(_edges(spark, folder)))
+def _graph(spark: SparkSession, folder: str, order: str = "time") -> graph.SiteGraph:
+    return graph.site_graph(cut_lineage(_edges(spark, folder, order)))
 
 
 def _matrix(spark: SparkSession, folder: str, order: str = "time") -> DataFrame:
@@ -368,6 +368,19 @@ def lpa_labels(spark, folder):
     return communities.label_propagation(_graph(spark, folder)).select("id", "label")
 
 
+@query
+def lpa_struct(spark, folder):
+    """Labels on the graph of sorted trips, where several communities last; every round sends
+    only what has changed."""
+    return communities.label_propagation(_graph(spark, folder, "struct"), few_edges=0).select("id", "label")
+
+
+@query
+def lpa_struct_top5(spark, folder):
+    labelled = communities.label_propagation(_graph(spark, folder, "struct"))
+    return graph.top_k(communities.community_sizes(labelled), "num_vertices", 5, then="label")
+
+
 @query
 def lpa_compact(spark, folder):
     labelled = communities.label_propagation(_graph(spark, folder))

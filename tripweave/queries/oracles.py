@@ -385,6 +385,12 @@ ORACLES: dict[str, str] = {
         "SELECT id, round(pagerank, 6) AS pagerank FROM (SELECT * FROM ranked ORDER BY pagerank DESC, id LIMIT 6)",
     ),
     "lpa_labels": _with(_LABELS, "SELECT id, label FROM labelled"),
+    "lpa_struct": _with(_edges("struct") + _VERTICES + _LABELLED, "SELECT id, label FROM labelled"),
+    "lpa_struct_top5": _with(
+        _edges("struct") + _VERTICES + _LABELLED,
+        """SELECT label, count(*) AS num_vertices FROM labelled GROUP BY label
+        ORDER BY num_vertices DESC, label LIMIT 5""",
+    ),
     "lpa_compact": _with(
         _LABELS, "SELECT id, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS label FROM labelled"
     ),
