@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -216,3 +217,69 @@ def test_query_looks_at_two_words_of_context(spark, tmp_path):
     got = {r["doc_id"]: r["score"] for r in QUERIES["op2_lm_scoring"](spark, str(tmp_path)).collect()}
     # One word of context gives b and d the same probability after x.
     assert got[asked[0]] > got[asked[1]] + 1 and got[asked[2]] > got[asked[3]] + 1
+
+
+# --- noisy-or by hand ---------------------------------------------------------------
+
+
+def _sentence_values(text, model):
+    """Sum of the weights of each sentence's features, and the bias; by the definition."""
+    values, held = [], []
+    for token in text.lower().split():
+        word = token.strip(".,;:!?\"'()[]{}*#$%&|<>…«»¿¡")
+        parts = [f"w {word}"] + [f"{n} {word[:n]}" for n in (4, 5, 6) if len(word) > n] if word else []
+        held += [zlib.crc32(p.encode()) % toxicity.WIDTH for p in parts]
+        if token[-1] in ".!?":
+            values.append(held)
+            held = []
+    if text.split() and text.split()[-1][-1] not in ".!?":
+        values.append(held)
+    return [sum(float(model.weights[i]) for i in own) + model.bias for own in values]
+
+
+def test_noisy_or_score_against_its_definition(spark, odd):
+    rng = np.random.default_rng(3)
+    weights = np.where(rng.random(toxicity.WIDTH) < 0.5, rng.normal(0, 2, toxicity.WIDTH), 0).astype(np.float32)
+    model = toxicity.Model(weights, -2.0, 0.5)
+    texts = {10 + i: " ".join(f"word{rng.integers(40)}{rng.choice(['', '.', '!', ','])}" for _ in range(rng.integers(1, 40))) for i in range(60)}
+    texts |= {1: "One. two? (three) ... four", 2: "...", 3: "no end"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in toxicity.score(rows, model).collect():
+        chances = [1 / (1 + math.exp(-z)) for z in _sentence_values(texts[r["doc_id"]], model)]
+        assert r["score"] == pytest.approx(1 - math.prod(1 - p for p in chances), rel=1e-5)
+        assert r["sentences"] == len(chances) and r["worst_score"] == pytest.approx(max(chances), rel=1e-5)
+        assert chances[r["worst"]] == pytest.approx(max(chances), rel=1e-5)
+
+
+def test_first_step_follows_the_gradient():
+    """One step from zero against differences of the weighted log likelihood."""
+    rng = np.random.default_rng(4)
+    labels = np.array([1, 0, 1, 0, 0])
+    weight = np.array([2.0, 0.5, 1.0, 1.5, 1.0])
+    sentences = np.array([2, 1, 3, 2, 1])
+    words = rng.integers(1, 5, sentences.sum())
+    features = rng.integers(0, 6, words.sum())
+    use = np.zeros(toxicity.WIDTH, bool)
+    use[:5] = True
+
+    def likelihood(w, bias):
+        total, at, s = 0.0, 0, 0
+        for label, share, n in zip(labels, weight / weight.mean() / len(labels), sentences, strict=True):
+            clean = 1.0
+            for size in words[s : s + n]:
+                own = [f for f in features[at : at + size] if use[f]]
+                clean *= 1 - 1 / (1 + math.exp(-(sum(w[f] for f in own) + bias)))
+                at += size
+            s += n
+            total += share * (math.log(1 - clean) if label else math.log(clean))
+        return total
+
+    got, bias = toxicity.fit(labels, weight, sentences, words, features, use, epochs=1, rate=0.3, batches=1)
+    zero, h = np.zeros(6), 1e-5
+    for f in range(5):
+        step = np.eye(6)[f] * h
+        slope = (likelihood(zero + step, -5.0) - likelihood(zero - step, -5.0)) / (2 * h)
+        assert got[f] == pytest.approx(0.3 * slope / math.sqrt(1e-6 + slope * slope), rel=1e-5)
+    slope = (likelihood(zero, -5.0 + h) - likelihood(zero, -5.0 - h)) / (2 * h)
+    assert bias == pytest.approx(-5.0 + 0.3 * slope / math.sqrt(1e-6 + slope * slope), rel=1e-5)
+    assert not got[5:].any()

@@ -34,6 +34,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space as the pattern has it, in runs too long for its look-ahead, which would need a
 #: stack as deep as the run.
 _LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+#: A run that long covers three of the characters that lie so far apart.
+_STRIDE, _THREE = 250, re.compile(r"\s{3}")
 _ROW_BITS = 40
 _CACHES: dict[str, dict[str, bytes]] = {}
 
@@ -103,6 +105,8 @@ class Encoder:
         return ids
 
     def _plain(self, text: str) -> bytes:
+        if not _THREE.search(text[::_STRIDE]):
+            return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
         ids, at = [], 0
         for run in _LONG_RUN.finditer(text):
             to = run.end() - (run.end() < len(text))
