@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
+#: Numbers written at a time, so that a sequence takes little memory beside its own.
+_BLOCK = 1 << 18
 
 
 class EliasFano:
@@ -24,11 +26,13 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         width = max(0, (top // max(1, n)).bit_length() - 1)
-        low = _packed(values & _ones(width), width)
-        heads = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
-        bits = (int(heads[-1]) if n else 0) + 3
+        low = _packed(values, width)
+        bits = ((top >> width) + n if n else 0) + 3
         high = np.zeros(-(-bits // 64), np.uint64)
-        np.bitwise_or.at(high, heads >> 6, _ONE << (heads & 63).astype(np.uint64))
+        for i in range(0, n, _BLOCK):
+            heads = (values[i : i + _BLOCK] >> np.uint64(width)).astype(np.int64)
+            heads += np.arange(i, i + len(heads))
+            np.bitwise_or.at(high, heads >> 6, _ONE << (heads & 63).astype(np.uint64))
         zeros = np.cumsum(64 - np.bitwise_count(high).astype(np.int64))
         return cls(np.array([n, width]), low, high, np.append(0, zeros[:-1]))
 
@@ -107,10 +111,12 @@ def _ones(width: int) -> np.uint64:
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each number, end to end."""
     words = np.zeros(-(-len(values) * width // 64) + 2, np.uint64)
-    if width:
-        bit = np.arange(len(values)) * width
+    for i in range(0, len(values) if width else 0, _BLOCK):
+        low = values[i : i + _BLOCK] & _ones(width)
+        bit = np.arange(i, i + len(low)) * width
         word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        np.bitwise_or.at(words, word, values << shift)
-        np.bitwise_or.at(words, word + 1, (values >> (np.uint64(63) - shift)) >> _ONE)
+        np.bitwise_or.at(words, word, low << shift)
+        np.bitwise_or.at(words, word + 1, (low >> (np.uint64(63) - shift)) >> _ONE)
     return words

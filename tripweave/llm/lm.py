@@ -1,217 +1,315 @@
 """Scores of an n-gram language model kept as Elias-Fano tries.
 
-The n-grams of the training rows are dealt out to shards by their context, a hot context by
-ranges of its successors as well.  A shard builds a trie of what it got: the contexts, for each
-a pointer to where its successors begin, and the successors, each coded relative to its
-context, all as Elias-Fano sequences; and for every successor and context quantised counts,
-which make its probability.  The levels are written to a file and mapped.  A successor is looked up by a
-search for the least number not below context and word.
-
-Documents are scored in chunks.  A chunk asks each shard once for the different n-grams it has,
-so what moves is different n-grams per chunk and never a token.  Requests carry the chunk's
+N-grams are paths of words, and a shard has the paths that begin with its words: a trie whose
+root is the shard's vocabulary and whose levels are the bigrams, trigrams and so on, each n-gram
+coded by the place of the n-gram it extends and the number of its last word.  Every level is an
+Elias-Fano sequence, with Elias-Fano pointers to where a place's extensions begin, and quantised
+counts that make its smoothed probabilities.  The levels are written to a file and mapped.  An
+n-gram is found word by word: each is the least number not below (place, word), searched among
+the extensions of the place before.
+
+Documents are scored in chunks.  A chunk asks each shard once for the different paths it has, as a
+tree, so what moves is different n-grams per chunk and never a token.  Requests carry the chunk's
 training counts, so the same exchange builds the model and asks it:
 
-    documents -> chunks (requests to shards) -> shards (trie, replies) -> chunks (scores)
+    documents -> chunks (trees for shards) -> shards (trie, replies) -> chunks (scores)
+
+Extensions of a hot path are dealt over several shards by ranges of their last word.  Such a path
+is a guest, without a count, in the shards that hold its extensions but not itself.
 
 Probabilities interpolate absolute discounting down to unigrams, where all words that training
 has not seen are one: P(w | u) = max(c(uw) - D, 0) / c(u) + D n(u) / c(u) P(w).  There is one
-discount D for each order, from how many n-grams of the whole corpus occur once and twice: shards
-report theirs with every reply, and a code stands for counts, to which the chunk applies D.  A
-shard has a book of 255 counts for its codes; only where it needs more do scores depend, a little,
-on how n-grams are dealt out.
+discount D for each order, from how many n-grams of the whole corpus occur once and twice.
+Counts are exact up to 32,767 and from there one of 32,768 steps of a fixed ratio, whatever
+the number of shards.
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
-import zlib
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripweave.llm.common import ascii_lower, map_arrow
 from tripweave.llm.eliasfano import EliasFano
+from tripweave.plans.lineage import cut_lineage, owns_copies
 
 #: Tokens of a chunk, and bytes of text that make one shard.
-CHUNK, SHARD_BYTES = 2_000_000, 12_000_000
-#: Bits of a successor's hash within its context.
-CHILD_BITS = 40
+CHUNK, SHARD_BYTES = 3_000_000, 20_000_000
+#: Most shards.  A chunk sends one parcel to a shard at most, so parcels grow with the number of
+#: chunks; beyond 1.3 TB of text it is the shards that grow, and executors must hold them.
+MOST_SHARDS = 65_536
+#: Paths looked up at a time.
+_LOOKED_UP = 1 << 18
 _END = xxhash.xxh64_intdigest(b"\n end")
 _BEGIN = xxhash.xxh64_intdigest(b"\n begin")
-_PARCEL = "dest long, chunk long, part int, a binary, b binary, c binary, d binary"
-_NAMES = ("dest", "chunk", "part", "a", "b", "c", "d")
+#: Parts: 0 documents of a chunk, 1 a tree or its reply, 2 sums of a shard.
+_PARCEL = "dest long, chunk long, part int, data array<binary>, sums array<long>"
+_NAMES = ("dest", "chunk", "part", "data", "sums")
+
+
+# --- numbers ------------------------------------------------------------------------
+
+#: Counts below are exact; codes above stand for steps of one ratio, the last for 10**15.
+_EXACT = 2**15
+_RATIO = (1e15 / _EXACT) ** (1 / _EXACT)
+
+
+def _code(counts: np.ndarray) -> np.ndarray:
+    """Counts as 16 bits, rounded down."""
+    counts = np.asarray(counts, np.int64)
+    codes = counts.copy()
+    large = np.flatnonzero(counts >= _EXACT)
+    if len(large):
+        codes[large] = np.minimum(np.searchsorted(_book(), counts[large], side="right") - 1, 2 * _EXACT - 1)
+    return codes.astype(np.uint16)
+
+
+@functools.cache
+def _book() -> np.ndarray:
+    """The least count of each code, and of one more."""
+    steps = np.ceil(_EXACT * _RATIO ** np.arange(_EXACT + 1)).astype(np.int64)
+    return np.append(np.arange(_EXACT), steps)
+
+
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    """Numbers of a little-endian ``kind`` by byte planes, compressed."""
+    planes = np.ascontiguousarray(values, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)
+    return zstandard.compress(np.ascontiguousarray(planes.T).tobytes(), 1)
+
 
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-# --- hashes and places --------------------------------------------------------------
 
+def _steps(values: np.ndarray, kind: str) -> bytes:
+    """Numbers by what each is more than the one before, which is little in rising runs."""
+    values = np.ascontiguousarray(values, kind)
+    return _pack(np.diff(values, prepend=values.dtype.type(0)), kind)
 
-def _mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a context with one more word at its end."""
-    x = context * np.uint64(0x9E3779B97F4A7C15) + word
+
+def _summed(data: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(_unpack(data, kind), dtype=kind)
+
+
+def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different numbers (not below 0), rising, and which each value is.  Overwrites ``values``."""
+    bits = len(values).bit_length()
+    if not len(values) or int(values.max()) >> (63 - bits):
+        different, of = np.unique(values, return_inverse=True)
+        return different, of.astype(np.int32)
+    # Sorting numbers with their places in the low bits is faster than sorting places, and takes
+    # little memory.
+    kind = values.dtype.type
+    values <<= kind(bits)
+    values |= np.arange(len(values), dtype=kind)
+    values.sort()
+    place = np.empty(len(values), np.int32)
+    np.bitwise_and(values, kind((1 << bits) - 1), out=place, casting="unsafe")
+    values >>= kind(bits)
+    new = np.append(True, values[1:] != values[:-1])
+    of = np.empty(len(values), np.int32)
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    of[place] = number
+    return values[new], of
+
+
+def _mixed(path: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a path with one more word at its end."""
+    x = path * np.uint64(0x9E3779B97F4A7C15) + word
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
 class Places:
-    """Which shard holds a successor of a context.  ``spread`` gives hot contexts their number
-    of ranges; it only evens out the shards.  Scores depend on it only through quantisation, as a
-    shard of many different counts rounds them to those in its book."""
+    """Which shard holds a path, by the upper 32 bits of its words' hashes.  ``spread`` gives the
+    hash of hot paths the number of shards that their extensions are dealt over; it only evens
+    out the shards."""
 
     def __init__(self, shards: int, spread: dict[int, int]):
         self.shards = shards
         hot = sorted(spread)
         self.hot = np.array(hot, np.uint64)
-        self.ranges = np.array([spread[h] for h in hot], np.uint64)
+        self.ranges = np.array([spread[h] for h in hot], np.int64)
 
-    def spreads(self, contexts: np.ndarray) -> np.ndarray:
+    def spreads(self, paths: np.ndarray) -> np.ndarray:
         if not len(self.hot):
-            return np.ones(len(contexts), np.uint64)
-        at = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
-        return np.where(self.hot[at] == contexts, self.ranges[at], np.uint64(1))
-
-    def of(self, contexts: np.ndarray, children: np.ndarray) -> np.ndarray:
-        base = contexts >> np.uint64(20)
-        step = (children * self.spreads(contexts)) >> np.uint64(CHILD_BITS)
-        return ((base + step) % np.uint64(self.shards)).astype(np.int64)
+            return np.ones(len(paths), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, paths), len(self.hot) - 1)
+        return np.where(self.hot[at] == paths, self.ranges[at], 1)
 
     def of_words(self, words: np.ndarray) -> np.ndarray:
-        return ((words >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
+        return (words % np.uint64(self.shards)).astype(np.int32)
 
+    def of_extensions(self, shard: np.ndarray, spreads: np.ndarray, words: np.ndarray) -> np.ndarray:
+        step = words * spreads.astype(np.uint64)
+        step >>= np.uint64(32)
+        return (shard + step.astype(np.int32)) % np.int32(self.shards)
 
-# --- chunks -------------------------------------------------------------------------
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Small unsigned numbers by byte planes, compressed."""
-    raw = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)
-    return zlib.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
 
+# --- chunks -------------------------------------------------------------------------
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
+class Level:
+    """Different n-grams of a chunk: ``owner`` is the number of the n-gram each extends, ``child``
+    its last word; ``begins`` says which n-gram begins at each place, -1 where none does."""
 
-def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(values, return_inverse=True)
+    def __init__(self, owner: np.ndarray, child: np.ndarray, begins: np.ndarray):
+        self.owner, self.child, self.begins = owner, child, begins
+        self.size = len(child)
 
 
 class Chunk:
-    """Different n-grams of some documents: ``flat`` has word numbers, each document ended by
-    the end mark's, ``sizes`` its tokens, and ``words`` the hash of each number."""
+    """Trees of some documents: ``flat`` has word numbers, each document ended by the end mark's,
+    ``sizes`` its tokens, and ``heads`` the upper half of the hash of each number."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray, words: np.ndarray, order: int):
-        self.flat, self.sizes, self.words = flat, sizes, words
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, heads: np.ndarray, order: int, places: Places):
+        self.flat, self.sizes = flat, sizes
+        self.heads = np.append(heads, _BEGIN >> 32).astype(np.uint64)
+        numbers = len(self.heads)
         self.first = np.cumsum(sizes) - sizes
-        self.levels: list[dict] = []
-        numbers = len(words) + 1
-        place = np.arange(len(flat)) - np.repeat(self.first, sizes)
-        # Context of each token: its number among this level's contexts; the start mark last.
-        context = np.empty(len(flat), np.int64)
-        context[1:] = flat[:-1]
-        context[self.first] = len(words)
-        hashes = _mixed(np.append(words, np.uint64(_BEGIN)), np.uint64(2))
+        number = np.arange(len(sizes))
+        # All tokens, with the start mark before each document.
+        everywhere = np.arange(len(flat) + len(sizes), dtype=np.int32)
+        begun = np.full(len(everywhere), numbers - 1, np.int32)
+        begun[everywhere[: len(flat)] + np.repeat(number + 1, sizes).astype(np.int32)] = flat
+        room = np.repeat((self.first + number + sizes).astype(np.int32), sizes + 1)
+        room -= everywhere
+        del everywhere
+        self.levels = [Level(np.zeros(numbers, np.int32), np.arange(numbers, dtype=np.int32), begun)]
         for n in range(2, order + 1):
-            # A token too near the start has no context of this length.
-            has = np.flatnonzero(place >= n - 2)
-            pairs, of = _unique(context[has] * numbers + flat[has])
-            owner, child = pairs // numbers, pairs % numbers
-            self.levels.append({"has": has, "of": of, "owner": owner, "child": child, "hashes": hashes})
-            if n < order:
-                pair_of = np.full(len(flat), -1, np.int64)
-                pair_of[has] = of
-                before = np.full(len(flat), 0, np.int64)
-                before[1:] = pair_of[:-1]
-                context = before
-                hashes = _mixed(hashes[owner], words[child])
-
-    def children(self, level: dict) -> np.ndarray:
-        return self.words[level["child"]] >> np.uint64(64 - CHILD_BITS)
-
-    def dealt(self, level: dict, places: Places) -> tuple[np.ndarray, np.ndarray]:
-        """Order of the level's pairs by shard, and where each shard's begin."""
-        shard = places.of(level["hashes"][level["owner"]], self.children(level))
-        order = np.argsort(shard, kind="stable")
-        return order, np.searchsorted(shard[order], np.arange(places.shards + 1))
-
-    def shared(self, level: dict, places: Places) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts that several shards hold, once for each such shard, in order of shard, and
-        where each shard's begin: their sums come from all, also where the chunk has no successor."""
-        owner = np.unique(level["owner"])
-        spreads = places.spreads(level["hashes"][owner]).astype(np.int64)
-        owner, spreads = owner[spreads > 1], spreads[spreads > 1]
-        step = np.arange(spreads.sum()) - np.repeat(np.cumsum(spreads) - spreads, spreads)
-        owner = np.repeat(owner, spreads)
-        base = level["hashes"][owner] >> np.uint64(20)
-        shard = ((base + step.astype(np.uint64)) % np.uint64(places.shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        return owner[order], np.searchsorted(shard[order], np.arange(places.shards + 1))
-
-    def dealt_words(self, places: Places) -> tuple[np.ndarray, np.ndarray]:
-        shard = places.of_words(self.words)
-        order = np.argsort(shard, kind="stable")
-        return order, np.searchsorted(shard[order], np.arange(places.shards + 1))
-
-
-def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First places and lengths of the runs of equal values."""
-    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
-    return first, np.diff(np.append(first, len(owner)))
+            starts = np.flatnonzero(room >= n - 1).astype(np.int32)
+            pairs = self.levels[-1].begins[starts].astype(np.int64)
+            pairs *= numbers
+            pairs += begun[starts + (n - 1)]
+            pairs, of = _unique(pairs)
+            begins = np.full(len(begun), -1, np.int32)
+            begins[starts] = of
+            del starts, of
+            owner = (pairs // numbers).astype(np.int32)
+            self.levels.append(Level(owner, (pairs % numbers).astype(np.int32), begins))
+            del pairs
+        del room
+        self._deal(places)
+
+    def _deal(self, places: Places) -> None:
+        """Nodes of each level by shard (``nodes``), where each shard's begin (``bounds``), and
+        which of them are guests there (``guest``)."""
+        last = len(self.levels) - 1
+        shards, extra = [], []
+        for n, level in enumerate(self.levels):
+            if n == 0:
+                shard, paths = places.of_words(self.heads), self.heads
+            else:
+                shard = shard[level.owner]
+                dealt = np.flatnonzero((spreads > 1)[level.owner])
+                own = level.owner[dealt]
+                shard[dealt] = places.of_extensions(shard[dealt], spreads[own], self.heads[level.child[dealt]])
+                paths = _mixed(paths[level.owner], self.heads[level.child]) if n < last else None
+            shards.append(shard)
+            # A path whose extensions are dealt out is a guest wherever some may be, also where the
+            # chunk has none: how many it has in all comes from every such shard.
+            spreads = places.spreads(paths) if n < last else np.ones(0, np.int64)
+            hot = np.flatnonzero(spreads > 1)
+            step = np.arange(spreads[hot].sum()) - np.repeat(np.cumsum(spreads[hot]) - spreads[hot], spreads[hot])
+            hot = np.repeat(hot, spreads[hot])
+            extra.append((hot, (shard[hot] + step) % places.shards))
+        for n in range(last, -1, -1):
+            level = self.levels[n]
+            node, shard = extra[n]
+            if n < last:
+                # The path before a guest is a guest with it.
+                longer, where = extra[n + 1]
+                node = np.append(node, self.levels[n + 1].owner[longer])
+                shard = np.append(shard, where)
+            away = shard != shards[n][node]
+            coded = np.unique(shard[away] * level.size + node[away])
+            extra[n] = coded % max(level.size, 1), coded // max(level.size, 1)
+            nodes = np.append(np.arange(level.size, dtype=np.int32), extra[n][0].astype(np.int32))
+            by = np.append(shards[n].astype(np.uint16), extra[n][1].astype(np.uint16))
+            if len(coded):
+                order = np.argsort(nodes, kind="stable")
+                nodes, by = nodes[order], by[order]
+            order = np.argsort(by, kind="stable")
+            level.nodes, by = nodes[order], by[order]
+            level.guest = shards[n][level.nodes] != by
+            level.bounds = np.searchsorted(by, np.arange(places.shards + 1))
+
+    def asked(self) -> np.ndarray:
+        """Shards that the chunk has paths for."""
+        return np.flatnonzero(np.diff(self.levels[0].bounds))
+
+    def own(self, level: Level, shard: int) -> slice:
+        return slice(level.bounds[shard], level.bounds[shard + 1])
+
+    def tree(self, shard: int, words: np.ndarray, counts: list[np.ndarray]) -> list[bytes]:
+        """What the shard gets: its words' hashes, and for each level the words, how many extend
+        each of the level before, and training counts (0 for guests)."""
+        used = np.zeros(len(words), bool)
+        for level in self.levels:
+            used[level.child[level.nodes[self.own(level, shard)]]] = True
+        number = np.cumsum(used) - 1
+        data = [_steps(words[used], "<u8")]
+        before = None
+        for level, seen in zip(self.levels, counts, strict=True):
+            own = self.own(level, shard)
+            nodes = level.nodes[own]
+            data.append(_pack(number[level.child[nodes]], "<u4"))
+            if before is not None:
+                parent = np.searchsorted(before, level.owner[nodes])
+                data.append(_pack(np.bincount(parent, minlength=len(before)), "<u4"))
+            data.append(_pack(np.where(level.guest[own], 0, seen[nodes]), "<u4"))
+            before = nodes
+        return data
 
 
 def _parcels(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays(
         [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(_NAMES)
     )
 
 
 def _requests(docs: list[tuple], vocabulary: dict[bytes, int], label: int, places: Places, order: int):
-    """Parcels of one chunk: part 0 its documents, 1 its words, n its n-grams."""
-    # Frequent words get small numbers, which pack well.
+    """Parcels of one chunk: its documents, and a tree for each shard that has some of it.  Empties
+    ``docs`` and ``vocabulary``, which are large."""
+    # Frequent words get small numbers, and words about as frequent rising hashes: both pack well.
     used = np.concatenate([d[2] for d in docs])
     counts = np.bincount(used, minlength=len(vocabulary))
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-    words = np.empty(len(counts), np.uint64)
     hashed = (_END if w == b"" else xxhash.xxh64_intdigest(w) for w in vocabulary)
-    words[rank] = np.fromiter(hashed, np.uint64, len(counts))
-    flat = rank[used]
+    words = np.fromiter(hashed, np.uint64, len(counts))
+    order_of = np.lexsort((words, -np.log2(counts).astype(np.int64)))
+    rank = np.empty(len(counts), np.int32)
+    rank[order_of] = np.arange(len(counts), dtype=np.int32)
+    words, flat = words[order_of], rank[used]
+    vocabulary.clear()
+    del used, rank, counts, order_of
     sizes = np.array([len(d[2]) for d in docs], np.int64)
     train = np.array([d[1] for d in docs], bool)
-    chunk = Chunk(flat, sizes, words, order)
-    trained = np.repeat(train, sizes)
     keys = [(-1 if d[0] is None else d[0], d[0] is not None) for d in docs]
     table = np.array([[k, known, t, s] for (k, known), t, s in zip(keys, train, sizes, strict=True)], np.int64)
-    rows = [(label % places.shards, label, 0, table.tobytes(), words.tobytes(), _pack(flat), None)]
-    seen = np.bincount(flat[trained], minlength=len(words))
-    by, bounds = chunk.dealt_words(places)
-    for shard in range(places.shards):
-        own = by[bounds[shard] : bounds[shard + 1]]
-        rows.append((shard, label, 1, words[own].tobytes(), None, None, _pack(seen[own])))
-    for n, level in enumerate(chunk.levels, 2):
-        own = level["of"][trained[level["has"]]]
-        seen = np.bincount(own, minlength=len(level["owner"]))
-        by, bounds = chunk.dealt(level, places)
-        child = chunk.children(level)
-        others, begin = chunk.shared(level, places)
-        for shard in range(places.shards):
-            own = by[bounds[shard] : bounds[shard + 1]]
-            first, length = _runs(level["owner"][own])
-            more = others[begin[shard] : begin[shard + 1]]
-            contexts = level["hashes"][np.append(level["owner"][own[first]], more)]
-            length = np.append(length, np.zeros(len(more), np.int64))
-            five = child[own].view(np.uint8).reshape(-1, 8)[:, : CHILD_BITS // 8]
-            rows.append(
-                (shard, label, n, contexts.tobytes(), _pack(length), np.ascontiguousarray(five).tobytes(), _pack(seen[own]))
-            )
-    return rows
+    docs.clear()
+    heads = (words >> np.uint64(32)).astype(np.uint32)
+    yield label % places.shards, label, 0, [_pack(table, "<i8"), _steps(heads, "<u4"), _pack(flat, "<u4")], None
+    chunk = Chunk(flat, sizes, heads, order, places)
+    words = np.append(words, np.uint64(_BEGIN))
+    trained = np.repeat(train, sizes + 1)
+    seen = [np.bincount(v.begins[trained & (v.begins >= 0)], minlength=v.size) for v in chunk.levels]
+    # The start mark is a context, no token.
+    seen[0][-1] = 0
+    for shard in chunk.asked().tolist():
+        yield shard, label, 1, chunk.tree(shard, words, seen), None
 
 
 # --- shards -------------------------------------------------------------------------
@@ -222,236 +320,205 @@ def discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def _quantised(parts: np.ndarray, wholes: np.ndarray, less: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes from 1 for pairs of counts, and their book of 256 pairs (0: nothing).
-
-    Up to 255 different pairs stand for themselves.  Of more, a code stands for the pair of the
-    least (part - less) / whole among its own, so quantised probabilities hardly add up to more
-    than the exact ones.  ``less`` decides only which pairs share a code.
-    """
-    book = np.zeros((2, 256))
-    book[1] = 1
-    if not len(parts):
-        return np.zeros(0, np.uint8), book
-    different, rank = _unique(wholes.astype(np.int64))
-    coded, of = _unique(parts.astype(np.int64) * len(different) + rank)
-    pairs = np.stack([coded // len(different), different[coded % len(different)]])
-    codes = np.arange(1, pairs.shape[1] + 1)
-    if pairs.shape[1] > 255:
-        values = np.log((pairs[0] - less) / pairs[1])
-        by = np.argsort(values, kind="stable")
-        # Steps of one ratio, so that no probability is far off, however rare such n-grams are.
-        low, high = values[by[0]], values[by[-1]]
-        group = np.minimum((values[by] - low) * (255 / max(high - low, 1e-9)), 254).astype(np.int64)
-        first, length = _runs(group)
-        codes[by] = np.repeat(np.arange(1, len(first) + 1), length)
-        pairs = pairs[:, by[first]]
-    book[:, 1 : pairs.shape[1] + 1] = pairs
-    return codes[of].astype(np.uint8), book
-
-
 class Trie:
-    """One level of contexts over one of successors, in a mapped file."""
+    """Paths of words in a mapped file, each level an Elias-Fano sequence."""
 
-    PARTS = ("contexts", "pointers", "successors")
+    def __init__(self, folder: str, order: int):
+        self.load = lambda name: np.load(Path(folder, f"{name}.npy"), mmap_mode="r")
+        self.words = self._sequence("words")
+        self.levels = [self._sequence(f"paths-{n}") for n in range(2, order + 1)]
+        self.pointers = [self._sequence(f"pointers-{n}") for n in range(1, order)]
+        self.counts = [self.load(f"counts-{n}") for n in range(1, order + 1)]
+        self.kinds = [self.load(f"kinds-{n}") for n in range(1, order)]
 
-    def __init__(self, folder: str):
-        load = lambda name: np.load(Path(folder, f"{name}.npy"), mmap_mode="r")
-        for part in self.PARTS:
-            setattr(self, part, EliasFano(*(load(f"{part}-{f}") for f in EliasFano.FIELDS)))
-        self.alpha, self.gamma = load("alpha"), load("gamma")
-        self.alpha_book, self.gamma_book = load("alpha-book"), load("gamma-book")
-        self.totals, self.kinds, self.sums = load("totals"), load("kinds"), load("sums")
+    def _sequence(self, name: str) -> EliasFano:
+        return EliasFano(*(self.load(f"{name}-{f}") for f in EliasFano.FIELDS))
 
     @staticmethod
-    def write(folder: str, contexts: np.ndarray, children: np.ndarray, counts: np.ndarray) -> None:
-        """``contexts`` and ``children`` are parallel, with repeats; ``counts`` are added up."""
-        seen = counts > 0
-        contexts, children, counts = contexts[seen], children[seen], counts[seen]
-        hashes, owner = _unique(contexts)
-        coded = (owner.astype(np.uint64) << np.uint64(CHILD_BITS)) | children
-        coded, of = _unique(coded)
-        counts = np.bincount(of, counts, minlength=len(coded))
-        owner = (coded >> np.uint64(CHILD_BITS)).astype(np.int64)
-        pointers = np.searchsorted(owner, np.arange(len(hashes) + 1))
-        totals = np.bincount(owner, counts, minlength=len(hashes))
-        kinds = np.diff(pointers)
-        sums = np.array([(counts == 1).sum(), (counts == 2).sum()], np.int64)
-        alpha, alpha_book = _quantised(counts, totals[owner], discount(*map(int, sums)))
-        gamma, gamma_book = _quantised(kinds, totals, 0.0)
-        save = lambda name, values: np.save(Path(folder, f"{name}.npy"), values)
-        for part, values in zip(Trie.PARTS, (hashes, pointers, coded), strict=True):
-            sequence = EliasFano.of(values)
-            for field in EliasFano.FIELDS:
-                save(f"{part}-{field}", getattr(sequence, field))
-        save("alpha", alpha)
-        save("gamma", gamma)
-        save("alpha-book", alpha_book)
-        save("gamma-book", gamma_book)
-        save("totals", totals.astype(np.float64))
-        save("kinds", kinds.astype(np.float64))
-        save("sums", sums)
-
-    def find_contexts(self, hashes: np.ndarray) -> np.ndarray:
-        return self.contexts.find(hashes)
-
-    def find_successors(self, context: np.ndarray, children: np.ndarray) -> np.ndarray:
-        """Places of successors, -1 where the context is -1 or lacks them."""
-        value = (np.maximum(context, 0).astype(np.uint64) << np.uint64(CHILD_BITS)) | children
-        place = self.successors.successor(value)
-        begin = self.pointers.at(np.maximum(context, 0)) if self.contexts.n else np.zeros(0, np.uint64)
-        # The search is within the context's own successors: beyond them nothing is found.
-        end = self.pointers.at(np.maximum(context, 0) + 1) if self.contexts.n else np.zeros(0, np.uint64)
-        if not self.contexts.n:
-            return np.full(len(value), -1)
-        inside = (context >= 0) & (place >= begin.astype(np.int64)) & (place < end.astype(np.int64))
-        found = np.full(len(value), -1)
-        at = np.flatnonzero(inside)
-        same = self.successors.at(place[at]) == value[at]
-        found[at[same]] = place[at[same]]
+    def write(folder: str, words: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """``words`` are sorted hashes.  A level has, sorted, the codes of its paths, parent * words
+        + word, where a parent is a place in the level before, and their counts.  Paths without a
+        count stay only where they lead to one with a count."""
+        keep = [np.ones(len(words), bool), *(counts > 0 for _, counts in levels[1:])]
+        for n in range(len(levels) - 1, 1, -1):
+            keep[n - 1][levels[n][0][keep[n]] // len(words)] = True
+
+        def save(name, values):
+            if not name.startswith(("counts", "kinds")):
+                sequence = EliasFano.of(values)
+                for field in EliasFano.FIELDS:
+                    np.save(Path(folder, f"{name}-{field}.npy"), getattr(sequence, field))
+            else:
+                np.save(Path(folder, f"{name}.npy"), values)
+
+        save("words", words)
+        number = np.arange(len(words))
+        save("counts-1", levels[0][1])
+        size = len(words)
+        for n, (codes, counts) in enumerate(levels[1:], 2):
+            codes, counts = codes[keep[n - 1]], counts[keep[n - 1]]
+            parent = number[codes // len(words)]
+            codes %= len(words)
+            codes += parent * len(words)
+            save(f"paths-{n}", codes)
+            save(f"counts-{n}", _code(counts))
+            save(f"pointers-{n - 1}", np.searchsorted(parent, np.arange(size + 1)))
+            kinds = np.bincount(parent[counts > 0], minlength=size)
+            save(f"kinds-{n - 1}", kinds if n == 2 else _code(kinds))
+            number, size = np.cumsum(keep[n - 1]) - 1, len(codes)
+            del codes, counts, parent
+
+    def find(self, n: int, place: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Places of the n-grams that extend those at ``place`` by ``words``; -1 where the place
+        is -1 or has no such extension."""
+        found = np.full(len(place), -1)
+        # The search is among a place's own extensions: where it has none, nothing is looked up.
+        at, of = _unique(np.maximum(place, 0).astype(np.int64))
+        level, pointers = self.levels[n - 2], self.pointers[n - 2]
+        if not len(at) or not level.n:
+            return found
+        begin, end = pointers.at(at).astype(np.int64), pointers.at(at + 1).astype(np.int64)
+        open_ = np.flatnonzero((place >= 0) & (begin < end)[of])
+        code = (place[open_].astype(np.int64) * self.words.n + words[open_]).astype(np.uint64)
+        reached = level.successor(code)
+        inside = reached < end[of[open_]]
+        same = level.at(reached[inside]) == code[inside]
+        found[open_[inside][same]] = reached[inside][same]
         return found
 
 
-def _children(data: bytes) -> np.ndarray:
-    five = np.frombuffer(data, np.uint8).reshape(-1, CHILD_BITS // 8)
-    eight = np.zeros((len(five), 8), np.uint8)
-    eight[:, : CHILD_BITS // 8] = five
-    return eight.view(np.uint64).ravel()
-
-
-def _replies(shard: int, requests: dict[int, list[tuple]], places: Places):
-    """Answers of one shard, a parcel per chunk and part.
-
-    Part 1 gets counts of words, and the shard's sums that make up those of the corpus.  Part n
-    gets codes and books, exact sums of those contexts that several shards share, and how many
-    n-grams the shard has once and twice.
-    """
-    for part, rows in sorted(requests.items()):
-        if part == 1:
-            hashes = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
-            counts = np.concatenate([_unpack(r[6]) for r in rows]).astype(np.int64)
-            words, of = _unique(hashes)
-            total = np.bincount(of, counts, minlength=len(words)).astype(np.int64)
-            sums = np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()], np.int64)
-            at = 0
-            for r in rows:
-                n = len(r[3]) // 8
-                yield (r[1], shard, 1, _pack_long(total[of[at : at + n]]), sums.tobytes(), None, None)
-                at += n
-            continue
-        contexts, children, counts = [], [], []
-        for r in rows:
-            contexts.append(np.repeat(np.frombuffer(r[3], np.uint64), _unpack(r[4])))
-            children.append(_children(r[5]))
-            counts.append(_unpack(r[6]))
-        with tempfile.TemporaryDirectory(prefix="trie-") as folder:
-            Trie.write(folder, np.concatenate(contexts), np.concatenate(children), np.concatenate(counts))
-            del contexts, children, counts
-            trie = Trie(folder)
-            books = np.concatenate([trie.alpha_book, trie.gamma_book, trie.sums], axis=None).astype("<f8").tobytes()
-            for r in rows:
-                asked = np.frombuffer(r[3], np.uint64)
-                context = trie.find_contexts(asked)
-                successor = trie.find_successors(np.repeat(context, _unpack(r[4])), _children(r[5]))
-                gamma = np.where(context >= 0, trie.gamma[context] if len(trie.gamma) else 0, 0).astype(np.uint8)
-                alpha = np.where(successor >= 0, trie.alpha[successor] if len(trie.alpha) else 0, 0).astype(np.uint8)
-                hot = np.flatnonzero(places.spreads(asked) > 1)
-                own = context[hot]
-                exact = np.zeros((2, len(hot)))
-                if len(trie.totals):
-                    exact[0] = np.where(own >= 0, trie.totals[own], 0)
-                    exact[1] = np.where(own >= 0, trie.kinds[own], 0)
-                codes = (zlib.compress(c.tobytes(), 1) for c in (alpha, gamma))
-                yield (r[1], shard, part, *codes, books, exact.tobytes())
-            del trie
-
-
-def _pack_long(values: np.ndarray) -> bytes:
-    return zlib.compress(np.asarray(values, "<i8").tobytes(), 1)
+def _replies(shard: int, trees: list[tuple], order: int):
+    """Answers of one shard: for each tree, in its order, counts of its paths and how many words
+    extend them, exact for single words and coded for others.  Then the shard's sums, which make
+    up those of the corpus: for each level all counts, paths, and paths that occur once and twice."""
+    hashes = [_summed(t[3][0], "<u8") for t in trees]
+    words, number = np.unique(np.concatenate(hashes), return_inverse=True)
+    number = np.split(number.astype(np.int32), np.cumsum([len(h) for h in hashes])[:-1])
+    del hashes
+    levels, asked, parts = [], [], []
+    for n in range(1, order + 1):
+        codes = []
+        for i, tree in enumerate(trees):
+            child = number[i][_unpack(tree[3][1 if n == 1 else 3 * n - 3], "<u4")]
+            if n > 1:
+                parent = np.repeat(parts[-1][i], _unpack(tree[3][3 * n - 2], "<u4"))
+                child = parent.astype(np.int64) * len(words) + child
+            codes.append(child)
+        sizes = np.cumsum([len(c) for c in codes])
+        codes = np.concatenate(codes)
+        # Every word is a root, so that places of roots are numbers of words.
+        different, of = (np.arange(len(words)), codes) if n == 1 else _unique(codes)
+        del codes, child
+        parts.append(np.split(of, sizes[:-1]))
+        total = np.zeros(len(different), np.int64)
+        for own, tree in zip(parts[-1], trees, strict=True):
+            # A tree has each path once.
+            total[own] += _unpack(tree[3][2 if n == 1 else 3 * n - 1], "<u4")
+        levels.append((different, total))
+        asked.append(different)
+    del number
+    sums = [f for _, c in levels for f in (c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum())]
+    with tempfile.TemporaryDirectory(prefix="trie-") as folder:
+        Trie.write(folder, words, levels)
+        del levels, different, total
+        trie = Trie(folder, order)
+        # Different paths are looked up once, whatever the number of trees that ask for them.
+        place = trie.words.find(words)
+        counts, kinds = [trie.counts[0][place]], []
+        for n in range(2, order + 1):
+            kinds.append(_taken(trie.kinds[n - 2], place))
+            # Looked up some at a time, so that it takes little memory beside the trie.
+            before, place = place, np.empty(len(asked[n - 1]), np.int32)
+            for at in range(0, len(place), _LOOKED_UP):
+                code = asked[n - 1][at : at + _LOOKED_UP]
+                place[at : at + _LOOKED_UP] = trie.find(n, before[code // len(words)], code % len(words))
+            counts.append(_taken(trie.counts[n - 1], place))
+        del trie
+    for i, tree in enumerate(trees):
+        data = []
+        for n in range(order):
+            own = parts[n][i]
+            data.append(_pack(counts[n][own], "<u2" if n else "<i8"))
+            if n + 1 < order:
+                data.append(_pack(kinds[n][own], "<u2" if n else "<i8"))
+        yield tree[1], shard, 1, data, None
+    yield -1, shard, 2, None, [int(s) for s in sums]
+
+
+def _taken(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The values at places, 0 where there is none."""
+    if not len(values):
+        return np.zeros(len(place), values.dtype)
+    return np.where(place >= 0, values[place], 0).astype(values.dtype)
 
 
 # --- scores -------------------------------------------------------------------------
 
 
-def _scores(parcels: list[tuple], places: Places, order: int) -> dict[str, np.ndarray]:
+def _scores(parcels: list[tuple], places: Places, order: int, sums: np.ndarray) -> dict[str, np.ndarray]:
     """Columns of the result for the documents of one chunk."""
-    replies: dict[int, dict[int, tuple]] = {}
-    for p in parcels:
-        if p[2] == 0:
-            table = np.frombuffer(p[3], np.int64).reshape(-1, 4)
-            words = np.frombuffer(p[4], np.uint64)
-            flat = _unpack(p[5]).astype(np.int64)
-        else:
-            replies.setdefault(p[2], {})[p[1]] = p
+    mine = next(p for p in parcels if p[2] == 0)
+    table = _unpack(mine[3][0], "<i8").reshape(-1, 4)
     sizes = table[:, 3]
-    chunk = Chunk(flat, sizes, words, order)
-    counts = np.zeros(len(words), np.int64)
-    sums = np.zeros(4, np.int64)
-    by, bounds = chunk.dealt_words(places)
-    for shard, p in replies[1].items():
-        counts[by[bounds[shard] : bounds[shard + 1]]] = np.frombuffer(zlib.decompress(p[3]), "<i8")
-        sums += np.frombuffer(p[4], np.int64)
-    tokens, different, once, twice = map(int, sums)
+    flat = _unpack(mine[3][2], "<u4").astype(np.int32)
+    chunk = Chunk(flat, sizes, _summed(mine[3][1], "<u4"), order, places)
+    counts = [np.zeros(v.size, np.int64) for v in chunk.levels]
+    most = [np.zeros(v.size, np.int64) for v in chunk.levels]
+    kinds = [np.zeros(v.size, np.int64) for v in chunk.levels]
+    book = _book()
+    for p in parcels:
+        if p[2] != 1:
+            continue
+        for n, level in enumerate(chunk.levels):
+            nodes = level.nodes[chunk.own(level, p[1])]
+            at = 2 * n
+            code = _unpack(p[3][at], "<u2" if n else "<i8")
+            counts[n][nodes] += book[code] if n else code
+            if n + 1 < order:
+                # A whole is the largest count of its code, so that parts never exceed it.
+                most[n][nodes] += np.where(code > 0, book[code.astype(np.int64) + 1] - 1, 0) if n else code
+                code = _unpack(p[3][at + 1], "<u2" if n else "<i8")
+                kinds[n][nodes] += book[code] if n else code
+    tokens, different, once, twice = map(int, sums[:4])
     less = discount(once, twice)
+    single = counts[0]
     if tokens:
-        single = np.where(counts > 0, (counts - less) / tokens, less * different / tokens)
+        p = np.where(single > 0, (single - less) / tokens, less * different / tokens)[chunk.flat]
     else:
-        single = np.ones(len(words))
-    p = single[flat]
-    for n, level in enumerate(chunk.levels, 2):
-        owner = level["owner"]
-        alpha, share = np.zeros(len(owner)), np.ones(len(owner))
-        contexts = len(level["hashes"])
-        gamma, total, kinds = np.zeros(contexts), np.zeros(contexts), np.zeros(contexts)
-        spreads = places.spreads(level["hashes"])
-        by, bounds = chunk.dealt(level, places)
-        others, begin = chunk.shared(level, places)
-        books = {shard: np.frombuffer(r[5], "<f8") for shard, r in replies[n].items()}
-        less = discount(*(int(sum(b[1024 + i] for b in books.values())) for i in range(2)))
-        for shard, r in replies[n].items():
-            own = by[bounds[shard] : bounds[shard + 1]]
-            first, length = _runs(owner[own])
-            asked = owner[own[first]]
-            more = others[begin[shard] : begin[shard + 1]]
-            count, whole, kind, context = books[shard][:1024].reshape(4, 256)
-            alpha[own] = (np.maximum(count - less, 0) / whole)[np.frombuffer(zlib.decompress(r[3]), np.uint8)]
-            found = (less * kind / context)[np.frombuffer(zlib.decompress(r[4]), np.uint8)]
-            hot = spreads[asked] > 1
-            gamma[asked[~hot]] = found[: len(asked)][~hot]
-            exact = np.frombuffer(r[6], np.float64).reshape(2, -1)
-            total[more] += exact[0, hot.sum() :]
-            kinds[more] += exact[1, hot.sum() :]
-            # What a shard divides by is its own part of a shared context's count.
-            within = np.ones(len(asked))
-            within[hot] = exact[0, : hot.sum()]
-            share[own] = np.repeat(within, length)
-        shared = spreads > 1
-        gamma[shared] = less * kinds[shared] / np.maximum(total[shared], 1)
-        known = gamma > 0
-        scale = np.where(shared, np.maximum(total, 1), 1.0)
-        pair_alpha = alpha * share / scale[owner]
-        lower = p[level["has"]]
-        of, own = level["of"], owner[level["of"]]
-        p[level["has"]] = np.where(known[own], pair_alpha[of] + gamma[own] * lower, lower)
-    base = np.log10((counts + 0.5) / (tokens + 0.5 * (different + 1)))[flat]
+        p = np.ones(len(chunk.flat))
+    # As a context the start mark occurs as often as the end mark, which ends every document.
+    most[0][-1] = single[chunk.flat[-1]]
+    marks = np.repeat(np.arange(1, len(sizes) + 1, dtype=np.int32), sizes + 1)
+    for n, level in enumerate(chunk.levels[1:], 1):
+        less = discount(*map(int, sums[4 * n + 2 : 4 * n + 4]))
+        whole = most[n - 1][level.owner]
+        known = whole > 0
+        own = np.where(known, np.maximum(counts[n] - less, 0) / np.maximum(whole, 1), 0.0)
+        share = np.where(known, less * kinds[n - 1][level.owner] / np.maximum(whole, 1), 1.0)
+        # Numbers among the tokens of the n-grams' last words: places less the start marks before.
+        for at in range(0, len(level.begins), _LOOKED_UP):
+            starts = at + np.flatnonzero(level.begins[at : at + _LOOKED_UP] >= 0)
+            token, of = starts + n - marks[starts], level.begins[starts]
+            p[token] = own[of] + share[of] * p[token]
+    base = np.log10((single + 0.5) / (tokens + 0.5 * (different + 1)))[chunk.flat]
     return {
         "doc_id": table[:, 0],
         "has_id": table[:, 1].astype(bool),
         "train": table[:, 2].astype(bool),
         "n_tokens": sizes,
-        "n_known": np.add.reduceat((counts > 0)[flat].astype(np.int64), chunk.first),
+        "n_known": np.add.reduceat((single > 0)[chunk.flat].astype(np.int64), chunk.first),
         "train_tokens": np.full(len(sizes), tokens, np.int64),
         "base_score": np.add.reduceat(base, chunk.first),
         "score": np.add.reduceat(np.log10(p), chunk.first),
     }
 
 
-def _grouped(batches, at: int):
-    """Parcels of one value of column ``at`` after the other; rows come sorted by it."""
+def _grouped(batches):
+    """Parcels for one receiver after the other; rows come sorted by it."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(batch.column(name).to_pylist() for name in _NAMES), strict=True):
-            if held and row[at] != held[0][at]:
+            if held and row[0] != held[0][0]:
                 yield held
                 held = []
             held.append(row)
@@ -459,21 +526,18 @@ def _grouped(batches, at: int):
         yield held
 
 
-def _hot_contexts(
-    rows: DataFrame, shards: int, documents: int, order: int, wanted: int = 2_000
-) -> dict[int, int]:
-    """Contexts of up to order - 1 words that take over an eighth of a shard's share of a sample
-    of documents, with the number of shards to spread them over.  Only where n-grams are kept
-    depends on the sample."""
+def _hot_paths(docs: DataFrame, text: str, shards: int, documents: int, order: int) -> dict[int, int]:
+    """Paths of up to order - 1 words that take over an eighth of a shard's share of a sample of
+    documents, some more for each shard, with the number of shards to spread their extensions
+    over: at most 8 * shards of each length.  Only where n-grams are kept depends on the sample."""
 
     def leaders(batches):
         seen: dict[bytes, int] = {}
         n = 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = text.encode().split()
-                n += len(words) + 1
-                begun = [b"\n begin", *words]
+            for one in batch.column("text").to_pylist():
+                begun = [b"\n begin", *one.encode().split()]
+                n += len(begun)
                 for length in range(1, order):
                     for i in range(len(begun) - length + 1):
                         w = b"\t".join(begun[i : i + length])
@@ -486,18 +550,19 @@ def _hot_contexts(
             }
         )
 
-    sample = rows.sample(min(1.0, wanted / max(1, documents)), seed=3).select("text").coalesce(8)
-    found = map_arrow(sample, leaders, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    drawn = docs.select(text).sample(min(1.0, (2_000 + 4 * shards) / max(1, documents)), seed=3)
+    lowered = drawn.select(ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    found = map_arrow(lowered.coalesce(8 + shards // 1_024), leaders, "word binary, n long")
+    found = found.groupBy("word").agg(F.sum("n").alias("n"))
     most = 8 * shards * max(1, order - 1) + 1
     counts = {bytes(r["word"]): r["n"] for r in found.orderBy(F.col("n").desc()).limit(most).collect()}
     total = counts.pop(b"", 0)
 
-    def hashed(context: bytes) -> int:
-        first, *others = (np.array([xxhash.xxh64_intdigest(w)], np.uint64) for w in context.split(b"\t"))
-        found = _mixed(first, np.uint64(2))
+    def hashed(path: bytes) -> int:
+        first, *others = (np.array([xxhash.xxh64_intdigest(w) >> 32], np.uint64) for w in path.split(b"\t"))
         for word in others:
-            found = _mixed(found, word)
-        return int(found[0])
+            first = _mixed(first, word)
+        return int(first[0])
 
     return {
         hashed(w): min(shards, -(-4 * n * shards // total))
@@ -506,6 +571,7 @@ def _hot_contexts(
     }
 
 
+@owns_copies
 def score(
     docs: DataFrame,
     train: Column,
@@ -523,17 +589,20 @@ def score(
     the model's, both log10.  Null and empty texts are the end mark alone.  Repeated rows count
     and score each for itself; without training rows every token is the unknown one and scores
     0; an empty table gives no rows; other columns are not read.  A chunk holds at least one
-    document, however long.
+    document, however long.  Words are told apart by 64 bits of their hash.
+
+    The tries are built and asked at once and their replies written to the shared folder; what is
+    returned reads these.  A chunk sends a shard at most one parcel, and none without a path.
     """
+    # Lower-casing leaves sizes as they are, so the sizes are read without it.
+    size = docs.agg(F.sum(F.octet_length(F.col(text))).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    shards = shards or min(MOST_SHARDS, max(1, -(-(size["bytes"] or 0) // SHARD_BYTES)))
+    places = Places(shards, _hot_paths(docs, text, shards, size["n"], order) if shards > 1 else {})
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"),
         F.coalesce(train, F.lit(False)).alias("train"),
         ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("text"),
     )
-    # Lower-casing leaves sizes as they are, so the sizes are read without it.
-    size = docs.agg(F.sum(F.octet_length(F.col(text))).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    shards = shards or max(1, -(-(size["bytes"] or 0) // SHARD_BYTES))
-    places = Places(shards, _hot_contexts(rows, shards, size["n"], order) if shards > 1 else {})
 
     def ask(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -558,32 +627,31 @@ def score(
                 yield _parcels([row])
 
     def answer(batches):
-        for held in _grouped(batches, 0):
-            requests: dict[int, list[tuple]] = {}
+        for held in _grouped(batches):
             for row in held:
                 if row[2] == 0:
                     # The documents go on to their chunk.
-                    yield _parcels([(row[1], row[0], 0, *row[3:])])
-                else:
-                    requests.setdefault(row[2], []).append(row)
-            shard = held[0][0]
+                    yield _parcels([(row[1], *row[1:])])
+            shard, trees = held[0][0], [row for row in held if row[2] == 1]
             del held
-            for row in _replies(shard, requests, places):
-                yield _parcels([row])
+            if trees:
+                for row in _replies(shard, trees, order):
+                    yield _parcels([row])
+
+    asked = map_arrow(rows, ask, _PARCEL).repartitionById(shards, F.col("dest").cast("int"))
+    answered = cut_lineage(map_arrow(asked.sortWithinPartitions("dest"), answer, _PARCEL))
+    parts = answered.filter("part = 2").select(F.posexplode("sums").alias("at", "n"))
+    found = {r["at"]: r["n"] for r in parts.groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    sums = np.array([found.get(i, 0) for i in range(4 * order)], np.int64)
 
     def finish(batches):
-        for held in _grouped(batches, 0):
-            found = _scores(held, places, order)
+        for held in _grouped(batches):
+            found = _scores(held, places, order, sums)
             ids = pa.array(found.pop("doc_id"), pa.int64(), mask=~found.pop("has_id"))
             yield pa.RecordBatch.from_pydict({"doc_id": ids} | {n: pa.array(v) for n, v in found.items()})
 
-    # Parcels of one shard, then of one chunk, come together; there are as many as the other
-    # kind has members, and each is bounded by a chunk's or shard's share.
-    # More partitions than shards, so that few shards meet in one by their hash.
-    asked = map_arrow(rows, ask, _PARCEL).repartition(4 * shards, "dest").sortWithinPartitions("dest", "part")
-    answered = map_arrow(asked, answer, _PARCEL).repartition("dest").sortWithinPartitions("dest", "part")
     return map_arrow(
-        answered,
+        answered.filter("part < 2").repartition("dest").sortWithinPartitions("dest"),
         finish,
         "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long,"
         " base_score double, score double",
